@@ -18,7 +18,7 @@ from millgauge.operators.silver import TYPERS
 from millgauge.plans import analytics, dashboard, floor, metrics
 from millgauge.plans.metrics import metric, where
 from millgauge.plans.shop import StagedShop
-from millgauge.sources import documentation
+from millgauge.sources import documentation, staging
 from millgauge.sources.landing import read_landing, write_landing
 from millgauge.sources.schemas import FEEDS
 from millgauge.streaming import ingest
@@ -55,10 +55,17 @@ def _landed(shop: StagedShop, feed: str) -> DataFrame:
     return _typed_feed(feed, read_landing(shop.spark, feed, folder))
 
 
+def _gate_feed(shop: StagedShop, feed: str, priority: bool = False) -> DataFrame:
+    """A feed with the columns its rules read. No rule reads the part description."""
+    if feed == "work_orders":
+        return staging.work_orders(shop.spark, shop.folder, priority=priority, description=False)
+    return shop.feed(feed)
+
+
 def _before_gate(shop: StagedShop) -> dict[str, DataFrame]:
     """Each table as its rules see it."""
-    bronze = {f"bronze_{feed}": shop.feed(feed) for feed in FEEDS}
-    silver = {f"silver_{feed}": TYPERS[feed](shop.feed(feed)) for feed in FEEDS}
+    bronze = {f"bronze_{feed}": _gate_feed(shop, feed) for feed in FEEDS}
+    silver = {f"silver_{feed}": TYPERS[feed](_gate_feed(shop, feed, priority=True)) for feed in FEEDS}
     return {**bronze, **silver}
 
 
@@ -75,7 +82,7 @@ def _drop_counts(shop: StagedShop) -> DataFrame:
     """Rows in, kept and dropped per silver table."""
     counts = []
     for feed in FEEDS:
-        table, typed = f"silver_{feed}", TYPERS[feed](shop.feed(feed))
+        table, typed = f"silver_{feed}", TYPERS[feed](_gate_feed(shop, feed))
         keep = reduce(lambda a, b: a & b, (rule.holds() for rule in quality.rules_with(table, DROP)))
         counts.append(
             typed.agg(F.count(F.lit(1)).alias("rows_in"), tally(keep).alias("rows_kept"), tally(~keep).alias("rows_dropped"))
@@ -89,7 +96,7 @@ def _fail_check(shop: StagedShop) -> DataFrame:
     passed = []
     for feed in FEEDS:
         table = f"silver_{feed}"
-        checked = quality.fail_on_violation(TYPERS[feed](shop.feed(feed)), RULES[table])
+        checked = quality.fail_on_violation(TYPERS[feed](_gate_feed(shop, feed)), RULES[table])
         passed.append(checked.agg(F.count(F.lit(1)).alias("rows_passed")).select(F.lit(table).alias("table_name"), "rows_passed"))
     return _union(passed)
 

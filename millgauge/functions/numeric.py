@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 
 def rnd(value: Column, digits: int) -> Column:
-    """Round half away from zero through DECIMAL(28,6).
+    """Round half away from zero, after settling the value at six decimals.
 
     Sums of doubles differ in their last bits with the order partitions arrive
-    in; settling the value at six decimals first makes the rounded result the
-    same on every run. NaN and values too large for the decimal are rounded as
-    they are.
+    in, which could tip a value that lies on a rounding boundary either way. The
+    first rounding removes that difference, so every run gives the same result.
     """
-    settled = F.round(value.try_cast("decimal(28,6)"), digits).cast("double")
-    return F.coalesce(settled, F.round(value.cast("double"), digits))
+    return F.round(F.round(value.cast("double"), 6), digits)
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millgauge.functions.health import availability_band
 from millgauge.functions.numeric import rnd
 from millgauge.functions.text import machine_id_in
+from millgauge.operators.joins import join_attributes
 
 # Statuses of orders that still need a machine, and of machines
 # that cannot work.
@@ -207,8 +208,15 @@ def valid_moves(moves: DataFrame, machines: DataFrame) -> DataFrame:
 
 
 def _moving(work_orders: DataFrame, moves: DataFrame) -> DataFrame:
-    here = F.col("machine_id") == F.col("from_machine_id")
-    return work_orders.join(moves, here & is_active_order(), "left")
+    """Work orders with the target of their move, null where they stay.
+
+    Orders that cannot move are most of the table. They get a key of their own
+    that matches nothing, so that they spread over all tasks instead of meeting
+    under one null key.
+    """
+    movable = is_active_order() & F.col("machine_id").isNotNull()
+    key = F.when(movable, F.col("machine_id")).otherwise(F.concat(F.lit("order "), "work_order_id"))
+    return join_attributes(work_orders.withColumn("from_machine_id", key), moves, "from_machine_id", "left")
 
 
 def reassign_work_orders(work_orders: DataFrame, moves: DataFrame) -> DataFrame:

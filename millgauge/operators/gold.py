@@ -2,9 +2,8 @@
 
 All measures are sums, counts, minima, maxima or averages, so Spark combines them
 before the shuffle and a hot machine, week or vendor reaches its task as one
-partial row per upstream task. Machine attributes are joined after aggregation.
-The machine side is not hinted: adaptive execution broadcasts it when its real
-size is below the session's limit and otherwise sorts and splits skewed keys.
+partial row per upstream task. Machine attributes are joined after aggregation,
+by broadcast if their size is within the session's limit.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from millgauge.functions.health import DEFAULT_LIMITS, HealthLimits, urgency
 from millgauge.functions.numeric import percent, ratio, rnd, tally
 from millgauge.functions.periods import day_of, month_of, week_of
+from millgauge.operators.joins import join_attributes
 
 # Planning days per month, internal cost per hour, load limits.
 WORKING_DAYS = 22
@@ -41,7 +41,7 @@ def machine_utilization(work_orders: DataFrame, machines: DataFrame) -> DataFram
     capacity = machines.select("machine_id", "capacity_hrs_per_day", "hourly_rate_usd")
     day, planned, worked = F.col("period_day"), F.col("scheduled_hrs"), F.col("worked")
     measurable = (worked > 0) & (planned > 0)
-    return per_day.join(capacity, "machine_id").select(
+    return join_attributes(per_day, capacity, "machine_id").select(
         "machine_id", "capacity_hrs_per_day", "hourly_rate_usd",
         "period_day",
         week_of(day).alias("period_week"),
@@ -109,7 +109,7 @@ def predictive_maintenance(
     )
     attributes = machines.select("machine_id", "machine_name", "machine_type", "work_center", "last_pm_date")
     day = F.col("reading_date")
-    return per_day.join(attributes, "machine_id").select(
+    return join_attributes(per_day, attributes, "machine_id").select(
         "machine_id", "machine_name", "machine_type", "work_center",
         F.year(day).alias("reading_year"),
         F.month(day).alias("reading_month"),
@@ -165,7 +165,7 @@ def capacity_planning(
             F.count(F.lit(1)).alias("machine_count"),
         )
     )
-    return demand.join(capacity, "work_center", "left").select(
+    return join_attributes(demand, capacity, "work_center", "left").select(
         "work_center",
         "period_month",
         F.year("period_month").alias("period_year"),

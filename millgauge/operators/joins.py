@@ -1,0 +1,35 @@
+"""Joining a large table to attributes kept elsewhere."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is within the session's own limit.
+
+    Where there is no optimizer to ask in this process, the answer is no.
+    """
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return False
+    execution = plan.queryExecution()
+    limit = execution.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return int(execution.optimizedPlan().stats().sizeInBytes()) <= limit
+
+
+def join_attributes(
+    facts: DataFrame, attributes: DataFrame, keys: str | Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join one attribute row per key, keeping the facts where they are if possible.
+
+    The attribute side is broadcast only when its estimated size is within the
+    session's limit. Beyond it the join carries no hint: both sides are shuffled
+    by key and adaptive execution splits keys that hold too many rows.
+    """
+    if fits_broadcast(attributes):
+        attributes = F.broadcast(attributes)
+    return facts.join(attributes, keys, how)

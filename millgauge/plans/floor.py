@@ -9,6 +9,7 @@ from millgauge.functions import health
 from millgauge.functions.numeric import percent, rnd, tally
 from millgauge.functions.periods import month_label
 from millgauge.operators.dispatch import is_active_order
+from millgauge.operators.joins import join_attributes
 from millgauge.operators.latest import latest_per_key
 from millgauge.plans.analytics import latest_health
 
@@ -74,7 +75,7 @@ def utilization_by_machine(utilization: DataFrame, machines: DataFrame) -> DataF
     )
     names = machines.select("machine_id", "machine_name", "work_center")
     return (
-        means.join(names, "machine_id")
+        join_attributes(means, names, "machine_id")
         .select("machine_id", "machine_name", "work_center", "avg_utilization_pct", "avg_efficiency_pct")
         .orderBy(F.col("avg_utilization_pct").desc(), "machine_id")
     )

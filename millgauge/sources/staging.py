@@ -35,7 +35,7 @@ def _pick(values: tuple[str, ...], position: Column) -> Column:
 def _padded(key: Column) -> Column:
     """At least three digits; longer keys keep all of theirs."""
     digits = key.cast("string")
-    return F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), "0")
+    return F.when(key < 1000, F.lpad(digits, 3, "0")).otherwise(digits)
 
 
 def machine_id_of(key: Column) -> Column:
@@ -48,7 +48,10 @@ def _machine_total(spark: SparkSession, folder: str) -> Column:
 
 
 def machines(spark: SparkSession, folder: str) -> DataFrame:
-    supplier, nation = table(spark, folder, "supplier"), table(spark, folder, "nation")
+    supplier = table(spark, folder, "supplier")
+    # One row per nation, said so that the optimizer can leave the join out where
+    # the vendor is not read.
+    nation = table(spark, folder, "nation").dropDuplicates(["n_nationkey"])
     key = F.col("s_suppkey")
     year = (F.lit(1998) + key % 25).cast("int")
     state = key % 12
@@ -112,8 +115,13 @@ def work_orders(
 
     ship = F.col("l_shipdate").cast("date")
     part_key, machine_key, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    flags = F.concat("l_returnflag", "l_linestatus")
-    status = F.when(flags == "RO", "Farm-Out").when(flags == "NO", "Open").when(flags == "NF", "In Progress").otherwise("Complete")
+    returned, line_open = F.col("l_returnflag"), F.col("l_linestatus") == "O"
+    status = (
+        F.when((returned == "R") & line_open, "Farm-Out")
+        .when((returned == "N") & line_open, "Open")
+        .when((returned == "N") & (F.col("l_linestatus") == "F"), "In Progress")
+        .otherwise("Complete")
+    )
     complete, farmed = F.col("status") == "Complete", F.col("status") == "Farm-Out"
     quantity = F.col("l_quantity").cast("int")
     run = F.lit(0.5) + (part_key % 3) * F.lit(0.25)
@@ -126,7 +134,7 @@ def work_orders(
         F.concat_ws(
             "-",
             F.col("l_orderkey").cast("string"), line.cast("string"), part_key.cast("string"),
-            machine_key.cast("string"), F.date_format(ship, "yyyyMMdd"),
+            machine_key.cast("string"), F.replace(ship.cast("string"), F.lit("-"), F.lit("")),
         ).alias("work_order_id"),
         F.concat(F.lit("PN-"), part_key.cast("string")).alias("part_number"),
         *([F.col("p_name").alias("part_description")] if description else []),
@@ -156,9 +164,9 @@ def sensor_data(spark: SparkSession, folder: str) -> DataFrame:
     total = _machine_total(spark, folder)
     key, kind, value = F.col("event_id"), F.col("event_type"), F.col("value")
     faulty = kind == "error"
-    return table(spark, folder, "events").select(
+    return table(spark, folder, "events").withColumn("machine_key", F.col("user_id") % total).select(
         key.cast("string").alias("sensor_id"),
-        machine_id_of(F.col("user_id") % total).alias("machine_id"),
+        machine_id_of(F.col("machine_key")).alias("machine_id"),
         F.date_trunc("SECOND", F.col("ts").cast("timestamp")).alias("reading_timestamp"),
         (F.lit(20) + F.lit(0.35) * value).alias("temperature_celsius"),
         (value / 40).alias("vibration_mm_s"),
