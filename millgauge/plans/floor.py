@@ -160,7 +160,10 @@ def machine_kpis(
     condition = (
         latest_health(maintenance)
         .groupBy("machine_id")
-        .agg(F.min("maintenance_urgency").alias("urgency"), F.min("min_health_score").alias("worst"))
+        .agg(
+            F.min_by("maintenance_urgency", health.urgency_order(F.col("maintenance_urgency"))).alias("urgency"),
+            F.min("min_health_score").alias("worst"),
+        )
     )
     center_cost = (
         work_orders.filter(F.col("due_date").isNotNull())

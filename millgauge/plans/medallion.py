@@ -25,3 +25,14 @@ def refresh_gold(spark: SparkSession, root: str) -> StoredShop:
     for name, frame in gold_frames(StoredShop(spark, root)).items():
         write_clustered(frame, f"{root}/{name}", CLUSTER_KEYS[name])
     return StoredShop(spark, root)
+
+
+def recluster(spark: SparkSession, root: str, table: str) -> str:
+    """Write a clustered copy of an appended table and return its path.
+
+    A stream appends rows in order of arrival; the copy is for readers that look
+    up key ranges.
+    """
+    target = f"{root}/clustered/{table}"
+    write_clustered(spark.read.parquet(f"{root}/{table}"), target, CLUSTER_KEYS[table])
+    return target

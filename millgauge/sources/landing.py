@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from millgauge.sources.schemas import FEED_COLUMNS, landing_schema
 
+# The file source ignores a new file this much older than the newest it has read.
+# Its own limit of a week would lose deliveries that keep their original time.
+MAX_FILE_AGE = "3650d"
+
 _DATE = "yyyy-MM-dd"
 _MOMENT = "yyyy-MM-dd HH:mm:ss"
 
@@ -33,7 +37,7 @@ def stream_landing(
     spark: SparkSession, feed: str, path: str, files_per_batch: int | None = None
 ) -> DataFrame:
     """New files of a landing folder as a stream."""
-    reader = spark.readStream.schema(landing_schema(feed)).option("header", True)
+    reader = spark.readStream.schema(landing_schema(feed)).option("header", True).option("maxFileAge", MAX_FILE_AGE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return with_ingest_columns(reader.csv(path), feed)

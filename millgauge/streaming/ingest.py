@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millgauge.operators.quality import RULES, event_rows, gate
 from millgauge.operators.silver import TYPERS
-from millgauge.sources.landing import stream_landing
+from millgauge.sources.landing import MAX_FILE_AGE, stream_landing
 from millgauge.sources.schemas import FEEDS, bronze_schema
 
 LOG_SCHEMA = "table_name string, rule string, action string, passed bigint, failed bigint"
@@ -59,7 +59,7 @@ def silver_stream(
     spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None
 ) -> DataFrame:
     """New bronze rows, typed and gated."""
-    reader = spark.readStream.schema(bronze_schema(feed))
+    reader = spark.readStream.schema(bronze_schema(feed)).option("maxFileAge", MAX_FILE_AGE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = reader.parquet(folders.table(f"bronze_{feed}"))
@@ -93,16 +93,19 @@ def run_logged(spark: SparkSession, query: StreamingQuery, table: str, folders:
     """Wait for a run and log its rule counts batch by batch.
 
     Progress is read while the run goes on, since Spark keeps only the newest
-    entries. Each log entry has as many rows as the table has rules.
+    entries. If a batch fails, those before it are logged all the same. Each
+    entry has as many rows as the table has rules.
     """
     counts: dict[int, dict] = {}
-    while not query.awaitTermination(_POLL_SECONDS):
+    try:
+        while not query.awaitTermination(_POLL_SECONDS):
+            counts.update(_observed(query, table))
+    finally:
         counts.update(_observed(query, table))
-    counts.update(_observed(query, table))
-    for batch, metrics in counts.items():
-        rows = event_rows(table, RULES[table], metrics)
-        target = f"{folders.quality_log}/log_table={table}/batch_id={batch}"
-        spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(target)
+        for batch, metrics in counts.items():
+            rows = event_rows(table, RULES[table], metrics)
+            target = f"{folders.quality_log}/log_table={table}/batch_id={batch}"
+            spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(target)
 
 
 def refresh_bronze(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> None:

@@ -2,6 +2,7 @@ import datetime as dt
 import glob
 import os
 import shutil
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -132,6 +133,33 @@ def test_redelivered_master_does_not_multiply_orders(spark, folders):
     assert [(r.work_order_count, r.capacity_hrs_per_day) for r in rows] == [(1, 16.0)]
 
 
+def test_failure_keeps_the_log_of_earlier_batches(spark, folders, monkeypatch):
+    from millgauge.operators.quality import FAIL, RULES, Rule
+
+    strict = (*RULES["bronze_sensor_data"], Rule("id_required", "sensor_id IS NOT NULL", FAIL))
+    monkeypatch.setitem(RULES, "bronze_sensor_data", strict)
+    deliver(spark, folders, "sensor_data", 1, reading(1))
+    ingest.refresh_bronze(spark, "sensor_data", folders)
+    deliver(spark, folders, "sensor_data", 2, reading(2))
+    # Files go oldest first, and one of a month ago is still taken.
+    month_ago = time.time() - 30 * 86400
+    os.utime(f"{folders.feed('sensor_data')}/delivery-2.csv", (month_ago, month_ago))
+    deliver(spark, folders, "sensor_data", 3, reading(3, sensor_id=None))
+    with pytest.raises(PySparkException):
+        ingest.refresh_bronze(spark, "sensor_data", folders, files_per_batch=1)
+    log = log_of(spark, folders, "bronze_sensor_data")
+    assert {batch for batch, _ in log} == {0, 1}
+    assert spark.read.parquet(folders.table("bronze_sensor_data")).count() == 2
+
+
+def test_clustered_copy_of_a_silver_table(spark, folders):
+    deliver(spark, folders, "sensor_data", 1, *(reading(n) for n in range(20)))
+    ingest.refresh(spark, folders, ("sensor_data",))
+    path = medallion.recluster(spark, folders.root, "silver_sensor_data")
+    copy, table = spark.read.parquet(path), spark.read.parquet(folders.table("silver_sensor_data"))
+    assert copy.count() == 20 and copy.exceptAll(table.select(*copy.columns)).isEmpty()
+
+
 def test_bronze_machines_carry_file_time(spark, folders):
     deliver(spark, folders, "machines", 1, dict(machine_id="MCH-001"))
     ingest.refresh_bronze(spark, "machines", folders)
