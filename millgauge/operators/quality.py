@@ -143,8 +143,12 @@ def fail_on_violation(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 
 
 def drop_violations(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Only the rows that satisfy every DROP rule."""
-    checks = [rule.holds() for rule in _with_action(rules, DROP)]
+    """Only the rows that satisfy every DROP rule.
+
+    A filter takes an unknown predicate for false, as a rule does, so the bare
+    predicates are used: those Spark can push down to a scan.
+    """
+    checks = [F.expr(rule.predicate) for rule in _with_action(rules, DROP)]
     return df.filter(reduce(Column.__and__, checks)) if checks else df
 
 

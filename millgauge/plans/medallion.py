@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millgauge.operators import gold
 from millgauge.operators.layout import CLUSTER_KEYS, write_clustered
-from millgauge.plans.shop import StoredShop
+from millgauge.plans.shop import StagedShop, StoredShop
+from millgauge.sources.documentation import comment_on, create_schema
+
+# Table name to the shop's attribute of it.
+TABLES = {
+    "silver_machines": "machines",
+    "silver_routings": "routings",
+    "silver_work_orders": "work_orders",
+    "silver_sensor_data": "sensor_data",
+    "gold_machine_utilization": "utilization",
+    "gold_scheduling_performance": "scheduling",
+    "gold_predictive_maintenance": "maintenance",
+    "gold_capacity_planning": "capacity",
+    "gold_farmout_analysis": "farmout",
+}
 
 
 def gold_frames(shop: StoredShop) -> dict[str, DataFrame]:
@@ -36,3 +50,26 @@ def recluster(spark: SparkSession, root: str, table: str) -> str:
     target = f"{root}/clustered/{table}"
     write_clustered(spark.read.parquet(f"{root}/{table}"), target, CLUSTER_KEYS[table])
     return target
+
+
+def register_views(shop: StagedShop | StoredShop) -> None:
+    """Make the shop's tables available to SQL under their own names."""
+    for name, attribute in TABLES.items():
+        getattr(shop, attribute).createOrReplaceTempView(name)
+
+
+def publish_gold(spark: SparkSession, root: str, schema: str) -> None:
+    """Catalog tables, with comments, over the stored gold folders.
+
+    A table that is already there is told to look at its files again.
+    """
+    create_schema(spark, schema)
+    for name in TABLES:
+        if not name.startswith("gold_"):
+            continue
+        table = f"{schema}.{name}"
+        if spark.catalog.tableExists(table):
+            spark.catalog.refreshTable(table)
+        else:
+            spark.catalog.createTable(table, path=f"{root}/{name}", source="parquet")
+            comment_on(spark, table)

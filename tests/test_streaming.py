@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.errors import PySparkException
 
+from millgauge.operators import gold
 from millgauge.operators.silver import refine
 from millgauge.plans import analytics, medallion
 from millgauge.plans.shop import StagedShop, StoredShop
@@ -113,6 +114,24 @@ def test_stream_equals_batch_and_gold_equals_staged(spark, data, folders):
     top = [tuple(r) for r in analytics.top_machines(shop.utilization).collect()]
     assert top == [tuple(r) for r in analytics.top_machines(staged.utilization).collect()]
 
+    scans = gold.farmout_analysis(shop.work_orders)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(is_farm_out,true)" in scans and "actual_start" not in scans
+
+    medallion.register_views(shop)
+    asked = """SELECT w.work_center, count(*) AS n, max(u.period_day) AS newest
+               FROM silver_work_orders w JOIN gold_machine_utilization u ON u.machine_id = w.machine_id GROUP BY 1"""
+    assert spark.sql(asked).count() > 0
+
+    medallion.publish_gold(spark, folders.root, "published")
+    medallion.publish_gold(spark, folders.root, "published")
+    try:
+        table = spark.table("published.gold_capacity_planning")
+        assert table.count() == staged.capacity.count()
+        described = {c.name: c.description for c in spark.catalog.listColumns("published.gold_capacity_planning")}
+        assert described["load_status"] == "Load class of the center's month."
+    finally:
+        spark.sql("DROP SCHEMA published CASCADE")
+
 
 def test_redelivered_master_does_not_multiply_orders(spark, folders):
     master = dict(machine_id="MCH-001", machine_name="old", work_center="WC-MILL", num_shifts="1", capacity_hrs_per_shift="8",
