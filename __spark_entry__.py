@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import sys
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The packages lie next to this file, from wherever it is loaded.
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from checks.oracle_sql import statements
 from millgauge import session
 from millgauge.functions.numeric import tally

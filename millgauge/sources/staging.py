@@ -2,7 +2,8 @@
 
 One supplier is one machine, one part has three routing steps, one order line is
 one work order and one event is one sensor reading. Columns come out typed, so
-the typing step downstream passes them through without parsing.
+the typing step downstream passes them through without parsing. The mappings are
+written as SQL expressions, one per column.
 """
 
 from __future__ import annotations
@@ -10,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millgauge.functions.numeric import rnd
-
 # The six work centers with the machine type of each, the routing
 # operations, and the anomaly names.
 WORK_CENTERS = ("WC-MILL", "WC-TURN", "WC-DRILL", "WC-MULTITASK", "WC-TRANSFER", "WC-QC")
@@ -27,19 +26,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _pick(values: tuple[str, ...], position: Column) -> Column:
+def _pick(values: tuple[str, ...], position: str) -> str:
     """Element of a short fixed list at a zero-based position."""
-    return F.element_at(F.array(*(F.lit(v) for v in values)), (position + 1).cast("int"))
+    listed = ", ".join(f"'{value}'" for value in values)
+    return f"element_at(array({listed}), cast(({position}) + 1 AS int))"
 
 
-def _padded(key: Column) -> Column:
+def _padded(key: str) -> str:
     """At least three digits; longer keys keep all of theirs."""
-    digits = key.cast("string")
-    return F.when(key < 1000, F.lpad(digits, 3, "0")).otherwise(digits)
+    text = f"cast({key} AS string)"
+    return f"CASE WHEN {key} < 1000 THEN lpad({text}, 3, '0') ELSE {text} END"
 
 
-def machine_id_of(key: Column) -> Column:
-    return F.concat(F.lit("MCH-"), _padded(key))
+def machine_id_of(key: str) -> str:
+    return f"concat('MCH-', {_padded(key)})"
 
 
 def _machine_total(spark: SparkSession, folder: str) -> Column:
@@ -48,52 +48,56 @@ def _machine_total(spark: SparkSession, folder: str) -> Column:
 
 
 def machines(spark: SparkSession, folder: str) -> DataFrame:
-    supplier = table(spark, folder, "supplier")
     # One row per nation, said so that the optimizer can leave the join out where
     # the vendor is not read.
     nation = table(spark, folder, "nation").dropDuplicates(["n_nationkey"])
-    key = F.col("s_suppkey")
-    year = (F.lit(1998) + key % 25).cast("int")
-    state = key % 12
-    return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
-        machine_id_of(key).alias("machine_id"),
-        F.col("s_name").alias("machine_name"),
-        _pick(MACHINE_TYPES, key % 6).alias("machine_type"),
-        _pick(WORK_CENTERS, key % 6).alias("work_center"),
-        (F.lit(1) + key % 3).cast("int").alias("num_shifts"),
-        F.lit(8.0).alias("capacity_hrs_per_shift"),
-        F.col("n_name").alias("vendor"),
-        year.alias("installation_year"),
-        F.when(state == 7, "Maintenance").when(state == 11, "Idle").otherwise("Active").alias("status"),
-        (F.col("s_acctbal") / 100).alias("hourly_rate_usd"),
-        (F.lit(500) + (key % 3) * 250).cast("int").alias("preventive_maint_interval_hrs"),
-        F.date_add(F.lit("2023-01-01").cast("date"), ((key * 37) % 365).cast("int")).alias("last_pm_date"),
-        F.concat(F.lit("In service since "), year.cast("string")).alias("notes"),
+    supplier = table(spark, folder, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    return supplier.join(nation, "n_nationkey", "left").selectExpr(
+        f"{machine_id_of('s_suppkey')} AS machine_id",
+        "s_name AS machine_name",
+        f"{_pick(MACHINE_TYPES, 's_suppkey % 6')} AS machine_type",
+        f"{_pick(WORK_CENTERS, 's_suppkey % 6')} AS work_center",
+        "cast(1 + s_suppkey % 3 AS int) AS num_shifts",
+        "8D AS capacity_hrs_per_shift",
+        "n_name AS vendor",
+        "cast(1998 + s_suppkey % 25 AS int) AS installation_year",
+        "CASE s_suppkey % 12 WHEN 7 THEN 'Maintenance' WHEN 11 THEN 'Idle' ELSE 'Active' END AS status",
+        "s_acctbal / 100 AS hourly_rate_usd",
+        "cast(500 + 250 * (s_suppkey % 3) AS int) AS preventive_maint_interval_hrs",
+        "date_add(date'2023-01-01', cast(s_suppkey * 37 % 365 AS int)) AS last_pm_date",
+        "concat('In service since ', cast(1998 + s_suppkey % 25 AS string)) AS notes",
     )
 
 
 def routings(spark: SparkSession, folder: str) -> DataFrame:
-    total = _machine_total(spark, folder)
-    part = table(spark, folder, "part").select(
-        "p_partkey", "p_name", "p_size", F.explode(F.array(*(F.lit(n) for n in (1, 2, 3)))).alias("step")
-    )
-    key, step = F.col("p_partkey"), F.col("step")
-    preferred = (key + step) % total
-    return part.select(
-        F.concat_ws("-", F.lit("RTG"), key.cast("string"), step.cast("string")).alias("routing_id"),
-        F.concat(F.lit("PN-"), key.cast("string")).alias("part_number"),
-        F.col("p_name").alias("part_description"),
-        (step * 10).cast("int").alias("operation_sequence"),
-        F.concat(F.lit("OP-0"), (step * 10).cast("string")).alias("operation_code"),
-        _pick(OPERATIONS, step - 1).alias("operation_description"),
-        _pick(WORK_CENTERS, preferred % 6).alias("work_center"),
-        machine_id_of(preferred).alias("preferred_machine_id"),
-        F.lit(0.5).alias("setup_time_hrs"),
-        (F.lit(0.5) + (key % 3) * F.lit(0.25)).alias("run_time_hrs_per_unit"),
-        (F.col("p_size") / F.lit(2.0) - 1).alias("scrap_rate_pct"),
+    steps = table(spark, folder, "part").selectExpr("p_partkey", "p_name", "p_size", "explode(array(1, 2, 3)) AS step")
+    preferred = (F.col("p_partkey") + F.col("step")) % _machine_total(spark, folder)
+    return steps.withColumn("machine_key", preferred).selectExpr(
+        "concat_ws('-', 'RTG', p_partkey, step) AS routing_id",
+        "concat('PN-', p_partkey) AS part_number",
+        "p_name AS part_description",
+        "10 * step AS operation_sequence",
+        "concat('OP-0', 10 * step) AS operation_code",
+        f"{_pick(OPERATIONS, 'step - 1')} AS operation_description",
+        f"{_pick(WORK_CENTERS, 'machine_key % 6')} AS work_center",
+        f"{machine_id_of('machine_key')} AS preferred_machine_id",
+        "0.5D AS setup_time_hrs",
+        "0.5D + (p_partkey % 3) * 0.25D AS run_time_hrs_per_unit",
+        "p_size / 2D - 1 AS scrap_rate_pct",
     )
 
 
+# A line's state comes from its two flags; what follows from state, ship day and
+# quantity is worked out once.
+_LINE_STATE = """CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'Farm-Out'
+    WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'Open'
+    WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'In Progress'
+    ELSE 'Complete' END AS status"""
+_PRIORITY = """CASE WHEN substring(o_orderpriority, 1, 1) IN ('1', '2') THEN 'High'
+    WHEN substring(o_orderpriority, 1, 1) = '3' THEN 'Medium'
+    WHEN substring(o_orderpriority, 1, 1) IN ('4', '5') THEN 'Low' END AS priority"""
+
+
 def work_orders(
     spark: SparkSession, folder: str, priority: bool = True, description: bool = True
 ) -> DataFrame:
@@ -105,90 +109,68 @@ def work_orders(
     """
     lines = table(spark, folder, "lineitem")
     if priority:
-        order = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
-        lines = lines.join(order, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        rank = F.substring("o_orderpriority", 1, 1)
-        level = F.when(rank.isin("1", "2"), "High").when(rank == "3", "Medium").when(rank.isin("4", "5"), "Low")
+        order = table(spark, folder, "orders").selectExpr("o_orderkey AS l_orderkey", "o_orderpriority")
+        lines = lines.join(order, "l_orderkey", "left")
     if description:
-        part = table(spark, folder, "part").select("p_partkey", "p_name")
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-
-    ship = F.col("l_shipdate").cast("date")
-    part_key, machine_key, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    returned, line_open = F.col("l_returnflag"), F.col("l_linestatus") == "O"
-    status = (
-        F.when((returned == "R") & line_open, "Farm-Out")
-        .when((returned == "N") & line_open, "Open")
-        .when((returned == "N") & (F.col("l_linestatus") == "F"), "In Progress")
-        .otherwise("Complete")
+        part = table(spark, folder, "part").selectExpr("p_partkey AS l_partkey", "p_name")
+        lines = lines.join(part, "l_partkey", "left")
+    prepared = lines.selectExpr(
+        "*",
+        _LINE_STATE,
+        "cast(l_shipdate AS date) AS ship",
+        "cast(l_quantity AS int) AS quantity",
+        "0.5D + (l_partkey % 3) * 0.25D AS run_hrs",
+        "date_add(cast(l_shipdate AS date), cast(3 + l_partkey % 12 AS int)) AS due",
     )
-    complete, farmed = F.col("status") == "Complete", F.col("status") == "Farm-Out"
-    quantity = F.col("l_quantity").cast("int")
-    run = F.lit(0.5) + (part_key % 3) * F.lit(0.25)
-    due = F.date_add(ship, (F.lit(3) + part_key % 12).cast("int"))
-    hours = F.lit(0.5) + run * quantity
-    price = F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) / 12
-    step = line % 3
-
-    feed = lines.withColumn("status", status).select(
-        F.concat_ws(
-            "-",
-            F.col("l_orderkey").cast("string"), line.cast("string"), part_key.cast("string"),
-            machine_key.cast("string"), F.replace(ship.cast("string"), F.lit("-"), F.lit("")),
-        ).alias("work_order_id"),
-        F.concat(F.lit("PN-"), part_key.cast("string")).alias("part_number"),
-        *([F.col("p_name").alias("part_description")] if description else []),
-        quantity.alias("order_qty"),
-        F.concat(F.lit("OP-0"), ((step + 1) * 10).cast("string")).alias("operation_code"),
-        _pick(OPERATIONS, step).alias("operation_description"),
-        _pick(WORK_CENTERS, machine_key % 6).alias("work_center"),
-        F.when(~farmed, machine_id_of(machine_key)).alias("machine_id"),
-        due.alias("due_date"),
-        ship.alias("scheduled_start"),
-        F.date_add(ship, (F.lit(1) + part_key % 3).cast("int")).alias("scheduled_end"),
-        F.when(F.col("status").isin("Complete", "In Progress"), ship).alias("actual_start"),
-        F.when(complete, F.date_add(due, (F.col("l_orderkey") % 10 - 7).cast("int"))).alias("actual_end"),
-        F.lit(0.5).alias("setup_time_hrs"),
-        run.alias("run_time_hrs_per_unit"),
-        F.when(complete, hours * (F.lit(0.75) + step * F.lit(0.25))).alias("actual_total_hrs"),
+    return prepared.selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, replace(cast(ship AS string), '-', '')) AS work_order_id",
+        "concat('PN-', l_partkey) AS part_number",
+        *(["p_name AS part_description"] if description else []),
+        "quantity AS order_qty",
+        "concat('OP-0', 10 * (l_linenumber % 3 + 1)) AS operation_code",
+        f"{_pick(OPERATIONS, 'l_linenumber % 3')} AS operation_description",
+        f"{_pick(WORK_CENTERS, 'l_suppkey % 6')} AS work_center",
+        f"CASE WHEN status <> 'Farm-Out' THEN {machine_id_of('l_suppkey')} END AS machine_id",
+        "due AS due_date",
+        "ship AS scheduled_start",
+        "date_add(ship, cast(1 + l_partkey % 3 AS int)) AS scheduled_end",
+        "CASE WHEN status IN ('Complete', 'In Progress') THEN ship END AS actual_start",
+        "CASE WHEN status = 'Complete' THEN date_add(due, cast(l_orderkey % 10 - 7 AS int)) END AS actual_end",
+        "0.5D AS setup_time_hrs",
+        "run_hrs AS run_time_hrs_per_unit",
+        "CASE WHEN status = 'Complete' THEN (0.5D + run_hrs * quantity) * (0.75D + (l_linenumber % 3) * 0.25D) END AS actual_total_hrs",
         "status",
-        *([level.alias("priority")] if priority else []),
-        F.when(farmed, F.concat(F.lit("VENDOR-"), (part_key % 4).cast("string"))).alias("farm_out_vendor"),
-        F.when(farmed, rnd(price, 2)).alias("farm_out_cost_usd"),
-        F.lit("ERP").alias("source_system"),
+        *([_PRIORITY] if priority else []),
+        "CASE WHEN status = 'Farm-Out' THEN concat('VENDOR-', l_partkey % 4) END AS farm_out_vendor",
+        """CASE WHEN status = 'Farm-Out'
+            THEN round(round(l_extendedprice * (1 - l_discount) / 12, 6), 2) END AS farm_out_cost_usd""",
+        "'ERP' AS source_system",
     )
-    return feed
 
 
 def sensor_data(spark: SparkSession, folder: str) -> DataFrame:
-    total = _machine_total(spark, folder)
-    key, kind, value = F.col("event_id"), F.col("event_type"), F.col("value")
-    faulty = kind == "error"
-    return table(spark, folder, "events").withColumn("machine_key", F.col("user_id") % total).select(
-        key.cast("string").alias("sensor_id"),
-        machine_id_of(F.col("machine_key")).alias("machine_id"),
-        F.date_trunc("SECOND", F.col("ts").cast("timestamp")).alias("reading_timestamp"),
-        (F.lit(20) + F.lit(0.35) * value).alias("temperature_celsius"),
-        (value / 40).alias("vibration_mm_s"),
-        (F.lit(800) + key % 2700).cast("double").alias("spindle_speed_rpm"),
-        (F.lit(10) + key % 35).cast("double").alias("power_consumption_kw"),
-        (key % 16).cast("double").alias("coolant_flow_lpm"),
-        F.get_json_object("props", "$.k").try_cast("double").alias("tool_wear_pct"),
-        F.when(kind == "view", "Idle").otherwise("Running").alias("machine_status"),
-        faulty.alias("anomaly_flag"),
-        F.when(faulty, _pick(ANOMALIES, key % 4)).alias("anomaly_type"),
+    events = table(spark, folder, "events")
+    return events.withColumn("machine_key", F.col("user_id") % _machine_total(spark, folder)).selectExpr(
+        "cast(event_id AS string) AS sensor_id",
+        f"{machine_id_of('machine_key')} AS machine_id",
+        "date_trunc('SECOND', cast(ts AS timestamp)) AS reading_timestamp",
+        "20D + 0.35D * value AS temperature_celsius",
+        "value / 40 AS vibration_mm_s",
+        "cast(800 + event_id % 2700 AS double) AS spindle_speed_rpm",
+        "cast(10 + event_id % 35 AS double) AS power_consumption_kw",
+        "cast(event_id % 16 AS double) AS coolant_flow_lpm",
+        "try_cast(get_json_object(props, '$.k') AS double) AS tool_wear_pct",
+        "CASE WHEN event_type = 'view' THEN 'Idle' ELSE 'Running' END AS machine_status",
+        "event_type = 'error' AS anomaly_flag",
+        f"CASE WHEN event_type = 'error' THEN {_pick(ANOMALIES, 'event_id % 4')} END AS anomaly_type",
     )
 
 
 def incidents(spark: SparkSession, folder: str) -> DataFrame:
     """Free-text failure reports, one per error event."""
-    total = _machine_total(spark, folder)
-    return (
-        table(spark, folder, "events")
-        .filter(F.col("event_type") == "error")
-        .select(
-            F.col("event_id").alias("incident_id"),
-            F.col("ts").cast("timestamp").alias("reported_at"),
-            F.concat(F.lit("Machine mch "), _padded(F.col("user_id") % total), F.lit(" is down")).alias("report_text"),
-        )
+    errors = table(spark, folder, "events").filter("event_type = 'error'")
+    return errors.withColumn("machine_key", F.col("user_id") % _machine_total(spark, folder)).selectExpr(
+        "event_id AS incident_id",
+        "cast(ts AS timestamp) AS reported_at",
+        f"concat('Machine mch ', {_padded('machine_key')}, ' is down') AS report_text",
     )
