@@ -28,6 +28,16 @@ from millgauge.sources.landing import read_landing, write_landing
 from millgauge.sources.schemas import FEEDS
 from millgauge.streaming import ingest
 
+# Present unless the subpackage of training-data operators has been taken out.
+try:
+    from millgauge.llm import queries as llm
+except ImportError:
+    llm = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 # The day that date-relative questions are asked on.
 AS_OF = dt.date(2000, 6, 15)
 
@@ -240,11 +250,15 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
+    shop = {
         name: (lambda spark, folder, build=build: build(StagedShop(spark, folder)))
         for name, build in _SHOP_QUERIES.items()
     }
+    corpus = dict(llm.QUERIES) if llm else {}
+    if corpus_pipeline:
+        corpus["pipeline"] = corpus_pipeline.run
+    return {**shop, **corpus}
 
 
 def oracle_sql() -> dict[str, str]:
-    return statements(AS_OF.isoformat())
+    return {**statements(AS_OF.isoformat()), **(llm.STATEMENTS if llm else {})}

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import connect, difference
+from checks.oracle_sql import statements as checks_statements
 
-QUERIES = entry.queries()
-STATEMENTS = entry.oracle_sql()
+STATEMENTS = checks_statements(entry.AS_OF.isoformat())
+QUERIES = {name: query for name, query in entry.queries().items() if name in entry._SHOP_QUERIES}
 
 
 @pytest.fixture(scope="module")
