@@ -5,11 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millgauge.llm import decontaminate, quality_rules, secrets, simhash
+from millgauge import session
+from millgauge.llm import chat, decontaminate, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files, warc
 from millgauge.llm.common import table
 from millgauge.llm.sql import QUALITY_SQL
 
 
+SHARDS, OLD_SHARDS = 40, 32
+
+
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document, and whether decoding them gives the text back."""
+    pieces = sentencepiece.read_pieces(_tokenizer("piece_bpe_32k.model"))
+    encoded = sentencepiece.encode(table(spark, folder, "documents"), pieces)
+    return sentencepiece.digests(encoded, pieces)
+
+
+def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every capture derived from the pages, revisits resolved."""
+    found = warc.resolve(warc.captures(table(spark, folder, "pages")))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda h: F.concat_ws(": ", h["key"], h["value"])))
+    return found.select("record_id", "canonical_url", "ts", "kind", "outcome", "response_id", "digest", F.array_join(entries, "\n").alias("headers"))
+
+
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, written to files and read back."""
+    return token_files.round_trip(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.components(table(spark, folder, "documents"))
@@ -25,6 +55,31 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of at least 50 words that documents share."""
+    return suffixes.repeated_passages(table(spark, folder, "documents"))
+
+
+def op7_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that lie in shards by source, moved into 40 even shards; the files of changed shards are rewritten."""
+    docs = table(spark, folder, "documents")
+    by_source = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
+    placed, affected = resharding.reshard(docs, by_source, SHARDS)
+    path = session.fresh_folder(spark, "resharded")
+    resharding.rewrite_affected(placed, affected, path)
+    rewritten = resharding.read_shards(spark, path, placed)
+    untouched = placed.where(~F.col("shard").isin(affected)) if len(affected) < SHARDS else placed.limit(0)
+    return rewritten.unionByName(untouched).select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def _of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
@@ -48,11 +103,22 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op10_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation repaired and rendered."""
+    return chat.conversations(table(spark, folder, "conversations"))
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_warc_revisits": op2_warc_revisits,
+    "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_repeated_passages": op6_repeated_passages,
+    "op7_resharding": op7_resharding,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
+    "op10_chat_repair": op10_chat_repair,
 }
 
 STATEMENTS = {
