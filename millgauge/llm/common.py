@@ -37,3 +37,10 @@ def words(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row, however often it is named."""
     return F.transform(F.array(value), body)[0]
+
+
+def tokenizer_path(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

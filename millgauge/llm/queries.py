@@ -7,23 +7,16 @@ from pyspark.sql import functions as F
 
 from millgauge import session
 from millgauge.llm import chat, decontaminate, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files, warc
-from millgauge.llm.common import table
+from millgauge.llm.common import table, tokenizer_path
 from millgauge.llm.sql import QUALITY_SQL
 
 
 SHARDS, OLD_SHARDS = 40, 32
 
 
-def _tokenizer(name: str) -> str:
-    """Path of a public tokenizer's file, the same on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document, and whether decoding them gives the text back."""
-    pieces = sentencepiece.read_pieces(_tokenizer("piece_bpe_32k.model"))
+    pieces = sentencepiece.read_pieces(tokenizer_path("piece_bpe_32k.model"))
     encoded = sentencepiece.encode(table(spark, folder, "documents"), pieces)
     return sentencepiece.digests(encoded, pieces)
 
@@ -37,7 +30,7 @@ def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, written to files and read back."""
-    return token_files.round_trip(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_files.round_trip(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:

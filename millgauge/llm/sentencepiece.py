@@ -291,18 +291,20 @@ def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def digests(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, decoded_crc32, round_trip) of encoded rows."""
+def digests(encoded: DataFrame, pieces: Pieces, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, decoded_crc32, text_crc32, round_trip) of encoded rows, and their packed ids."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    ids_too = ", ids binary" if keep_ids else ""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [one.as_py() for one in batch["ids"]]
             texts = pa.array([zlib.crc32(decoded(one, pieces).encode()) for one in ids], pa.int64())
+            more = {"ids": batch["ids"]} if keep_ids else {}
             yield pa.record_batch(
-                [batch["doc_id"], pa.array([len(one) // 4 for one in ids], pa.int64()), pa.array([zlib.crc32(one) for one in ids], pa.int64()), texts, batch["text_crc32"]],
-                ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "text_crc32"],
+                [batch["doc_id"], pa.array([len(one) // 4 for one in ids], pa.int64()), pa.array([zlib.crc32(one) for one in ids], pa.int64()), texts, batch["text_crc32"], *more.values()],
+                ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "text_crc32", *more],
             )
 
-    rows = encoded.mapInArrow(measure, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_crc32 long, text_crc32 long")
+    rows = encoded.mapInArrow(measure, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_crc32 long, text_crc32 long" + ids_too)
     return rows.withColumn("round_trip", F.col("decoded_crc32") == F.col("text_crc32"))
