@@ -15,7 +15,8 @@ The law is ``bytes``: sizes of new shards are near equal, within about a block.
 
 Defined results. A null text has no bytes; a document's size is its bytes plus 16. A
 null doc_id is hashed like any value and equal rows get consecutive slots. Extra
-columns are kept by ``rewrite_affected``. An empty table gives empty shards.
+columns are kept; those named old_shard, block, size, shard, slot or first_slot are
+replaced. An empty table gives empty shards.
 """
 
 from __future__ import annotations
@@ -125,15 +126,25 @@ def _evened(blocks, placed, filled, capacity) -> dict[tuple[int, int], int]:
         gap = over[full] - over[empty]
         if gap <= fine:
             break
-        # What has to move is half the gap: one block, or the difference of two.
-        options = [(abs(gap / 2 - size), (size, old, block), None) for size, old, block in inside[full] if size < gap]
-        few = sorted(inside[empty])[:64]
+
+
+        def more(block: tuple[int, int, int], source: int, target: int) -> int:
+            """Bytes moved more, or fewer, than before if the block goes from source to target."""
+            return block[0] * ((block[1] != target) - (block[1] != source))
+
+        # What has to move is half the gap: one block, or the difference of two. Blocks
+        # that have left their old shard anyway come first.
+        options = [(abs(gap / 2 - one[0]) + more(one, full, empty) / 4, one, None) for one in inside[full] if one[0] < gap]
+        few = sorted(inside[empty], key=lambda other: (more(other, empty, full), other))[:64]
         options += [
-            (abs(gap / 2 - (one[0] - other[0])), one, other) for one in inside[full] for other in few if 0 < one[0] - other[0] < gap
+            (abs(gap / 2 - (one[0] - other[0])) + (more(one, full, empty) + more(other, empty, full)) / 4, one, other)
+            for one in inside[full]
+            for other in few
+            if 0 < one[0] - other[0] < gap
         ]
         if not options:
             break
-        _, one, other = min(options)
+        _, one, other = min(options, key=lambda option: option[0])
         for moved, source, target in ((one, full, empty), (other, empty, full)):
             if moved is not None:
                 inside[source].remove(moved)
@@ -155,7 +166,7 @@ class Plan:
 def _blocked(docs: DataFrame, doc: str, text: str, old_shard: Column, parts: dict[int, int]) -> DataFrame:
     """The rows with ``old_shard``, ``block`` and ``size``."""
     cuts = F.create_map(*(F.lit(x) for pair in sorted(parts.items()) for x in pair)) if parts else F.create_map().cast("map<int,int>")
-    rows = docs.withColumns({"old_shard": old_shard.cast("int"), "size": size_of(F.col(text))})
+    rows = docs.withColumns({"old_shard": old_shard.cast("int"), "size": size_of(F.col(text))}).drop("shard", "slot", "first_slot")
     return rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), doc, text), F.coalesce(F.try_element_at(cuts, "old_shard"), F.lit(1))).cast("int"))
 
 

@@ -109,7 +109,7 @@ def update_ledger(docs: DataFrame, ledger: str, path: str = "doc_id", text: str
     unseen_at = unseen.select(F.col("path").alias("at"), F.col("blob").alias("content")).hint("shuffle_hash")
     chosen = texts.join(unseen_at, texts["path"].eqNullSafe(unseen_at["at"]) & (texts["blob"] == unseen_at["content"]), "left_semi")
     fresh = chosen.select("blob", F.lit(rules).alias("rules"), _scanned("text").alias("spans"))
-    fresh.write.mode("append").parquet(ledger)
+    fresh.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     return _entries(spark, ledger, rules)
 
 

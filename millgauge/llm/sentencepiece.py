@@ -105,7 +105,7 @@ def _bucket(unit: str, buckets: int) -> int:
     return zlib.crc32(unit.encode()) % buckets
 
 
-def _by_bucket(texts: list[str | None], buckets: int) -> dict[int, list[str]]:
+def _by_bucket(texts: list[str], buckets: int) -> dict[int, list[str]]:
     """Distinct units of the texts in buckets, sorted."""
     found: set[str] = set()
     for text in texts:
@@ -228,11 +228,24 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
     chunks = 1 + total // chunk_bytes
     buckets = chunks
     kind = docs.schema[doc].dataType.simpleString()
-    keyed = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc, text), F.lit(chunks)).cast("int").alias("chunk"))
+    dealt = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc, text), F.lit(chunks)).cast("int").alias("chunk"))
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = pa.array([small.compress((one.as_py() or "").encode()) for one in batch["text"]], pa.binary())
+            yield pa.record_batch([batch["doc_id"], batch["chunk"], texts], ["doc_id", "chunk", "text"])
+
+    # Compressed before they move: the texts are the larger part of all that is shuffled.
+    keyed = dealt.mapInArrow(compress, f"doc_id {kind}, chunk int, text binary")
+
+    def plain(group: pa.Table) -> list[str]:
+        large = zstandard.ZstdDecompressor()
+        return [large.decompress(one.as_py()).decode() for one in group["text"]]
 
     def name_units(group: pa.Table) -> pa.Table:
         chunk = group["chunk"][0].as_py()
-        found = _by_bucket(group["text"].to_pylist(), buckets)
+        found = _by_bucket(plain(group), buckets)
         return pa.table(
             {"bucket": pa.array(list(found), pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int32()), "units": pa.array(list(found.values()), pa.list_(pa.string()))}
         )
@@ -252,7 +265,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
     answers = asked.groupBy("bucket").cogroup(solved.groupBy("of_bucket")).applyInArrow(answer, "chunk int, bucket int, packed binary")
 
     def write_ids(group: pa.Table, coded: pa.Table) -> pa.Table:
-        texts = group["text"].to_pylist()
+        texts = plain(group)
         named = _by_bucket(texts, buckets)
         ids: dict[str, bytes] = {}
         for bucket, packed in zip(coded["bucket"].to_pylist(), coded["packed"].to_pylist()):
@@ -261,7 +274,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
             {
                 "doc_id": group["doc_id"],
                 "ids": pa.array([b"".join(map(ids.__getitem__, units(one))) for one in texts], pa.binary()),
-                "text_crc32": pa.array([zlib.crc32((one or "").encode()) for one in texts], pa.int64()),
+                "text_crc32": pa.array([zlib.crc32(one.encode()) for one in texts], pa.int64()),
             }
         )
 

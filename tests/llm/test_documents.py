@@ -1,0 +1,443 @@
+"""The operators on documents against brute-force versions, on awkward rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from millgauge.llm import common, decontaminate, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files
+from tests.llm.fixtures import ITEM, collected, documents, texts
+
+ROWS = texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    documents(spark).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return documents(spark, [])
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# quality rules
+
+
+def quality(text):
+    found, text = words(text), text or ""
+    grams = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+    counts = collections.Counter(grams)
+    inside = {i + k for i, gram in enumerate(grams) if counts[gram] > 1 for k in range(3)}
+    lines = [line for line in text.split("\n") if words(line)]
+    return (len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside))
+
+
+def test_quality_metrics(docs):
+    got = docs.withColumn("row", F.xxhash64("doc_id", "text")).drop("quality")
+    rows = quality_rules.judged(got).select("doc_id", "text", "quality.*").collect()
+    assert len(rows) == len(ROWS)
+    for row in rows:
+        expected = quality(row.text)
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == expected
+        n, repeated = expected[0], expected[4]
+        assert row.base_failed == (n < 50 or 100 * repeated > 50 * n)
+        assert not (row.base_failed and row.kept)
+
+
+def test_quality_keeps_rows_as_they_are(docs, empty):
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    ids = {row.doc_id for row in kept.collect()}
+    assert {0, 1, 2, 8, 9, 10} <= ids and not ids & {3, 4, 5, 6, 16, 17, 18}
+    assert quality_rules.keep_good(empty).count() == 0
+
+
+def test_quality_needs_no_python_and_no_shuffle(docs):
+    plan = quality_rules.judged(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Exchange", plan)
+
+
+# SimHash
+
+
+def fingerprint(text):
+    found = words(lower(text))
+    grams = [" ".join(found[i : i + 3]) for i in range(len(found) - 2)] or ([" ".join(found)] if found else [])
+    ones = [0] * 64
+    for gram in grams:
+        value = xxhash.xxh64_intdigest(gram.encode(), 42)
+        for bit in range(64):
+            ones[bit] += value >> bit & 1
+    return sum(1 << bit for bit in range(64) if 2 * ones[bit] > len(grams))
+
+
+def reachable(values):
+    """Index of the smallest member of each value's component within two bits."""
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j in range(i):
+            if (a ^ values[j]).bit_count() <= 2:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [find(i) for i in range(len(values))]
+
+
+def test_fingerprints_and_components(docs):
+    got = simhash.components(docs).collect()
+    assert len(got) == len(ROWS)
+    expected = {(d, fingerprint(t)) for d, t in ROWS}
+    assert {(r.doc_id, r.fp % (1 << 64)) for r in got} == expected
+    pairs = sorted(expected, key=lambda x: (x[0] is None, x[0] or 0))
+    roots = reachable([fp for _, fp in pairs])
+    component = {fp: pairs[root][0] for (_, fp), root in zip(pairs, roots)}
+    assert all(r.component_id == component[r.fp % (1 << 64)] for r in got)
+
+
+@pytest.mark.parametrize("key_rows", [64, 1])
+def test_all_links_are_found(spark, key_rows):
+    """Dense clusters, chains and lone values; key_rows = 1 sends every group through the variants."""
+    rng = np.random.default_rng(5)
+    values = {0, (1 << 64) - 1}
+    for _ in range(60):
+        value = int(rng.integers(0, 1 << 63)) * 2 + 1
+        for _ in range(8):
+            values.add(value)
+            for bit in rng.choice(64, rng.integers(1, 4), replace=False):
+                value ^= 1 << int(bit)
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), key_rows)
+    assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 2 for r in edges.collect())
+    from millgauge.llm.components import connected
+
+    root = {r.node: r.root for r in connected(edges).collect()}
+    mine = collections.defaultdict(set)
+    for v in signed:
+        mine[root.get(v, v)].add(v)
+    theirs = collections.defaultdict(set)
+    for v, r in zip(signed, reachable(values)):
+        theirs[r].add(v)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_golay_code_covers_every_word():
+    assert len({simhash._syndrome(np.array([int(e)]))[0] for e in simhash.LIGHT}) == 2048
+    rng = np.random.default_rng(1)
+    for word in rng.integers(0, 1 << 23, 300).tolist():
+        near = set(simhash.codewords_near(word))
+        for bit in range(23):
+            assert simhash.codewords_near(word ^ (1 << bit))[0] in near
+
+
+def test_one_of_each_group_stays(docs, empty):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert 0 in ids and 1 not in ids and 3 in ids and 4 not in ids and 5 not in ids and ids.count(20) == 2
+    assert simhash.keep_one(empty).count() == 0 and simhash.components(empty).count() == 0
+
+
+# benchmark
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+ITEMS = [(1, ITEM), (2, "hunter2hunter2"), (3, None), (4, "!!"), (5, " ".join(f"common{i}" if i % 3 == 0 else f"shared{i}" for i in range(40))), (5, ITEM), (None, "Two words"), (7, ITEM), (6, "the of")]
+
+
+def contamination(text):
+    found, hit, ids = terms(text), set(), set()
+    for item, body in ITEMS:
+        seek = terms(body)
+        n = min(13, len(seek))
+        for k in range(len(seek) - n + 1 if n else 0):
+            for i in range(len(found) - n + 1):
+                if found[i : i + n] == seek[k : k + n]:
+                    hit |= set(range(i, i + n))
+                    ids.add(item)
+    listed = ",".join(sorted(str(i) for i in ids if i is not None))
+    return len(found), len(hit), listed, bool(hit) and 20 * len(hit) >= len(found)
+
+
+@pytest.fixture(scope="module")
+def items(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("items") / "benchmark.parquet")
+    spark.createDataFrame([(*row, None) for row in ITEMS], "item_id long, text string, doc long").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_contamination(docs, items, empty):
+    got = decontaminate.contamination(docs, items).collect()
+    expected = collections.Counter((d, *contamination(t)) for d, t in ROWS)
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got) == expected
+    assert decontaminate.contamination(empty, items).count() == 0
+    assert decontaminate.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns
+    bad = sum(n for row, n in expected.items() if row[-1])
+    assert bad > 2 and kept.count() == len(ROWS) - bad
+
+
+def test_proximity(spark, docs, items):
+    rows = [(1, "alpha beta gamma delta epsilon"), (2, "epsilon x beta x alpha x gamma x delta"), (3, "alpha beta gamma " + "y " * 40 + "delta epsilon"), (4, "alpha beta")]
+    near = documents(spark, rows)
+    benchmark = decontaminate.read_benchmark(spark.createDataFrame([(1, "Alpha beta gamma delta epsilon")], "item_id long, text string"))
+    index = decontaminate.build_index(near, benchmark)
+    ranked = decontaminate._ranked(benchmark, index)
+    assert {r.doc for r in decontaminate.phrase_matches(ranked, index).collect()} == {1}
+    assert {r.doc for r in decontaminate.proximity_matches(ranked, index).collect()} == {1, 2}
+
+
+# secrets
+
+
+def spans(text):
+    """Base spans with the patterns as they are told, every letter in either case."""
+    either = lambda word: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
+    keyword = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key")
+    rules = (
+        ("assign", rf"""({keyword})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18),
+        ("hex", "[0-9a-f]+", 0, 16),
+    )
+    found = [
+        (m.start(), order, f"{kind}:{m.start()}:{m.end()}")
+        for order, (kind, pattern, group, least) in enumerate(rules)
+        for m in re.finditer(pattern, text or "")
+        if len(m[group]) >= least
+    ]
+    return [span for _, _, span in sorted(found)]
+
+
+def test_secrets(spark, docs, empty, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    first = docs.where("doc_id < 14")
+    secrets.update_ledger(first, ledger)
+    scanned = spark.read.parquet(ledger).count()
+    assert scanned == len({t or "" for d, t in ROWS if d is not None and d < 14})
+    got = secrets.findings(docs, ledger).collect()
+    # Only what the first run had not seen was scanned by the second.
+    assert spark.read.parquet(ledger).count() == len({t or "" for _, t in ROWS})
+    assert len(got) == len(ROWS)
+    by_blob = {hashlib.sha256((t or "").encode()).digest(): t for _, t in ROWS}
+    for row in got:
+        base = [f"{s.kind}:{s.start}:{s.end}" for s in row.spans if s.kind in ("assign", "access", "hex")]
+        assert base == spans(by_blob[bytes(row.blob)])
+    secrets.update_ledger(docs, ledger, rules=2)
+    assert spark.read.parquet(ledger).where("rules = 2").count() == len(by_blob)
+    assert secrets.findings(empty).count() == 0
+
+
+def test_redaction(docs):
+    clean = secrets.redacted(docs)
+    assert clean.columns == docs.columns
+    got = collected(clean)
+    assert got[13][0].text == "[SECRET]\" and [SECRET], é [SECRET]"
+    assert collections.Counter(r.text for rows in got.values() for r in rows if r.doc_id != 13) == collections.Counter(t for d, t in ROWS if d != 13)
+
+
+def test_more_kinds_of_secrets():
+    text = "-----BEGIN RSA PRIVATE KEY----- and postgres://me:hidden1@host/db"
+    assert [(kind, text[a:b]) for kind, a, b in secrets.scan(text)] == [("private_key", text[:31]), ("url_password", "postgres://me:hidden1@")]
+
+
+# resharding
+
+
+def test_resharding(spark, docs, empty, tmp_path):
+    placed, affected = resharding.reshard(docs, F.pmod(F.xxhash64("text"), F.lit(3)), 4)
+    rows = placed.collect()
+    assert len(rows) == len(ROWS) and all(r["size"] == len((r.text or "").encode()) + 16 for r in rows)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    resharding.rewrite_affected(placed, affected, str(tmp_path / "shards"))
+    back = resharding.read_shards(spark, str(tmp_path / "shards"), placed)
+    wanted = [r for r in rows if r.shard in affected]
+    assert collections.Counter((r.doc_id, r.text, r.shard, r.slot) for r in back.collect()) == collections.Counter((r.doc_id, r.text, r.shard, r.slot) for r in wanted)
+    assert resharding.reshard(empty, F.lit(0), 4)[0].count() == 0
+
+
+def test_few_bytes_move_and_shards_are_even():
+    blocks = [(old, block, 100 + block % 7) for old in range(4) for block in range(50 if old else 250)]
+    total = sum(size for *_, size in blocks)
+    capacity = {new: total // 5 + (new < total % 5) for new in range(5)}
+    placed = resharding.place_blocks(blocks, capacity)
+    filled = collections.Counter()
+    for old, block, size in blocks:
+        filled[placed[(old, block)]] += size
+    assert max(filled.values()) - min(filled.values()) <= 7
+    moved = sum(size for old, block, size in blocks if placed[(old, block)] != old)
+    least = sum(max(0, sum(s for o, _, s in blocks if o == old) - capacity[old]) for old in range(4))
+    assert least <= moved <= least + 4 * 110
+
+
+def test_flow_follows_costs():
+    """Moving from shard 0 is cheap to 2 and dear to 3; the optimum uses a residual arc."""
+    price = {(0, 2): 1, (0, 3): 2, (1, 2): 1, (1, 3): 9}
+    flow = resharding.min_cost_flow({0: 10, 1: 10}, {2: 10, 3: 10}, lambda a, b: price[(a, b)])
+    assert flow == {(0, 3): 10, (1, 2): 10}
+
+
+# SentencePiece
+
+TABLE = [("▁", -3.0), ("a", -4.0), ("b", -4.5), ("ab", -5.0), ("▁a", -3.5), ("ba", -5.5), ("▁ab", -9.0), ("aa", -6.0), ("▁▁", -4.0), ("é", -7.0)]
+
+
+def viterbi(text, pieces):
+    """Best path over the whole text, without cutting it into units."""
+    if not text:
+        return []
+    scores = {p: (i, s) for p, i, s in pieces.usable}
+    whole = "▁" + text.replace(" ", "▁")
+    best = [(0.0, None, None)]
+    for end in range(1, len(whole) + 1):
+        found = None
+        for start in range(max(0, end - pieces.longest), end):
+            number, score = scores.get(whole[start:end], (None, None))
+            if number is None:
+                if end - start > 1:
+                    continue
+                number, score = -1, pieces.unknown_score
+            if found is None or best[start][0] + score > found[0]:
+                found = (best[start][0] + score, start, number)
+        best.append(found)
+    out, end = [], len(whole)
+    while end:
+        _, start, number = best[end]
+        out.append([number] if number >= 0 else [pieces.bytes_at[b] for b in whole[start:end].encode()])
+        end = start
+    return [i for part in reversed(out) for i in part]
+
+
+@pytest.fixture(scope="module")
+def small_pieces():
+    texts_ = ["<unk>", "<s>", "</s>", *(f"<0x{b:02X}>" for b in range(256)), *(p for p, _ in TABLE)]
+    usable = [(p, 259 + k, s) for k, (p, s) in enumerate(TABLE)]
+    return sentencepiece.pieces_of(texts_, usable, range(3, 259), 0, {1, 2})
+
+
+@pytest.fixture(scope="module")
+def model_pieces():
+    return sentencepiece.read_pieces(common.tokenizer_path("piece_bpe_32k.model"))
+
+
+def ids_of(data):
+    return np.frombuffer(data, "<u4").tolist()
+
+
+@pytest.mark.parametrize("which", ["small_pieces", "model_pieces"])
+def test_encoding_and_decoding(docs, empty, request, which):
+    pieces = request.getfixturevalue(which)
+    encoded = sentencepiece.encode(docs, pieces, chunk_bytes=20_000)
+    rows = sentencepiece.decode(encoded, pieces).collect()
+    expected = collections.Counter((d, tuple(viterbi(t, pieces)), t or "") for d, t in ROWS)
+    assert collections.Counter((r.doc_id, tuple(ids_of(r.ids)), r.decoded) for r in rows) == expected
+    assert all(r.round_trip for r in sentencepiece.digests(encoded, pieces).collect())
+    assert sentencepiece.encode(empty, pieces).count() == 0
+
+
+def test_encoding_is_the_library_s(spark, small_pieces):
+    """The same table as a unigram model in the public library."""
+    import sentencepiece as library
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, True
+    model.normalizer_spec.name, model.normalizer_spec.remove_extra_whitespaces = "identity", False
+    kinds = {0: 2, 1: 3, 2: 3}
+    scores = {i: s for _, i, s in small_pieces.usable}
+    for i, text in enumerate(small_pieces.texts):
+        model.pieces.add(piece=text, score=scores.get(i, 0.0), type=kinds.get(i, 6 if i < 259 else 1))
+    public = library.SentencePieceProcessor(model_proto=model.SerializeToString())
+    rng = np.random.default_rng(3)
+    made = [(i, "".join(rng.choice(list("aab  é?"), rng.integers(0, 40)))) for i in range(120)]
+    rows = sentencepiece.encode(documents(spark, made), small_pieces).collect()
+    assert {r.doc_id: ids_of(r.ids) for r in rows} == {i: public.encode(t) for i, t in made}
+
+
+def test_pieces_are_checked():
+    with pytest.raises(ValueError):
+        sentencepiece.pieces_of(["a▁b"], [("a▁b", 0, -1.0)], (), 0)
+
+
+# token files
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    root = str(tmp_path / "tokens")
+    token_files.write(docs, root, path)
+    rows = token_files.read(spark, root).collect()
+    expected = collections.Counter((d, (*library.encode(t or "", add_special_tokens=False).ids, 0)) for d, t in ROWS)
+    assert collections.Counter((r.doc_id, tuple(r["ids"])) for r in rows) == expected
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += len(r["ids"])
+    known = [r.doc_id for r in sorted(rows, key=lambda r: r.start) if r.doc_id is not None]
+    assert known == sorted(known)
+    for r in token_files.digests(spark, root).collect():
+        assert (r.n_tokens, r.ids_crc32) in {(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for _, ids in expected}
+    assert sorted(token_files.read_one(spark, root, 21)) == sorted(list(ids) for d, ids in expected if d == 21)
+    assert token_files.round_trip(empty, path).count() == 0
+
+
+def test_units_of_odd_white_space():
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        text = "".join(rng.choice(list("ab1.'s \n\t\x1c\x85\xa0　é🙂"), rng.integers(0, 30)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+# repeated passages
+
+
+def test_repeated_passages(docs, empty):
+    got = collections.defaultdict(set)
+    for r in suffixes.repeated_passages(docs).collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+    where = collections.defaultdict(set)
+    found = [(d, (t or "").encode().split()) for d, t in {(d, t) for d, t in ROWS}]
+    for number, (_, w) in enumerate(found):
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(number)
+    expected = collections.defaultdict(set)
+    for d, w in found:
+        for k in range(len(w) - 49):
+            if len(where[tuple(w[k : k + 50])]) > 1:
+                expected[d] |= set(range(k, k + 50))
+    assert got == expected and {0, 1, 2, 9, 10} <= set(got)
+    assert suffixes.repeated_passages(empty).count() == 0
