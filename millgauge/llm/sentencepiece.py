@@ -44,6 +44,8 @@ from millgauge.llm.common import let
 
 MARK = "▁"
 CHUNK_BYTES = 24 << 20
+# Bytes of text per bucket of distinct units: a bucket's edges fit in a task's memory.
+BUCKET_BYTES = 2 << 20
 MAX_PIECES = 500_000
 UNKNOWN_PENALTY = 10.0
 FOLD_BLOCK = 256
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
     """(doc_id, ids, text_crc32) of every row; ``ids`` are packed little-endian 32-bit numbers."""
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     chunks = 1 + total // chunk_bytes
-    buckets = chunks
+    buckets = 1 + total // BUCKET_BYTES
     kind = docs.schema[doc].dataType.simpleString()
     dealt = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc, text), F.lit(chunks)).cast("int").alias("chunk"))
 
@@ -250,9 +252,11 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
             {"bucket": pa.array(list(found), pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int32()), "units": pa.array(list(found.values()), pa.list_(pa.string()))}
         )
 
-    asked = keyed.groupBy("chunk").applyInArrow(name_units, "bucket int, chunk int, units array<string>").repartition("bucket")
-    distinct = asked.select("bucket", F.explode("units").alias("unit")).distinct()
-    solved = lattice(distinct, pieces, ["bucket"]).select("bucket", "unit", best_paths(F.col("edges")).alias("best")).select(F.col("bucket").alias("of_bucket"), "unit", "best.*")
+    asked = keyed.groupBy("chunk").applyInArrow(name_units, "bucket int, chunk int, units array<string>").repartition(buckets, "bucket")
+    # Both uses of ``asked`` read all its columns, so that they share one shuffle.
+    distinct = asked.select("bucket", "chunk", F.explode("units").alias("unit")).groupBy("bucket", "unit").agg(F.min("chunk").alias("asker"))
+    solved = lattice(distinct, pieces, ["bucket", "asker"]).select("bucket", "asker", "unit", best_paths(F.col("edges")).alias("best"))
+    solved = solved.select(F.col("bucket").alias("of_bucket"), "asker", "unit", "best.*")
 
     def answer(questions: pa.Table, answers: pa.Table) -> pa.Table:
         ids = {
