@@ -49,7 +49,11 @@ SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 1 << 16
 BLOCK_DOCS = 128
 BLOCK_BYTES = 1 << 20
-CACHE_UNITS = 800_000
+CACHE_UNITS = 1_200_000
+# Units that one call of the library encodes.
+CALL_UNITS = 4096
+# Fixed value: how a byte-level vocabulary writes a space.
+SPACE = "Ġ"
 LEVEL = 3
 
 
@@ -70,15 +74,32 @@ class Encoder:
         )
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[number for token, number in vocabulary.items() if token.startswith(SPACE)]] = True
 
     def _pack(self, units: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(units, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
-    def _learn(self, cache: dict[str, bytes], units: set[str], prefix: str) -> None:
-        missing = [unit for unit in units if unit not in cache]
+    def _learn_first(self, units: set[str]) -> None:
+        missing = [unit for unit in units if unit not in self.first]
         if missing:
-            cache.update(zip(missing, self._pack([prefix + unit for unit in missing])))
+            self.first.update(zip(missing, self._pack(missing)))
+
+    def _learn_spaced(self, units: set[str]) -> None:
+        """Units after a space, many in one call: a token that begins with a space begins the next unit."""
+        missing = [unit for unit in units if unit not in self.spaced]
+        for at in range(0, len(missing), CALL_UNITS):
+            some = missing[at : at + CALL_UNITS]
+            joined = " ".join(["", *some])
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.nonzero(self.opens[ids])[0]
+            if len(starts) != len(some) or "" in some:
+                self.spaced.update(zip(some, self._pack([" " + unit for unit in some])))
+                continue
+            data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            self.spaced.update((unit, data[a:b]) for unit, a, b in zip(some, (4 * starts).tolist(), ends))
 
     def encode(self, text: str) -> bytes:
         if not self.by_unit or any(token in text for token in self.special):
@@ -89,11 +110,11 @@ class Encoder:
         if re.search(r" \s", text):
             # A run of white space: its last space begins the next unit.
             units = re.split(r"(?= \S)", text)
-            self._learn(self.first, set(units), "")
+            self._learn_first(set(units))
             return b"".join(map(self.first.__getitem__, units))
         head, *rest = text.split(" ")
-        self._learn(self.first, {head}, "")
-        self._learn(self.spaced, set(rest), " ")
+        self._learn_first({head})
+        self._learn_spaced(set(rest))
         return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
 
 
