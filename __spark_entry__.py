@@ -51,7 +51,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def _typed_feed(feed: str, rows: DataFrame) -> DataFrame:
     """Typed rows without the arrival time and file, which differ on every run."""
     typed = TYPERS[feed](rows)
-    return typed.drop("_ingested_at", "_source_file")
+    return typed.drop("_ingested_at", "_source_file", "_file_ts")
 
 
 def _ingested(shop: StagedShop, feed: str) -> DataFrame:
@@ -207,10 +207,8 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     "affected_work_orders": lambda s: dispatch.affected_work_orders(s.work_orders, _failed(s)),
     "replacement_candidates": lambda s: dispatch.replacement_candidates(s.machines, s.bare_orders, _failed(s)),
     "active_order_counts": lambda s: dispatch.active_order_counts(s.bare_orders),
-    "replacement_moves": lambda s: dispatch.move_counts(s.bare_orders, _moves(s)),
-    "reassign_work_orders": lambda s: dispatch.reassign_work_orders(s.bare_orders, _moves(s)).select(
-        "work_order_id", "part_number", "work_center", "status", "due_date", "machine_id"
-    ),
+    "replacement_moves": lambda s: dispatch.move_counts(s.bare_orders, _moves(s), s.machines),
+    "reassign_work_orders": lambda s: dispatch.reassign_work_orders(s.work_orders, _moves(s), s.machines),
     # named metrics
     "measure_utilization_pct_rounded": lambda s: s.utilization.select("machine_id", "period_day", metric("utilization_pct_rounded")),
     "measure_farm_out_rate_pct": lambda s: s.capacity.select("work_center", "period_month", metric("farm_out_rate_pct")),

@@ -313,8 +313,8 @@ def _selects(as_of: str) -> dict[str, str]:
         "active_order_counts": "SELECT machine_id, active_orders FROM load",
         "replacement_moves": """SELECT from_machine_id, to_machine_id, coalesce(active_orders, 0) AS moved_orders
             FROM moves LEFT JOIN load ON machine_id = from_machine_id""",
-        "reassign_work_orders": f"""SELECT work_order_id, part_number, work_center, status, due_date,
-            CASE WHEN {OPEN} AND to_machine_id IS NOT NULL THEN to_machine_id ELSE machine_id END AS machine_id
+        "reassign_work_orders": f"""SELECT * EXCLUDE (from_machine_id, to_machine_id) REPLACE (
+                CASE WHEN {OPEN} AND to_machine_id IS NOT NULL THEN to_machine_id ELSE machine_id END AS machine_id)
             FROM work_orders LEFT JOIN moves ON from_machine_id = machine_id""",
         # named metrics
         "measure_utilization_pct_rounded": """SELECT machine_id, period_day,

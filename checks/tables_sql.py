@@ -251,8 +251,8 @@ CTES: dict[str, str] = {
         FROM work_orders WHERE {OPEN} AND machine_id IS NOT NULL GROUP BY machine_id""",
     "mentioned": """
         SELECT incident_id, report_text,
-               CASE WHEN regexp_matches(upper(report_text), '\\bMCH[-\\s]?[0-9]{3}\\b')
-                    THEN 'MCH-' || regexp_extract(upper(report_text), '\\bMCH[-\\s]?([0-9]{3})\\b', 1) END AS machine_id
+               CASE WHEN regexp_matches(upper(report_text), '\\bMCH[-\\s]?[0-9]{3,}\\b')
+                    THEN 'MCH-' || regexp_extract(upper(report_text), '\\bMCH[-\\s]?([0-9]{3,})\\b', 1) END AS machine_id
         FROM incidents""",
     "reported": "SELECT DISTINCT machine_id FROM mentioned WHERE machine_id IS NOT NULL",
     "out_of_service": """

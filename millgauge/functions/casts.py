@@ -18,6 +18,9 @@ def lenient(df: DataFrame, name: str, target: str) -> Column:
     column = F.col(name)
     if _type_of(df, name) == target:
         return column
+    if target == "int":
+        # A whole number may be written with decimals ("12.0"); they are cut off.
+        return F.coalesce(column.try_cast("int"), column.try_cast("double").try_cast("int"))
     return column.try_cast(target)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: how operators write a machine id ("MCH-010", "mch 010", "MCH010").
-MACHINE_ID_PATTERN = r"\bMCH[-\s]?(\d{3})\b"
+# Fixed value: how operators write a machine id ("MCH-010", "mch 010", "MCH010",
+# "mch 1000"): three digits or, in larger fleets, more.
+MACHINE_ID_PATTERN = r"\bMCH[-\s]?(\d{3,})\b"
 
 
 def machine_id_in(text: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from millgauge.functions.health import availability_band
 from millgauge.functions.numeric import rnd
 from millgauge.functions.text import machine_id_in
-from millgauge.operators.joins import join_attributes
 
 # Statuses of orders that still need a machine, and of machines
 # that cannot work.
@@ -181,12 +180,9 @@ def out_of_service(machines: DataFrame, reported: DataFrame) -> DataFrame:
     return down.join(reported, "machine_id", "left_semi").select("machine_id")
 
 
-def valid_moves(moves: DataFrame, machines: DataFrame) -> DataFrame:
-    """Moves to an active machine of the same work center, one per machine.
-
-    Two different targets for one machine are ambiguous and stop the job.
-    """
-    single = (
+def single_moves(moves: DataFrame) -> DataFrame:
+    """One row per machine; two different targets are ambiguous and stop the job."""
+    return (
         moves.groupBy("from_machine_id")
         .agg(F.min("to_machine_id").alias("to_machine_id"), F.max("to_machine_id").alias("other"))
         .filter(
@@ -194,7 +190,18 @@ def valid_moves(moves: DataFrame, machines: DataFrame) -> DataFrame:
                 F.raise_error(F.concat(F.lit("two targets for machine "), F.col("from_machine_id"))).cast("boolean")
             )
         )
+        .select("from_machine_id", "to_machine_id")
     )
+
+
+def valid_moves(moves: DataFrame, machines: DataFrame | None = None) -> DataFrame:
+    """Moves to an active machine of the same work center, one per machine.
+
+    Without the machines only the targets' number is checked.
+    """
+    single = single_moves(moves)
+    if machines is None:
+        return single
     source = machines.select(F.col("machine_id").alias("from_machine_id"), "work_center")
     target = machines.filter(F.col("status") == "Active").select(
         F.col("machine_id").alias("to_machine_id"), F.col("work_center").alias("target_center")
@@ -207,29 +214,26 @@ def valid_moves(moves: DataFrame, machines: DataFrame) -> DataFrame:
     )
 
 
-def _moving(work_orders: DataFrame, moves: DataFrame) -> DataFrame:
-    """Work orders with the target of their move, null where they stay.
-
-    Orders that cannot move are most of the table. They get a key of their own
-    that matches nothing, so that they spread over all tasks instead of meeting
-    under one null key.
-    """
-    movable = is_active_order() & F.col("machine_id").isNotNull()
-    key = F.when(movable, F.col("machine_id")).otherwise(F.concat(F.lit("order "), "work_order_id"))
-    return join_attributes(work_orders.withColumn("from_machine_id", key), moves, "from_machine_id", "left")
-
-
-def reassign_work_orders(work_orders: DataFrame, moves: DataFrame) -> DataFrame:
+def reassign_work_orders(work_orders: DataFrame, moves: DataFrame, machines: DataFrame | None = None) -> DataFrame:
     """The work-order snapshot with active orders moved; all else unchanged.
 
-    ``moves`` holds at most one row per machine (see :func:`valid_moves`).
+    Moves are validated first. Only orders that can move meet them; the others, most
+    of the table, are passed through and never shuffled, whatever join is chosen.
     """
-    moved = _moving(work_orders, moves).withColumn("machine_id", F.coalesce("to_machine_id", "machine_id"))
-    return moved.select(*work_orders.columns)
+    valid = valid_moves(moves, machines)
+    movable = is_active_order() & F.col("machine_id").isNotNull()
+    target = F.coalesce("to_machine_id", "machine_id").alias("machine_id")
+    moved = (
+        work_orders.filter(movable)
+        .join(valid, F.col("machine_id") == F.col("from_machine_id"), "left")
+        .select(*(target if name == "machine_id" else F.col(name) for name in work_orders.columns))
+    )
+    return work_orders.filter(~F.coalesce(movable, F.lit(False))).unionByName(moved)
 
 
-def move_counts(work_orders: DataFrame, moves: DataFrame) -> DataFrame:
-    """How many orders each move takes along, counted on the same rows it moves."""
-    return moves.join(active_order_counts(work_orders), F.col("from_machine_id") == F.col("machine_id"), "left").select(
+def move_counts(work_orders: DataFrame, moves: DataFrame, machines: DataFrame | None = None) -> DataFrame:
+    """How many orders each valid move takes along, counted on the same rows it moves."""
+    valid = valid_moves(moves, machines)
+    return valid.join(active_order_counts(work_orders), F.col("from_machine_id") == F.col("machine_id"), "left").select(
         "from_machine_id", "to_machine_id", F.coalesce("active_orders", F.lit(0)).alias("moved_orders")
     )

@@ -22,7 +22,24 @@ def latest_per_key(
     return df.withColumn("_place", place.over(window)).filter(F.col("_place") == 1).drop("_place")
 
 
+def newest_rows(df: DataFrame, period: str) -> DataFrame:
+    """All rows of the newest period, from one pass over the frame.
+
+    Each partition is cut to its own newest period before the partitions meet, so
+    the last step sees a period's rows per task at most, not the table.
+    """
+    place = F.rank().over(Window.orderBy(F.col(period).desc_nulls_last()))
+    ranked = df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
+    return ranked.filter(F.col(period).isNotNull())
+
+
 def current_machines(machines: DataFrame) -> DataFrame:
-    """One row per machine from a master that may have been delivered repeatedly."""
-    order = [F.col("_ingested_at").desc(), F.col("_source_file").desc()]
+    """One row per machine from a master that may have been delivered repeatedly.
+
+    The newest file wins, then the latest arrival and the file's name. Rows of one
+    file are told apart by a hash of their columns, so the choice is the same in
+    every run.
+    """
+    when = [F.col(name).desc_nulls_last() for name in ("_file_ts", "_ingested_at", "_source_file") if name in machines.columns]
+    order = [*when, F.xxhash64(*sorted(machines.columns))]
     return latest_per_key(machines, ["machine_id"], order)

@@ -50,13 +50,13 @@ RULES: dict[str, tuple[Rule, ...]] = {
     "bronze_routings": (
         Rule("bz_routing_id_not_null", "routing_id IS NOT NULL"),
         Rule("bz_part_number_not_null", "part_number IS NOT NULL"),
-        Rule("bz_op_sequence_positive", "try_cast(operation_sequence AS INT) > 0"),
+        Rule("bz_op_sequence_positive", "try_cast(try_cast(operation_sequence AS DOUBLE) AS INT) > 0"),
         Rule("bz_run_time_non_negative", "try_cast(run_time_hrs_per_unit AS DOUBLE) >= 0"),
     ),
     "bronze_work_orders": (
         Rule("bz_wo_id_not_null", "work_order_id IS NOT NULL"),
         Rule("bz_wo_part_not_null", "part_number IS NOT NULL"),
-        Rule("bz_wo_qty_positive", "try_cast(order_qty AS INT) > 0"),
+        Rule("bz_wo_qty_positive", "try_cast(try_cast(order_qty AS DOUBLE) AS INT) > 0"),
         Rule("bz_wo_status_not_null", "status IS NOT NULL"),
         Rule("bz_wo_due_date_not_null", "due_date IS NOT NULL"),
     ),

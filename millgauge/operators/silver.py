@@ -14,7 +14,7 @@ from millgauge.functions.casts import lenient, lenient_date, lenient_timestamp
 from millgauge.functions.health import DEFAULT_LIMITS, HealthLimits, health_score
 from millgauge.operators.quality import RULES, drop_violations
 
-_INGEST = ("_ingested_at", "_source_file")
+_INGEST = ("_ingested_at", "_source_file", "_file_ts")
 DATE_FORMAT = "yyyy-MM-dd"
 MOMENT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 

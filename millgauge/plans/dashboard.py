@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millgauge.functions.health import urgency_order
 from millgauge.functions.numeric import rnd
 from millgauge.functions.periods import month_label
+from millgauge.operators.latest import newest_rows
 from millgauge.plans.analytics import latest_health
 
 # --- datasets --------------------------------------------------------------------
@@ -176,8 +177,7 @@ def demand_vs_capacity(capacity: DataFrame) -> DataFrame:
 
 def demand_vs_capacity_latest(capacity: DataFrame) -> DataFrame:
     monthly = capacity_monthly(capacity)
-    newest = monthly.agg(F.max("month")).scalar()
-    return monthly.filter(F.col("month") == newest).select("month", "work_center", "demand_hrs", "available_hrs")
+    return newest_rows(monthly, "month").select("month", "work_center", "demand_hrs", "available_hrs")
 
 
 def load_status_distribution(capacity: DataFrame) -> DataFrame:

@@ -9,8 +9,7 @@ from millgauge.functions import health
 from millgauge.functions.numeric import percent, rnd, tally
 from millgauge.functions.periods import month_label
 from millgauge.operators.dispatch import is_active_order
-from millgauge.operators.joins import join_attributes
-from millgauge.operators.latest import latest_per_key
+from millgauge.operators.latest import latest_per_key, newest_rows
 from millgauge.plans.analytics import latest_health
 
 
@@ -75,7 +74,7 @@ def utilization_by_machine(utilization: DataFrame, machines: DataFrame) -> DataF
     )
     names = machines.select("machine_id", "machine_name", "work_center")
     return (
-        join_attributes(means, names, "machine_id")
+        means.join(names, "machine_id")
         .select("machine_id", "machine_name", "work_center", "avg_utilization_pct", "avg_efficiency_pct")
         .orderBy(F.col("avg_utilization_pct").desc(), "machine_id")
     )
@@ -111,9 +110,8 @@ def farmout_by_vendor(farmout: DataFrame) -> DataFrame:
 
 def maintenance_summary(maintenance: DataFrame) -> DataFrame:
     """Machines with readings on the newest day of the whole fleet."""
-    newest = maintenance.agg(F.max("reading_date")).scalar()
     return (
-        maintenance.filter(F.col("reading_date") == newest)
+        newest_rows(maintenance, "reading_date")
         .groupBy("machine_id", "machine_name", "work_center", "maintenance_urgency")
         .agg(
             F.min("min_health_score").alias("worst_health_score"),
@@ -125,9 +123,8 @@ def maintenance_summary(maintenance: DataFrame) -> DataFrame:
 
 
 def capacity_latest(capacity: DataFrame) -> DataFrame:
-    newest = capacity.agg(F.max("period_month")).scalar()
     return (
-        capacity.filter(F.col("period_month") == newest)
+        newest_rows(capacity, "period_month")
         .groupBy("work_center", "load_status")
         .agg(rnd(F.avg("capacity_utilization_pct"), 1).alias("avg_capacity_pct"))
         .orderBy(F.col("avg_capacity_pct").desc(), "work_center")
@@ -193,29 +190,17 @@ def latest_reading(sensor_data: DataFrame) -> DataFrame:
     return latest_per_key(sensor_data, ["machine_id"], [F.col("reading_timestamp").desc(), F.col("sensor_id").desc()])
 
 
-def _orders_on_machine(work_orders: DataFrame) -> DataFrame:
-    """Distinct active orders and their quantity per machine."""
-    active = work_orders.filter(is_active_order() & F.col("machine_id").isNotNull())
-    return (
-        active.groupBy("machine_id", "work_order_id")
-        .agg(F.sum("order_qty").alias("qty"))
-        .groupBy("machine_id")
-        .agg(F.count(F.lit(1)).alias("active_orders"), F.sum("qty").alias("total_qty"))
-    )
+def _work_on_machine(work_orders: DataFrame) -> DataFrame:
+    """Distinct active orders, their quantity and the names of their parts, per machine.
 
-
-def _parts_on_machine(work_orders: DataFrame) -> DataFrame:
-    """Names of the parts in work per machine, alphabetically.
-
-    Names are made distinct before they are gathered, so what a machine's task
-    holds is the printed list itself, however many orders stand behind it.
+    One pass over the orders. Names are kept as a set from the first task on, so what
+    a machine's task holds is the printed list itself, however many orders stand behind it.
     """
     active = work_orders.filter(is_active_order() & F.col("machine_id").isNotNull())
-    return (
-        active.select("machine_id", "part_description")
-        .distinct()
-        .groupBy("machine_id")
-        .agg(F.array_join(F.sort_array(F.collect_list("part_description")), ", ").alias("parts"))
+    return active.groupBy("machine_id").agg(
+        F.count_distinct("work_order_id").alias("active_orders"),
+        F.sum("order_qty").alias("total_qty"),
+        F.array_join(F.sort_array(F.collect_set("part_description")), ", ").alias("parts"),
     )
 
 
@@ -231,8 +216,7 @@ def machine_fleet(
         )
     )
     return (
-        fleet.join(_orders_on_machine(work_orders), "machine_id", "left")
-        .join(_parts_on_machine(work_orders), "machine_id", "left")
+        fleet.join(_work_on_machine(work_orders), "machine_id", "left")
         .join(reading, "machine_id", "left")
         .orderBy("work_center", "status", "machine_id")
         .select(

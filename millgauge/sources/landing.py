@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from millgauge.sources.schemas import FEED_COLUMNS, landing_schema
 
 # The file source ignores a new file this much older than the newest it has read.
-# Its own limit of a week would lose deliveries that keep their original time.
-MAX_FILE_AGE = "3650d"
+# Deliveries may keep any original time, so no file is ever too old.
+MAX_FILE_AGE = "40000d"
+
+# A file whose header is not the feed's (other order, a column missing or more) stops
+# the batch: by position, its values would land in other columns without a word.
+_CSV = {"header": True, "enforceSchema": False}
 
 _DATE = "yyyy-MM-dd"
 _MOMENT = "yyyy-MM-dd HH:mm:ss"
@@ -29,7 +33,7 @@ def with_ingest_columns(df: DataFrame, feed: str) -> DataFrame:
 
 def read_landing(spark: SparkSession, feed: str, path: str) -> DataFrame:
     """All files of a landing folder as one bronze-shaped batch."""
-    raw = spark.read.schema(landing_schema(feed)).option("header", True).csv(path)
+    raw = spark.read.schema(landing_schema(feed)).options(**_CSV).csv(path)
     return with_ingest_columns(raw, feed)
 
 
@@ -37,7 +41,7 @@ def stream_landing(
     spark: SparkSession, feed: str, path: str, files_per_batch: int | None = None
 ) -> DataFrame:
     """New files of a landing folder as a stream."""
-    reader = spark.readStream.schema(landing_schema(feed)).option("header", True).option("maxFileAge", MAX_FILE_AGE)
+    reader = spark.readStream.schema(landing_schema(feed)).options(**_CSV).option("maxFileAge", MAX_FILE_AGE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return with_ingest_columns(reader.csv(path), feed)

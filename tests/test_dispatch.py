@@ -70,6 +70,33 @@ def test_reassignment_changes_only_the_machine_of_active_orders(spark, orders):
     assert counts == {"MCH-001": 3, "MCH-002": 1}
 
 
+def test_doubled_and_invalid_moves_change_nothing_twice(spark, fleet, orders):
+    schema = "from_machine_id string, to_machine_id string"
+    same = spark.createDataFrame([("MCH-001", "MCH-002"), ("MCH-001", "MCH-002"), ("MCH-002", "MCH-004")], schema)
+    moved = dispatch.reassign_work_orders(orders, same, fleet)
+    assert moved.count() == orders.count()
+    machine = {r.work_order_id: r.machine_id for r in moved.collect()}
+    before = {r.work_order_id: r.machine_id for r in orders.collect()}
+    # MCH-004 is in another work center, so that move is left out.
+    assert {k for k in machine if machine[k] != before[k]} <= {k for k in before if before[k] == "MCH-001"}
+    two = spark.createDataFrame([("MCH-001", "MCH-002"), ("MCH-001", "MCH-003")], schema)
+    with pytest.raises(PySparkException, match="two targets"):
+        dispatch.reassign_work_orders(orders, two, fleet).collect()
+
+
+def test_orders_that_cannot_move_are_not_shuffled(spark, orders):
+    moves = spark.createDataFrame([("MCH-001", "MCH-003")], "from_machine_id string, to_machine_id string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = dispatch.reassign_work_orders(orders, moves)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    union = text[text.index("Union") :]
+    first = union[: union.index("SortMergeJoin")]
+    assert "Exchange" not in first
+
+
 def test_valid_moves(spark, fleet):
     schema = "from_machine_id string, to_machine_id string"
     asked = spark.createDataFrame(

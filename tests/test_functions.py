@@ -73,7 +73,8 @@ def test_missing_reading_counts_as_zero(spark):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("mch 010 is down", "MCH-010"), ("MCH003 failed", "MCH-003"), ("no id", None), ("MCH-0123", None),
+        ("mch 010 is down", "MCH-010"), ("MCH003 failed", "MCH-003"), ("no id", None), ("MCH-0123", "MCH-0123"),
+        ("mch 999 down", "MCH-999"), ("Machine mch 1000 is down", "MCH-1000"), ("mch12345", "MCH-12345"), ("mch 12", None),
         ("xMCH-012", None), ("check MCH-012, then mch-013", "MCH-012"), ("mch\t044!", "MCH-044"), ("", None),
     ],
 )
@@ -103,6 +104,11 @@ def test_lenient_casts_give_null_for_bad_text(spark):
     assert tuple(rows[1]) == (1.5, dt.date(2024, 2, 1), dt.datetime(2024, 1, 1, 10))
 
 
+def test_whole_numbers_with_decimals(spark):
+    df = spark.createDataFrame([("12.0",), ("12",), ("-3.7",), ("x",), ("1e3",), (None,)], "n string")
+    assert [r[0] for r in df.select(lenient(df, "n", "int")).collect()] == [12, 12, -3, None, 1000, None]
+
+
 def test_ratio_guards(spark):
     assert value(spark, ratio(F.lit(1), F.lit(0))) is None
     assert value(spark, percent(F.lit(1), F.lit(8))) == 12.5

@@ -5,6 +5,7 @@ import shutil
 import time
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from millgauge.operators import gold
@@ -179,6 +180,47 @@ def test_clustered_copy_of_a_silver_table(spark, folders):
     assert copy.count() == 20 and copy.exceptAll(table.select(*copy.columns)).isEmpty()
 
 
+@pytest.mark.parametrize("change", ["reordered", "missing", "extra"])
+def test_another_header_stops_the_batch(spark, folders, change):
+    deliver(spark, folders, "sensor_data", 1, reading(1))
+    path = f"{folders.feed('sensor_data')}/delivery-1.csv"
+    with open(path) as file:
+        rows = [line.rstrip("\n").split(",") for line in file]
+    if change == "reordered":
+        rows = [[row[1], row[0], *row[2:]] for row in rows]
+    elif change == "missing":
+        rows = [row[:-1] for row in rows]
+    else:
+        rows = [[*row, "more"] for row in rows]
+    with open(path, "w") as file:
+        file.writelines(",".join(row) + "\n" for row in rows)
+    with pytest.raises(PySparkException):
+        ingest.refresh_bronze(spark, "sensor_data", folders)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_landing(spark, "sensor_data", folders.feed("sensor_data")).collect()
+
+
+def test_a_file_of_any_age_is_taken(spark, folders):
+    deliver(spark, folders, "machines", 1, dict(machine_id="MCH-001"))
+    ingest.refresh_bronze(spark, "machines", folders)
+    deliver(spark, folders, "machines", 2, dict(machine_id="MCH-002"))
+    os.utime(f"{folders.feed('machines')}/delivery-2.csv", (0, 0))
+    ingest.refresh_bronze(spark, "machines", folders)
+    assert spark.read.parquet(folders.table("bronze_machines")).count() == 2
+
+
+def test_newest_file_wins_within_a_batch(spark, folders):
+    master = dict(machine_id="MCH-001", work_center="WC-MILL", num_shifts="1", capacity_hrs_per_shift="8", hourly_rate_usd="50",
+                  status="Active", last_pm_date="2024-01-01")
+    deliver(spark, folders, "machines", "a", {**master, "machine_name": "newer"}, {**master, "machine_name": "newer, again"})
+    deliver(spark, folders, "machines", "b", {**master, "machine_name": "older"})
+    day_ago = time.time() - 86400
+    os.utime(f"{folders.feed('machines')}/delivery-b.csv", (day_ago, day_ago))
+    ingest.refresh(spark, folders, ("machines",))
+    names = {tuple(r.machine_name for r in StoredShop(spark, folders.root).machines.collect()) for _ in range(3)}
+    assert len(names) == 1 and names.pop()[0].startswith("newer")
+
+
 def test_bronze_machines_carry_file_time(spark, folders):
     deliver(spark, folders, "machines", 1, dict(machine_id="MCH-001"))
     ingest.refresh_bronze(spark, "machines", folders)
