@@ -15,8 +15,8 @@ The law is ``bytes``: sizes of new shards are near equal, within about a block.
 
 Defined results. A null text has no bytes; a document's size is its bytes plus 16. A
 null doc_id is hashed like any value and equal rows get consecutive slots. Extra
-columns are kept; those named old_shard, block, size, shard, slot or first_slot are
-replaced. An empty table gives empty shards.
+columns are kept; those named old_shard, block, size, shard, slot, first_slot or file
+are replaced. An empty table gives empty shards.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from pyspark.sql.window import Window
 
 OVERHEAD = 16
 BLOCKS = 8192
+# Rows of a rewritten file, up to the end of its last block.
+FILE_ROWS = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -157,7 +159,7 @@ def _evened(blocks, placed, filled, capacity) -> dict[tuple[int, int], int]:
 
 @dataclass(frozen=True)
 class Plan:
-    """``layout`` has (old_shard, block, shard, first_slot); ``affected`` the shards to rewrite."""
+    """``layout`` has (old_shard, block, shard, first_slot, file), a row per block; ``affected`` the shards to rewrite."""
 
     layout: DataFrame
     affected: list[int]
@@ -166,7 +168,7 @@ class Plan:
 def _blocked(docs: DataFrame, doc: str, text: str, old_shard: Column, parts: dict[int, int]) -> DataFrame:
     """The rows with ``old_shard``, ``block`` and ``size``."""
     cuts = F.create_map(*(F.lit(x) for pair in sorted(parts.items()) for x in pair)) if parts else F.create_map().cast("map<int,int>")
-    rows = docs.withColumns({"old_shard": old_shard.cast("int"), "size": size_of(F.col(text))}).drop("shard", "slot", "first_slot")
+    rows = docs.withColumns({"old_shard": old_shard.cast("int"), "size": size_of(F.col(text))}).drop("shard", "slot", "first_slot", "file")
     return rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), doc, text), F.coalesce(F.try_element_at(cuts, "old_shard"), F.lit(1))).cast("int"))
 
 
@@ -183,11 +185,11 @@ def plan(docs: DataFrame, old_shard: Column, n_new: int, doc: str = "doc_id", te
     slots, layout, affected = [0] * n_new, [], set()
     for old, block, _, n in sorted(sizes):
         new = placed[(old, block)]
-        layout.append((old, block, new, slots[new]))
+        layout.append((old, block, new, slots[new], slots[new] // FILE_ROWS))
         slots[new] += n
         if new != old:
             affected |= {old, new}
-    schema = "old_shard int, block int, shard int, first_slot long"
+    schema = "old_shard int, block int, shard int, first_slot long, file long"
     return rows, Plan(spark.createDataFrame(layout, schema), sorted(affected))
 
 
@@ -195,24 +197,25 @@ def reshard(docs: DataFrame, old_shard: Column, n_new: int, doc: str = "doc_id",
     """The rows with ``size``, ``old_shard``, ``shard`` and ``slot``, and the shards that change.
 
     Slots number a shard's rows from 0 without gaps: blocks follow one another, and
-    rows are numbered within their block, which is small however hot a shard is.
+    rows are numbered within their block, which is small however hot a shard is. Rows
+    are dealt out by new shard and file, once; the numbering needs no other order. The
+    layout is broadcast: it has no more rows than BLOCKS and the number of old shards.
     """
     rows, found = plan(docs, old_shard, n_new, doc, text, cost)
-    placed = rows.join(found.layout, ["old_shard", "block"])
-    order = Window.partitionBy("old_shard", "block").orderBy(doc, F.xxhash64(text))
+    placed = rows.join(F.broadcast(found.layout), ["old_shard", "block"]).repartition("shard", "file")
+    order = Window.partitionBy("shard", "file", "old_shard", "block").orderBy(doc, F.xxhash64(text))
     out = placed.withColumn("slot", F.col("first_slot") + F.row_number().over(order) - 1)
-    return out.drop("first_slot", "block"), found.affected
+    return out.drop("first_slot", "block", "file"), found.affected
 
 
 def rewrite_affected(placed: DataFrame, affected: list[int], path: str) -> None:
     """Write the files of the shards that change, one folder a shard, in slot order.
 
-    A shard's rows are cut into stretches of slots, so a shard fills as many files as it
-    needs and no task writes a whole shard.
+    The rows come dealt by shard and file, so a shard fills as many files as it needs
+    and no task writes a whole shard.
     """
     rows = placed.where(F.col("shard").isin(affected)) if affected else placed.limit(0)
-    stretch = F.floor(F.col("slot") / 20_000)
-    rows.repartition("shard", stretch).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def read_shards(spark, path: str, placed: DataFrame) -> DataFrame:
