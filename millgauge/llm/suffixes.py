@@ -10,11 +10,15 @@ is extended word by word to the left and right on the two texts. What a hash bri
 together by chance fails that comparison. The matches of a document are united, and
 runs of at least ``MIN_WORDS`` words are its repeated passages.
 
-Suffixes whose words occur once are dropped after counting hashes. A hash that occurs
-very often is cut into groups of about ``GROUP_ROWS`` by document, in each of which
-every suffix still has neighbours; a suffix makes one comparison, so the work is linear
-in the suffixes, whatever repeats. Comparisons of the same two documents at the same
-distance are one row.
+A suffix is compared with one other document whose next MIN_WORDS words are the same
+(by a second hash, in the same order), so that near copies meet few partners. Only where
+there is none, near the end of a passage, it is compared with its two neighbours and the
+ends of its group. A hash that occurs very often is cut into groups of about
+``GROUP_ROWS`` by document, in each of which every suffix still has neighbours. So the
+work is linear in the suffixes, whatever repeats. All comparisons of two documents are one row, and texts move
+compressed. Every reported word lies in a match of MIN_WORDS words or more that was
+verified on the texts. A passage can be reported short only at its left end, by less than
+WINDOW words, and only where its partners there share fewer words than another document does.
 
 Defined results. Words are split at white space and compared exactly. Null, empty and
 short texts have no passages. Rows that repeat a doc_id and text are one document. A
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,7 +44,7 @@ MIN_WORDS = 50
 GRAM_WORDS = 12
 WINDOW = 16
 CONTEXT = MIN_WORDS - WINDOW + 1
-GROUP_ROWS = 10_000
+GROUP_ROWS = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,63 +62,77 @@ def _grams(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.nd
     return out
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the kept suffixes and the hashes of their first CONTEXT words."""
+def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the kept suffixes, the hashes of their first CONTEXT and of their first MIN_WORDS words.
+
+    The last is 0 where the text ends before. Its 31 bits only pick a partner.
+    """
     if len(words) < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     grams = _grams(hashes, GRAM_WORDS)
     windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
     places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
     places = places[places + CONTEXT <= len(words)]
-    return places, _grams(hashes, CONTEXT, places).view(np.int64)
+    follows = np.zeros(len(places), np.int32)
+    long = places + MIN_WORDS <= len(words)
+    follows[long] = (_grams(hashes, MIN_WORDS, places[long]) >> np.uint64(33)).astype(np.int32)
+    return places, _grams(hashes, CONTEXT, places).view(np.int64), follows
 
 
 def suffixes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, place, context) of all kept suffixes, in the shared folder; ``doc`` is a hash of id and text."""
+    """(doc, place, context, follows) of all kept suffixes, in the shared folder; ``doc`` is a hash of id and text."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, one in zip(batch["doc"].to_pylist(), batch["text"]):
-                places, contexts = anchors(_split(one.as_py()))
+                places, contexts, follows = anchors(_split(one.as_py()))
                 if len(places):
-                    yield pa.record_batch([pa.array(np.full(len(places), number)), pa.array(places.astype(np.int32)), pa.array(contexts)], ["doc", "place", "context"])
+                    columns = (np.full(len(places), number), places.astype(np.int32), contexts, follows)
+                    yield pa.record_batch([pa.array(column) for column in columns], ["doc", "place", "context", "follows"])
 
     keyed = docs.select(F.xxhash64(doc, text).alias("doc"), F.col(text).alias("text"))
-    return stored(keyed.mapInArrow(select, "doc long, place int, context long"), "suffixes")
+    return stored(keyed.mapInArrow(select, "doc long, place int, context long, follows int"), "suffixes")
 
 
 def neighbours(kept: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc, other, shift, places): places of a document to compare with ``other``, ``shift`` words further on."""
-    often = kept.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = kept.join(often.where("n > 1 AND low <> high").select("context", "n"), "context")
-    group = F.pmod(F.xxhash64("doc"), F.floor(F.col("n") / group_rows) + 1)
-    of_group = Window.partitionBy("context", "group")
-    in_order = of_group.orderBy("doc", "place")
-    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """(doc, other, at): the places (shift, place) of a document to compare with ``other``, ``shift`` words further on."""
+    counts = kept.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+    often = stored(counts.where(F.col("n") > group_rows), "frequent-contexts")
+    parts = F.floor(F.coalesce("n", F.lit(0)) / group_rows) + 1
+    grouped = kept.join(often, "context", "left").withColumn("group", F.pmod(F.xxhash64("doc"), parts))
+
     here = F.struct("doc", "place")
-    lined = shared.withColumn("group", group).select(
-        "doc",
-        "place",
-        *(side.alias(name) for name, side in (
-            ("before", F.lag(here).over(in_order)), ("after", F.lead(here).over(in_order)),
-            ("first", F.first(here).over(whole)), ("last", F.last(here).over(whole)),
-        )),
-    )
-    others = F.filter(F.array_distinct(F.array("before", "after", "first", "last")), lambda o: o["doc"] != F.col("doc"))
-    pairs = lined.withColumn("other", F.explode(others))
-    return (
-        pairs.select("doc", "place", F.col("other")["doc"].alias("other"), (F.col("other")["place"] - F.col("place")).alias("shift"))
-        .groupBy("doc", "other", "shift")
-        .agg(F.sort_array(F.collect_list("place")).alias("places"))
+    in_group = Window.partitionBy("context", "group").orderBy("doc", "place")
+    alike = Window.partitionBy("context", "group", "follows").orderBy("doc", "place")
+    everywhere = (Window.unboundedPreceding, Window.unboundedFollowing)
+    sides = {
+        "before": F.lag(here).over(in_group),
+        "after": F.lead(here).over(in_group),
+        "first": F.first(here).over(in_group.rowsBetween(*everywhere)),
+        "last": F.last(here).over(in_group.rowsBetween(*everywhere)),
+        "alike_first": F.first(here).over(alike.rowsBetween(*everywhere)),
+        "alike_last": F.last(here).over(alike.rowsBetween(*everywhere)),
+    }
+    lined = grouped.select("doc", "place", "follows", *(side.alias(name) for name, side in sides.items())).where(
+        F.col("first")["doc"] != F.col("last")["doc"]
     )
 
+    def elsewhere(name: str):
+        return F.when(F.col(name)["doc"] != F.col("doc"), F.col(name))
+
+    same = F.when(F.col("follows") != 0, F.coalesce(elsewhere("alike_first"), elsewhere("alike_last")))
+    near = F.array_distinct(F.array_compact(F.array(*(elsewhere(name) for name in ("before", "after", "first", "last")))))
+    pairs = lined.withColumn("other", F.explode(F.when(same.isNotNull(), F.array(same)).otherwise(near)))
+    at = F.struct((F.col("other")["place"] - F.col("place")).alias("shift"), "place")
+    return pairs.groupBy("doc", F.col("other")["doc"].alias("other")).agg(F.sort_array(F.collect_list(at)).alias("at"))
 
-def extended(mine: list[bytes], theirs: list[bytes], shift: int, places: list[int]) -> list[tuple[int, int]]:
-    """Stretches [start, end) of ``mine`` equal to ``theirs`` shifted, around the places."""
-    out: list[tuple[int, int]] = []
-    for place in places:
-        if out and place < out[-1][1]:
+
+def extended(mine: list[bytes], theirs: list[bytes], at: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches [start, end) of ``mine`` equal to ``theirs`` shifted, around the places ``at`` (shift, place), in order."""
+    out: list[tuple[int, int, int]] = []
+    for shift, place in at:
+        if out and shift == out[-1][2] and place < out[-1][1]:
             continue
         if mine[place : place + CONTEXT] != theirs[place + shift : place + shift + CONTEXT]:
             continue
@@ -122,31 +141,41 @@ def extended(mine: list[bytes], theirs: list[bytes], shift: int, places: list[in
             start -= 1
         while end < len(mine) and end + shift < len(theirs) and mine[end] == theirs[end + shift]:
             end += 1
-        out.append((start, end))
+        out.append((start, end, shift))
     return out
 
 
 MATCHES = "doc long, doc_id {kind}, other_id {kind}, start int, end int, other_start int"
 
 
-def matches(docs: DataFrame, pairs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, pairs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Extended matches (doc, doc_id, other_id, start, end, other_start) of the compared documents."""
     kind = docs.schema[doc].dataType.simpleString()
-    involved = stored(pairs.select("doc").unionByName(pairs.select(F.col("other").alias("doc"))).distinct(), "repeating-documents")
-    texts = docs.select(F.xxhash64(doc, text).alias("doc"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    texts = stored(texts.join(involved, "doc", "left_semi").dropDuplicates(["doc"]), "repeating-texts")
-    theirs = texts.select(F.col("doc").alias("other"), F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
-    rows = pairs.join(texts, "doc").join(theirs, "other").select("doc", "doc_id", "other_id", "shift", "places", "text", "other_text")
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = pa.array([small.compress((one.as_py() or "").encode()) for one in batch["text"]], pa.binary())
+            yield pa.record_batch([batch["doc"], batch["doc_id"], texts], ["doc", "doc_id", "packed"])
+
+    keyed = docs.select(F.xxhash64(doc, text).alias("doc"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    texts = keyed.mapInArrow(compress, f"doc long, doc_id {kind}, packed binary").dropDuplicates(["doc"])
+    # Both joins read the same shuffled texts.
+    mine = pairs.join(texts, "doc").withColumnsRenamed({"doc": "me", "doc_id": "my_id", "packed": "my_packed"})
+    rows = mine.join(texts, mine["other"] == texts["doc"]).select("me", "my_id", "doc_id", "at", "my_packed", "packed")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = zstandard.ZstdDecompressor()
         for batch in batches:
             out: dict[str, list] = {name: [] for name in ("doc", "doc_id", "other_id", "start", "end", "other_start")}
             for row in range(batch.num_rows):
                 one = {name: batch[name][row].as_py() for name in batch.schema.names}
-                for start, end in extended(_split(one["text"]), _split(one["other_text"]), one["shift"], one["places"]):
-                    for name, value in zip(out, (one["doc"], one["doc_id"], one["other_id"], start, end, start + one["shift"])):
-                        out[name].append(value)
-            types = [pa.int64(), batch.schema.field("doc_id").type, batch.schema.field("other_id").type, pa.int32(), pa.int32(), pa.int32()]
+                words, theirs = (large.decompress(one[name]).split() for name in ("my_packed", "packed"))
+                for start, end, shift in extended(words, theirs, [(x["shift"], x["place"]) for x in one["at"]]):
+                    if end - start >= min_words:
+                        for name, value in zip(out, (one["me"], one["my_id"], one["doc_id"], start, end, start + shift)):
+                            out[name].append(value)
+            types = [pa.int64(), batch.schema.field("my_id").type, batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32()]
             yield pa.record_batch([pa.array(values, type_) for values, type_ in zip(out.values(), types)], list(out))
 
     return rows.mapInArrow(extend, MATCHES.format(kind=kind))
@@ -159,7 +188,7 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     longest match, ``other_start`` to where that begins.
     """
     pairs = stored(neighbours(suffixes(docs, doc, text)), "suffix-neighbours")
-    found = stored(matches(docs, pairs, doc, text).where(F.col("end") - F.col("start") >= min_words), "matches")
+    found = stored(matches(docs, pairs, doc, text, min_words), "matches")
     by_start = Window.partitionBy("doc").orderBy("start", "end", "other_id", "other_start")
     before = by_start.rowsBetween(Window.unboundedPreceding, -1)
     opened = found.withColumn("opens", (F.coalesce(F.max("end").over(before), F.lit(-1)) < F.col("start")).cast("int"))
