@@ -63,6 +63,27 @@ def _ingested(shop: StagedShop, feed: str) -> DataFrame:
     return _typed_feed(feed, shop.spark.read.parquet(folders.table(f"bronze_{feed}")))
 
 
+def _streamed_to_silver(shop: StagedShop, feed: str) -> tuple[SparkSession, ingest.Folders]:
+    """Feed to CSV landing files, streamed through both gates."""
+    base = session.fresh_folder(shop.spark, f"stream-{feed}")
+    folders = ingest.Folders(landing=f"{base}/landing", root=f"{base}/tables")
+    write_landing(shop.feed(feed), feed, folders.feed(feed))
+    ingest.refresh(shop.spark, folders, (feed,))
+    return shop.spark, folders
+
+
+def _silver_of(shop: StagedShop, feed: str) -> DataFrame:
+    spark, folders = _streamed_to_silver(shop, feed)
+    silver = spark.read.parquet(folders.table(f"silver_{feed}"))
+    return silver.drop("_ingested_at", "_source_file", "_file_ts", "batch_id")
+
+
+def _quality_log(shop: StagedShop) -> DataFrame:
+    """The log that streaming every feed through the gate has written, read back."""
+    logs = [ingest.quality_log(*_streamed_to_silver(shop, feed)) for feed in FEEDS]
+    return _union(logs).groupBy("table_name", "rule", "action").agg(F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
+
+
 def _landed(shop: StagedShop, feed: str) -> DataFrame:
     """Feed written as CSV and read back as one batch."""
     folder = session.fresh_folder(shop.spark, f"landing-{feed}")
@@ -132,6 +153,8 @@ def _moves(shop: StagedShop) -> DataFrame:
 _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     # sources
     **{f"ingest_{feed}": (lambda s, feed=feed: _ingested(s, feed)) for feed in FEEDS},
+    **{f"ingest_silver_{feed}": (lambda s, feed=feed: _silver_of(s, feed)) for feed in FEEDS},
+    "quality_log": _quality_log,
     "write_landing": lambda s: _landed(s, "routings"),
     "describe_columns": _dictionary,
     # quality

@@ -106,6 +106,8 @@ def _selects(as_of: str) -> dict[str, str]:
         "write_landing": f"SELECT {_SILVER_COLUMNS['routings']} FROM feed_routings",
         "describe_columns": " UNION ALL ".join(_dictionary(t) for t in _SILVER_COLUMNS),
         # quality
+        **{f"ingest_silver_{feed}": f"SELECT {columns} FROM {feed}" for feed, columns in _SILVER_COLUMNS.items()},
+        "quality_log": _event_log(),
         "dq_warn_report": _event_log("WARN"),
         "dq_drop_rows": " UNION ALL ".join(_kept(t) for t in _SILVER_COLUMNS),
         "dq_fail_check": " UNION ALL ".join(_fail_check(t) for t in _SILVER_COLUMNS),

@@ -94,7 +94,8 @@ class StoredShop:
         self.root = root
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """A stored table, without the number of the batch that brought a row."""
+        return self.spark.read.parquet(f"{self.root}/{name}").drop("batch_id")
 
     @cached_property
     def machines(self) -> DataFrame:

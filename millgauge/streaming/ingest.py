@@ -1,20 +1,22 @@
 """Landing folder to bronze to silver, incrementally.
 
-Both hops use the built-in file sink. It records each batch in a manifest after
-the batch is complete, readers see only recorded files, and a repeated batch is
-recorded once. So a failed or retried batch leaves no half-written or doubled
-rows, wherever executors were lost, and a rule that FAILs keeps its batch out.
-
-Rule counts travel in the query's progress and are written to the quality log
-keyed by batch, so a batch reported twice replaces its own entry.
+Each micro-batch is gated once: its rows go to a folder of its own below the table,
+named after the batch, and its rule counts, observed in the same pass, to the quality
+log under the same number. The rows come first and the entry second, and the stream
+commits the batch only after both. So a driver or executor lost anywhere leads to the
+batch being run again, which replaces what it had left; a batch that has its entry is
+complete and is not written again. A rule that FAILs keeps its batch out.
+
+Bronze is brought up to date before silver reads it, so silver never sees a batch that
+is still to be replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from millgauge.operators.quality import RULES, event_rows, gate
 from millgauge.operators.silver import TYPERS
@@ -23,10 +25,6 @@ from millgauge.sources.schemas import FEEDS, bronze_schema
 
 LOG_SCHEMA = "table_name string, rule string, action string, passed bigint, failed bigint"
 
-# How long to wait for a run before reading its progress again.
-_POLL_SECONDS = 1
-
-
 @dataclass(frozen=True)
 class Folders:
     """Where landing files arrive and where tables, checkpoints and logs live."""
@@ -48,74 +46,66 @@ class Folders:
         return f"{self.root}/quality_log"
 
 
-def bronze_stream(
-    spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None
-) -> DataFrame:
-    rows = stream_landing(spark, feed, folders.feed(feed), files_per_batch)
-    return gate(rows, RULES[f"bronze_{feed}"], f"bronze_{feed}")
+    def log_entry(self, table: str, batch: int) -> str:
+        return f"{self.quality_log}/log_table={table}/batch_id={batch}"
 
 
-def silver_stream(
-    spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None
-) -> DataFrame:
-    """New bronze rows, typed and gated."""
-    reader = spark.readStream.schema(bronze_schema(feed)).option("maxFileAge", MAX_FILE_AGE)
+def bronze_stream(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> DataFrame:
+    """New rows of the landing folder."""
+    return stream_landing(spark, feed, folders.feed(feed), files_per_batch)
+
+
+def silver_stream(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> DataFrame:
+    """New bronze rows, typed."""
+    reader = spark.readStream.schema(bronze_schema(feed)).options(maxFileAge=MAX_FILE_AGE, recursiveFileLookup=True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.parquet(folders.table(f"bronze_{feed}"))
-    return gate(TYPERS[feed](rows), RULES[f"silver_{feed}"], f"silver_{feed}")
+    return TYPERS[feed](reader.parquet(folders.table(f"bronze_{feed}")))
 
 
-def append(df: DataFrame, table: str, folders: Folders) -> StreamingQuery:
-    """Append everything that is available now to the table, then stop."""
-    return (
-        df.writeStream.queryName(table)
-        .format("parquet")
-        .outputMode("append")
-        .option("path", folders.table(table))
+def _logged(spark: SparkSession, folders: Folders, table: str, batch: int) -> bool:
+    try:
+        return not spark.read.parquet(folders.log_entry(table, batch)).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+
+
+def log_batch(spark: SparkSession, folders: Folders, table: str, batch: int, counts: dict) -> None:
+    """One entry per rule, replacing those of an earlier attempt."""
+    rows = event_rows(table, RULES[table], counts)
+    spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(folders.log_entry(table, batch))
+
+
+def write_batch(rows: DataFrame, batch: int, table: str, folders: Folders) -> None:
+    """Gate one batch into the table and log its counts."""
+    spark = rows.sparkSession
+    if RULES[table] and _logged(spark, folders, table, batch):
+        return
+    counts = Observation(f"{table}-{batch}")
+    gate(rows, RULES[table], counts).write.mode("overwrite").parquet(f"{folders.table(table)}/batch_id={batch}")
+    log_batch(spark, folders, table, batch, counts.get)
+
+
+def append(rows: DataFrame, table: str, folders: Folders) -> None:
+    """Append everything that is available now to the table."""
+    query = (
+        rows.writeStream.queryName(table)
+        .foreachBatch(lambda batch, number: write_batch(batch, number, table, folders))
         .option("checkpointLocation", folders.checkpoint(table))
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _observed(query: StreamingQuery, table: str) -> dict[int, dict]:
-    """Rule counts per batch from the progress kept so far."""
-    counts = {}
-    for progress in query.recentProgress:
-        row = progress.observedMetrics.get(table)
-        if row is not None and progress.numInputRows:
-            counts[progress.batchId] = row.asDict()
-    return counts
-
-
-def run_logged(spark: SparkSession, query: StreamingQuery, table: str, folders: Folders) -> None:
-    """Wait for a run and log its rule counts batch by batch.
-
-    Progress is read while the run goes on, since Spark keeps only the newest
-    entries. If a batch fails, those before it are logged all the same. Each
-    entry has as many rows as the table has rules.
-    """
-    counts: dict[int, dict] = {}
-    try:
-        while not query.awaitTermination(_POLL_SECONDS):
-            counts.update(_observed(query, table))
-    finally:
-        counts.update(_observed(query, table))
-        for batch, metrics in counts.items():
-            rows = event_rows(table, RULES[table], metrics)
-            target = f"{folders.quality_log}/log_table={table}/batch_id={batch}"
-            spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(target)
+    query.awaitTermination()
 
 
 def refresh_bronze(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> None:
-    table = f"bronze_{feed}"
-    run_logged(spark, append(bronze_stream(spark, feed, folders, files_per_batch), table, folders), table, folders)
+    append(bronze_stream(spark, feed, folders, files_per_batch), f"bronze_{feed}", folders)
 
 
 def refresh_silver(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> None:
-    table = f"silver_{feed}"
-    run_logged(spark, append(silver_stream(spark, feed, folders, files_per_batch), table, folders), table, folders)
+    append(silver_stream(spark, feed, folders, files_per_batch), f"silver_{feed}", folders)
 
 
 def refresh(spark: SparkSession, folders: Folders, feeds: tuple[str, ...] = FEEDS) -> None:

@@ -172,6 +172,33 @@ def test_failure_keeps_the_log_of_earlier_batches(spark, folders, monkeypatch):
     assert spark.read.parquet(folders.table("bronze_sensor_data")).count() == 2
 
 
+def test_no_entry_is_lost_when_the_driver_stops_between_rows_and_entry(spark, folders, monkeypatch):
+    for number in range(3):
+        deliver(spark, folders, "sensor_data", number, reading(number), reading(10 + number, temperature_celsius="hot"))
+    real, calls = ingest.log_batch, []
+
+    def stops(spark, folders, table, batch, counts):
+        calls.append(batch)
+        if batch == 1:
+            raise RuntimeError("the driver stops here")
+        real(spark, folders, table, batch, counts)
+
+    monkeypatch.setattr(ingest, "log_batch", stops)
+    with pytest.raises(PySparkException):
+        ingest.refresh_bronze(spark, "sensor_data", folders, files_per_batch=1)
+    assert calls == [0, 1]
+    monkeypatch.undo()
+    ingest.refresh_bronze(spark, "sensor_data", folders, files_per_batch=1)
+    log = log_of(spark, folders, "bronze_sensor_data")
+    assert {batch for batch, _ in log} == {0, 1, 2}
+    assert all(log[batch, "bz_temp_parseable"] == (1, 1) for batch in range(3))
+    assert spark.read.parquet(folders.table("bronze_sensor_data")).count() == 6
+    # A batch that has its entry is complete: running it once more changes nothing.
+    before = spark.read.parquet(folders.table("bronze_sensor_data")).inputFiles()
+    ingest.write_batch(spark.read.parquet(folders.table("bronze_sensor_data")), 1, "bronze_sensor_data", folders)
+    assert sorted(spark.read.parquet(folders.table("bronze_sensor_data")).inputFiles()) == sorted(before)
+
+
 def test_clustered_copy_of_a_silver_table(spark, folders):
     deliver(spark, folders, "sensor_data", 1, *(reading(n) for n in range(20)))
     ingest.refresh(spark, folders, ("sensor_data",))
