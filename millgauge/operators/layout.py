@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Clustering columns per table.
@@ -45,3 +48,30 @@ def write_clustered(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+VERSIONS = "table_name string, path string, written_at bigint"
+
+
+def write_version(df: DataFrame, root: str, table: str, keys: Sequence[str]) -> str:
+    """Write a snapshot of the table to a folder of its own, then make it the current one.
+
+    The switch is one row appended to the list of versions, which Spark commits as a
+    whole. Until then, and for good if the write fails, readers get the version before.
+    """
+    path = f"{root}/versions/{table}/{uuid.uuid4().hex}"
+    write_clustered(df, path, keys)
+    row = df.sparkSession.createDataFrame([(table, path, time.time_ns())], VERSIONS)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/versions/_written")
+    return path
+
+
+def current_version(spark: SparkSession, root: str, table: str) -> str | None:
+    """The folder of the newest complete snapshot, if there is one."""
+    try:
+        written = spark.read.schema(VERSIONS).parquet(f"{root}/versions/_written")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return written.filter(F.col("table_name") == table).agg(F.max_by("path", "written_at")).first()[0]

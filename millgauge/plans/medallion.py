@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millgauge.operators import gold
-from millgauge.operators.layout import CLUSTER_KEYS, write_clustered
-from millgauge.plans.shop import StagedShop, StoredShop
+from millgauge.operators import dispatch, gold
+from millgauge.operators.layout import CLUSTER_KEYS, current_version, write_clustered, write_version
+from millgauge.plans.shop import REASSIGNED, StagedShop, StoredShop
 from millgauge.sources.documentation import comment_on, create_schema
 
 # Table name to the shop's attribute of it.
@@ -35,9 +35,17 @@ def gold_frames(shop: StoredShop) -> dict[str, DataFrame]:
 
 
 def refresh_gold(spark: SparkSession, root: str) -> StoredShop:
-    """Replace the stored gold tables; returns the shop that reads them."""
+    """Write new versions of the gold tables, each current once it is whole; returns the shop that reads them."""
     for name, frame in gold_frames(StoredShop(spark, root)).items():
-        write_clustered(frame, f"{root}/{name}", CLUSTER_KEYS[name])
+        write_version(frame, root, name, CLUSTER_KEYS[name])
+    return StoredShop(spark, root)
+
+
+def reassign(spark: SparkSession, root: str, moves: DataFrame) -> StoredShop:
+    """Store the work orders with the valid moves applied; returns the shop that reads them."""
+    shop = StoredShop(spark, root)
+    moved = dispatch.reassign_work_orders(shop.work_orders, moves, shop.machines)
+    write_version(moved, root, REASSIGNED, CLUSTER_KEYS["silver_work_orders"])
     return StoredShop(spark, root)
 
 
@@ -59,17 +67,18 @@ def register_views(shop: StagedShop | StoredShop) -> None:
 
 
 def publish_gold(spark: SparkSession, root: str, schema: str) -> None:
-    """Catalog tables, with comments, over the stored gold folders.
+    """Catalog tables, with comments, over the current versions of the gold tables.
 
-    A table that is already there is told to look at its files again.
+    A table that is already there is pointed at the version of now.
     """
     create_schema(spark, schema)
     for name in TABLES:
         if not name.startswith("gold_"):
             continue
-        table = f"{schema}.{name}"
+        table, path = f"{schema}.{name}", current_version(spark, root, name) or f"{root}/{name}"
         if spark.catalog.tableExists(table):
+            spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
             spark.catalog.refreshTable(table)
         else:
-            spark.catalog.createTable(table, path=f"{root}/{name}", source="parquet")
+            spark.catalog.createTable(table, path=path, source="parquet")
             comment_on(spark, table)

@@ -5,12 +5,17 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millgauge import session
 from millgauge.operators import gold, silver
 from millgauge.operators.latest import current_machines
+from millgauge.operators.layout import current_version
 from millgauge.sources import staging
 
+# The stored snapshot of work orders after a reassignment.
+REASSIGNED = "reassigned_work_orders"
+
 
 class StagedShop:
     """Tables derived from the supplied data of one folder.
@@ -94,8 +99,9 @@ class StoredShop:
         self.root = root
 
     def table(self, name: str) -> DataFrame:
-        """A stored table, without the number of the batch that brought a row."""
-        return self.spark.read.parquet(f"{self.root}/{name}").drop("batch_id")
+        """A stored table in its current version, without the number of the batch that brought a row."""
+        path = current_version(self.spark, self.root, name) or f"{self.root}/{name}"
+        return self.spark.read.parquet(path).drop("batch_id")
 
     @cached_property
     def machines(self) -> DataFrame:
@@ -112,7 +118,14 @@ class StoredShop:
 
     @cached_property
     def work_orders(self) -> DataFrame:
-        return self.table("silver_work_orders")
+        """The orders as last reassigned, and those that have arrived since."""
+        arrived = self.table("silver_work_orders")
+        path = current_version(self.spark, self.root, REASSIGNED)
+        if path is None:
+            return arrived
+        moved = self.spark.read.parquet(path)
+        newest = moved.agg(F.max("_ingested_at")).scalar()
+        return moved.unionByName(arrived.filter(F.col("_ingested_at") > newest))
 
     # Stored columns are pruned by the reader, so one table serves all variants.
     @property

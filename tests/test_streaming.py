@@ -199,6 +199,33 @@ def test_no_entry_is_lost_when_the_driver_stops_between_rows_and_entry(spark, fo
     assert sorted(spark.read.parquet(folders.table("bronze_sensor_data")).inputFiles()) == sorted(before)
 
 
+def test_reassignment_is_stored_and_later_orders_follow(spark, folders, monkeypatch):
+    machine = dict(work_center="WC-MILL", num_shifts="1", capacity_hrs_per_shift="8", hourly_rate_usd="50", last_pm_date="2024-01-01")
+    deliver(spark, folders, "machines", 1, dict(machine, machine_id="MCH-001", status="Maintenance"), dict(machine, machine_id="MCH-002", status="Active"))
+
+    def order(number):
+        return dict(work_order_id=f"WO-{number}", part_number="PN-1", order_qty="10.0", machine_id="MCH-001", work_center="WC-MILL", setup_time_hrs="0.5",
+                    run_time_hrs_per_unit="0.25", scheduled_start="2024-03-04", due_date="2024-03-06", status="Open")
+
+    deliver(spark, folders, "work_orders", 2, order(1))
+    ingest.refresh(spark, folders, ("machines", "work_orders"))
+    moves = spark.createDataFrame([("MCH-001", "MCH-002"), ("MCH-001", "MCH-002")], "from_machine_id string, to_machine_id string")
+    assert {r.work_order_id: r.machine_id for r in medallion.reassign(spark, folders.root, moves).work_orders.collect()} == {"WO-1": "MCH-002"}
+    deliver(spark, folders, "work_orders", 3, order(2))
+    ingest.refresh(spark, folders, ("work_orders",))
+    now = {r.work_order_id: (r.machine_id, r.order_qty) for r in StoredShop(spark, folders.root).work_orders.collect()}
+    assert now == {"WO-1": ("MCH-002", 10), "WO-2": ("MCH-001", 10)}
+
+    def fails(*_):
+        raise OSError("no space left")
+
+    monkeypatch.setattr("millgauge.operators.layout.write_clustered", fails)
+    with pytest.raises(OSError):
+        medallion.reassign(spark, folders.root, moves)
+    monkeypatch.undo()
+    assert {r.work_order_id: r.machine_id for r in StoredShop(spark, folders.root).work_orders.collect()} == {k: v[0] for k, v in now.items()}
+
+
 def test_clustered_copy_of_a_silver_table(spark, folders):
     deliver(spark, folders, "sensor_data", 1, *(reading(n) for n in range(20)))
     ingest.refresh(spark, folders, ("sensor_data",))
