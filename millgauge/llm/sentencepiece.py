@@ -30,7 +30,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from millgauge.llm.common import let
 
 MARK = "▁"
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 # Bytes of text per bucket of distinct units: a bucket's edges fit in a task's memory.
 BUCKET_BYTES = 2 << 20
 MAX_PIECES = 500_000
@@ -108,7 +108,7 @@ def _bucket(unit: str, buckets: int) -> int:
     return zlib.crc32(unit.encode()) % buckets
 
 
-def _by_bucket(texts: list[str], buckets: int) -> dict[int, list[str]]:
+def _by_bucket(texts: Iterable[str], buckets: int) -> dict[int, list[str]]:
     """Distinct units of the texts in buckets, sorted."""
     found: set[str] = set()
     for text in texts:
@@ -247,17 +247,19 @@ def path_ids(unit: str, starts: list[int], ids: list[int], pieces: Pieces) -> li
 
 
 def _pack(lists: list[list[int]]) -> bytes:
-    counts = np.array([len(x) for x in lists], "<u4")
-    flat = np.array([i for x in lists for i in x], "<u4")
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([[len(lists)], counts, flat]).astype("<u4").tobytes())
+    flat = [i for x in lists for i in x]
+    width = "<u2" if max(flat, default=0) < 1 << 16 else "<u4"
+    head = np.array([len(lists), int(width[2]), *map(len, lists)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(head + np.array(flat, width).tobytes())
 
 
 def _unpack(data: bytes) -> list[bytes]:
     """The lists of ids, each as little-endian 32-bit numbers."""
     raw = zstandard.ZstdDecompressor().decompress(data)
-    count = int.from_bytes(raw[:4], "little")
-    ends = (4 * np.cumsum(np.frombuffer(raw, "<u4", count, 4), dtype=np.int64) + 4 * (1 + count)).tolist()
-    return [raw[a:b] for a, b in zip([4 * (1 + count), *ends], ends)]
+    count, width = np.frombuffer(raw, "<u4", 2).tolist()
+    ends = (4 * np.cumsum(np.frombuffer(raw, "<u4", count, 8), dtype=np.int64)).tolist()
+    ids = np.frombuffer(raw, f"<u{width}", -1, 8 + 4 * count).astype("<u4").tobytes()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -269,7 +271,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
     dealt = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc, text), F.lit(chunks)).cast("int").alias("chunk"))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = zstandard.ZstdCompressor(level=3)
+        small = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             texts = pa.array([small.compress((one.as_py() or "").encode()) for one in batch["text"]], pa.binary())
             yield pa.record_batch([batch["doc_id"], batch["chunk"], texts], ["doc_id", "chunk", "text"])
@@ -277,21 +279,24 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
     # Compressed before they move: the texts are the larger part of all that is shuffled.
     keyed = dealt.mapInArrow(compress, f"doc_id {kind}, chunk int, text binary")
 
-    def plain(group: pa.Table) -> list[str]:
+    def plain(group: pa.Table) -> Iterator[str]:
+        """The texts of a chunk, one at a time."""
         large = zstandard.ZstdDecompressor()
-        return [large.decompress(one.as_py()).decode() for one in group["text"]]
+        for one in group["text"]:
+            yield large.decompress(one.as_py()).decode()
 
     def name_units(group: pa.Table) -> pa.Table:
         chunk = group["chunk"][0].as_py()
         found = _by_bucket(plain(group), buckets)
         return pa.table(
-            {"bucket": pa.array(list(found), pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int32()), "units": pa.array(list(found.values()), pa.list_(pa.string()))}
+            {"bucket": pa.array(list(found), pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int32()), "units": pa.array(map(" ".join, found.values()), pa.string())}
         )
 
-    asked = keyed.groupBy("chunk").applyInArrow(name_units, "bucket int, chunk int, units array<string>").repartition(buckets, "bucket")
+    # A unit holds no space, so a space parts the units of a bucket.
+    asked = keyed.groupBy("chunk").applyInArrow(name_units, "bucket int, chunk int, units string").repartition(buckets, "bucket")
     # Both uses of ``asked`` read all its columns and rows (an inner explode would filter
     # them first), so that they share one shuffle.
-    distinct = asked.select("bucket", "chunk", F.explode_outer("units").alias("unit")).groupBy("bucket", "unit").agg(F.min("chunk").alias("asker"))
+    distinct = asked.select("bucket", "chunk", F.explode_outer(F.split("units", " ")).alias("unit")).groupBy("bucket", "unit").agg(F.min("chunk").alias("asker"))
     solved = lattice(distinct, pieces, ["bucket", "asker"]).select("bucket", "asker", "unit", best_paths(F.col("edges"), F.char_length("unit") + 1).alias("best"))
     solved = solved.select(F.col("bucket").alias("of_bucket"), "asker", "unit", "best.*")
 
@@ -300,22 +305,21 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
             unit: path_ids(unit, starts, last, pieces)
             for unit, starts, last in zip(answers["unit"].to_pylist(), answers["starts"].to_pylist(), answers["ids"].to_pylist())
         }
-        packed = [_pack([ids[unit] for unit in row]) for row in questions["units"].to_pylist()]
+        packed = [_pack([ids[unit] for unit in row]) for row in (one.as_py().split(" ") for one in questions["units"])]
         return pa.table({"chunk": questions["chunk"], "bucket": questions["bucket"], "packed": pa.array(packed, pa.binary())})
 
     answers = asked.groupBy("bucket").cogroup(solved.groupBy("of_bucket")).applyInArrow(answer, "chunk int, bucket int, packed binary")
 
     def write_ids(group: pa.Table, coded: pa.Table) -> pa.Table:
-        texts = plain(group)
-        named = _by_bucket(texts, buckets)
+        named = _by_bucket(plain(group), buckets)
         ids: dict[str, bytes] = {}
-        for bucket, packed in zip(coded["bucket"].to_pylist(), coded["packed"].to_pylist()):
-            ids.update(zip(named[bucket], _unpack(packed)))
+        for bucket, packed in zip(coded["bucket"].to_pylist(), coded["packed"]):
+            ids.update(zip(named.pop(bucket), _unpack(packed.as_py())))
         return pa.table(
             {
                 "doc_id": group["doc_id"],
-                "ids": pa.array([b"".join(map(ids.__getitem__, units(one))) for one in texts], pa.binary()),
-                "text_crc32": pa.array([zlib.crc32(one.encode()) for one in texts], pa.int64()),
+                "ids": pa.array((b"".join(map(ids.__getitem__, units(one))) for one in plain(group)), pa.binary()),
+                "text_crc32": pa.array((zlib.crc32(one.encode()) for one in plain(group)), pa.int64()),
             }
         )
 
