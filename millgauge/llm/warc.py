@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millgauge.llm.common import stored
+
 RESPONSE, REVISIT = "response", "revisit"
 STRETCH_SECONDS = 86_400
 
@@ -96,7 +98,8 @@ def resolve(records: DataFrame) -> DataFrame:
     mismatch (a validator disagrees), or unresolved. Only resolved and unchecked
     revisits take over the response.
     """
-    named = records.select(*RECORD).withColumn("canonical_url", canonical_url(F.col("url")))
+    # The records are read from several sides below, and without payloads they are small.
+    named = stored(records.select(*RECORD).withColumn("canonical_url", canonical_url(F.col("url"))), "captures")
     placed = _latest_earlier(named.where("canonical_url IS NOT NULL AND ts IS NOT NULL"))
     lost = named.where("canonical_url IS NULL OR ts IS NULL").withColumn("found", F.lit(None).cast(placed.schema["found"].dataType))
     rows = placed.unionByName(lost)
