@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millgauge import session
 from millgauge.llm import chat, decontaminate, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files, warc
 from millgauge.llm.common import table, tokenizer_path
-from millgauge.llm.sql import QUALITY_SQL
+from millgauge.llm.sql import DECONTAMINATION_SQL, QUALITY_SQL
 
 
 SHARDS, OLD_SHARDS = 40, 32
@@ -116,4 +116,5 @@ QUERIES = {
 
 STATEMENTS = {
     "op5_quality_rules": QUALITY_SQL,
+    "op9_decontamination": DECONTAMINATION_SQL,
 }

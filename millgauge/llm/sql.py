@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millgauge.llm.decontaminate import LOWER, UPPER
 from millgauge.llm.quality_rules import STOP_WORDS
 
 _STOP = ", ".join(f"'{word}'" for word in STOP_WORDS)
@@ -43,3 +44,36 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        AND 100 * n_dup_lines <= 50 * n_lines AS kept
 FROM measured
 """
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"list_transform(regexp_extract_all(coalesce(text, ''), '{_TERM}'), lambda w: translate(w, '{UPPER}', '{LOWER}'))"
+
+DECONTAMINATION_SQL = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS words FROM documents
+), items AS (
+    SELECT DISTINCT item_id, {_TERMS} AS words FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, words[s : s + 12] AS words
+    FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS s FROM items WHERE len(words) > 0)
+), sizes AS (
+    SELECT DISTINCT len(words) AS n FROM windows
+), grams AS (
+    SELECT rid, s, n, words[s : s + n - 1] AS words
+    FROM (SELECT rid, n, words, unnest(range(1, len(words) - n + 2)) AS s FROM docs, sizes WHERE len(words) >= n)
+), matches AS (
+    SELECT g.rid, g.s, g.n, w.item_id FROM grams g JOIN windows w ON w.words = g.words
+), hits AS (
+    SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM matches) GROUP BY rid
+), found AS (
+    SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM matches WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id,
+       CAST(len(words) AS BIGINT) AS n_words,
+       CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN found USING (rid)
+"""
