@@ -48,7 +48,6 @@ CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 2 << 20
 MAX_PIECES = 500_000
 UNKNOWN_PENALTY = 10.0
-SHORT_UNIT = 64
 FOLD_BLOCK = 256
 UNKNOWN = -1
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -144,47 +143,13 @@ def lattice(distinct: DataFrame, pieces: Pieces, keys: list[str], unit: str = "u
     return edges.groupBy(*keys, unit).agg(F.collect_list(edge).alias("edges"))
 
 
-def best_paths(edges: Column, length: Column) -> Column:
+def best_paths(edges: Column) -> Column:
     """Viterbi as a fold: for every place, from the first, the last piece's start and id on the best way there.
 
-    Of equal ways the one whose last piece begins first is taken. ``length`` is that of
-    the unit; short units, nearly all, are folded by place and long ones by edge.
-    """
-    return F.when(length <= SHORT_UNIT, _fold_places(edges, length)).otherwise(_fold_edges(edges))
-
-
-def _fold_places(edges: Column, length: Column) -> Column:
-    """A step per place: the best of the edges that end there."""
-
-    def step(state: Column, end: Column) -> Column:
-        here = F.filter(edges, lambda edge: edge["end"] == end)
-        ways = F.transform(
-            here,
-            lambda edge: F.struct(
-                (F.get(state["scores"], edge["start"]) + edge["score"]).alias("score"), (-edge["start"]).alias("back"), edge["id"].alias("id")
-            ),
-        )
-        return let(
-            F.array_max(ways),
-            lambda best: F.struct(
-                F.concat(state["scores"], F.array(best["score"])).alias("scores"),
-                F.concat(state["starts"], F.array(-best["back"])).alias("starts"),
-                F.concat(state["ids"], F.array(best["id"])).alias("ids"),
-            ),
-        )
-
-    begin = F.struct(F.array(F.lit(0.0)).alias("scores"), F.array(F.lit(-1)).alias("starts"), F.array(F.lit(UNKNOWN)).alias("ids"))
-    return F.aggregate(
-        F.sequence(F.lit(1), length), begin, step, lambda state: F.struct(state["starts"].alias("starts"), state["ids"].alias("ids"))
-    )
-
-
-def _fold_edges(edges: Column) -> Column:
-    """A step per edge, in order of ends and starts.
-
-    The best way to an end is settled when the first edge of the next end comes. Settled
-    places go to ``recent`` and from there, in blocks, to ``old``: an edge starts at most
-    the longest piece before its end, so it only looks into ``recent``.
+    Edges are folded by end and start, so of equal ways the one whose last piece begins
+    first is taken. The best way to an end is settled when the first edge of the next
+    end comes. Settled places go to ``recent`` and from there, in blocks, to ``old``: an
+    edge starts at most the longest piece before its end, so it only looks into ``recent``.
     """
     place = "struct<score: double, start: int, id: int>"
     none = F.lit(None).cast(place)
@@ -297,7 +262,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
     # Both uses of ``asked`` read all its columns and rows (an inner explode would filter
     # them first), so that they share one shuffle.
     distinct = asked.select("bucket", "chunk", F.explode_outer(F.split("units", " ")).alias("unit")).groupBy("bucket", "unit").agg(F.min("chunk").alias("asker"))
-    solved = lattice(distinct, pieces, ["bucket", "asker"]).select("bucket", "asker", "unit", best_paths(F.col("edges"), F.char_length("unit") + 1).alias("best"))
+    solved = lattice(distinct, pieces, ["bucket", "asker"]).select("bucket", "asker", "unit", best_paths(F.col("edges")).alias("best"))
     solved = solved.select(F.col("bucket").alias("of_bucket"), "asker", "unit", "best.*")
 
     def answer(questions: pa.Table, answers: pa.Table) -> pa.Table:
