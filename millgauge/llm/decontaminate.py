@@ -20,7 +20,7 @@ Defined results. A null or empty text has no words, hits nothing and is not
 contaminated; an item without words has no window. A null doc_id or item_id is a
 value like any other (a null item_id is left out of the id list). Documents are told
 apart by doc_id and a hash of the text, so rows that repeat a doc_id are matched each
-on its own. Repeated items give the same ids once. Extra columns are not read. Empty
+on its own, and rows that repeat both, a null doc_id too, get the same result. Repeated items give the same ids once. Extra columns are not read. Empty
 tables on either side give no matches.
 """
 
@@ -132,6 +132,8 @@ def phrase_matches(ranked: DataFrame, index: DataFrame) -> DataFrame:
         tall = tall.join(shifted, ["window", *DOC, "start"], "left_semi")
         candidates = stored(short.unionByName(tall), f"candidates-{rank}")
 
+    # Rows that repeat a document repeat its postings, and so its candidates.
+    candidates = stored(candidates.distinct(), "distinct-candidates")
     rest = ranked.where(F.col("rank") > RARE_TERMS).select("window", "offset", "term_id")
     expected = candidates.join(rest, "window").select(
         "window", "n_terms", *DOC, "start", "term_id", (F.col("start") + F.col("offset")).alias("pos")
@@ -176,7 +178,7 @@ def proximity_matches(ranked: DataFrame, index: DataFrame, slack: int = WINDOW_W
         )
         counted = seeds.join(needed, "window", "left").join(found, ["window", *DOC, "seed"], "left")
         kept = counted.where(F.coalesce("needed", F.lit(0)) == F.coalesce("found", F.lit(0)))
-        seeds = stored(kept.select("window", *DOC, "seed"), f"near-{rank}")
+        seeds = stored(kept.select("window", *DOC, "seed").distinct(), f"near-{rank}")
     return seeds
 
 

@@ -202,6 +202,16 @@ def test_contamination(docs, items, empty):
     assert bad > 2 and kept.count() == len(ROWS) - bad
 
 
+def test_contamination_of_repeated_rows(spark, items):
+    rows = [(1, f"{ITEM} and more"), (1, f"{ITEM} and more"), (None, ITEM), (None, ITEM), (None, ITEM), (0, ITEM), (2, "clean"), (2, "clean")]
+    repeated = documents(spark, rows)
+    got = decontaminate.contamination(repeated, items).collect()
+    expected = collections.Counter((d, *contamination(t)) for d, t in rows)
+    assert sum(n for row, n in expected.items() if row[-1]) == 6
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got) == expected
+    assert [r.doc_id for r in decontaminate.keep_clean(repeated, items).collect()] == [2, 2]
+
+
 def test_proximity(spark, docs, items):
     rows = [(1, "alpha beta gamma delta epsilon"), (2, "epsilon x beta x alpha x gamma x delta"), (3, "alpha beta gamma " + "y " * 40 + "delta epsilon"), (4, "alpha beta")]
     near = documents(spark, rows)
