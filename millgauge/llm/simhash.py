@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,9 +121,9 @@ def _keys(fingerprints: pd.Series) -> pd.Series:
     return pd.Series(rows)
 
 
-def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, written to the shared folder."""
-    return stored(docs.select(F.col(doc).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")), "fingerprints")
+def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, fp, more columns) of every row, written to the shared folder."""
+    return stored(docs.select(F.col(doc).alias("doc_id"), _fingerprints(F.col(text)).alias("fp"), *more), "fingerprints")
 
 
 def links(distinct: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -145,25 +145,26 @@ def links(distinct: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     return pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(docs: DataFrame, doc: str = "doc_id", text: str = "text", key_rows: int = KEY_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    each = fingerprints(docs, doc, text)
+def components(docs: DataFrame, doc: str = "doc_id", text: str = "text", key_rows: int = KEY_ROWS, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, more columns) of every row."""
+    each = fingerprints(docs, doc, text, *more)
     distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     edges = stored(links(distinct, key_rows), "fingerprint-links")
     roots = connected(edges)
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(smallest, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return each.join(named, "fp").select("doc_id", "fp", "component_id", *each.columns[2:])
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with its own columns.
+    """The rows with the smallest id of each component, with their own columns.
 
-    Rows that repeat a doc_id are one document: they stay or go together. Rows
-    without a doc_id stay, since nothing tells which of them comes first.
+    Each row is judged by the component of its own text, so rows that repeat a doc_id
+    with other texts may part, and every component keeps its smallest id. Rows without
+    a doc_id stay, since nothing tells which of them comes first.
     """
-    members = components(docs, doc, text)
-    kept = members.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    gone = stored(kept.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")), "near-copies")
-    return docs.join(gone, docs[doc] == gone["gone_id"], "left_anti")
+    members = components(docs, doc, text, more=(F.xxhash64(text).alias("version"),))
+    gone = members.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"))
+    gone = stored(gone.distinct(), "near-copies")
+    return docs.join(gone, (docs[doc] == gone["gone_id"]) & (F.xxhash64(docs[text]) == gone["gone_version"]), "left_anti")

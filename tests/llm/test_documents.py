@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millgauge.llm import common, decontaminate, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files
-from tests.llm.fixtures import ITEM, collected, documents, texts
+from tests.llm.fixtures import ITEM, collected, documents, prose, texts
 
 ROWS = texts()
 
@@ -159,6 +159,14 @@ def test_one_of_each_group_stays(docs, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.components(empty).count() == 0
 
 
+def test_every_group_keeps_its_smallest_row(spark):
+    """Groups that share a doc_id, and a repeated id with a text of its own."""
+    a, b, alone = prose(41, 200), prose(42, 200), prose(43, 200)
+    rows = [(1, a), (3, a), (3, b), (7, b), (3, alone), (None, a)]
+    kept = simhash.keep_one(documents(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter([(1, a), (3, b), (3, alone), (None, a)])
+
+
 # benchmark
 
 
