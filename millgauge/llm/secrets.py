@@ -27,7 +27,7 @@ from millgauge import session
 from millgauge.llm.common import stored
 
 # Raised whenever a rule changes: findings of older rules are then scanned anew.
-RULES_VERSION = 1
+RULES_VERSION = 2
 
 # Kinds in order, patterns, and the least length of a match (for
 # assign, of its second group).
@@ -36,11 +36,22 @@ BASE_RULES = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),
 )
+# A private key reaches from its heading to its END line, whatever stands between them
+# (armor headers, escaped line ends, indentation). Without an END line before the next
+# mark it reaches over the base64 runs that follow: 16 characters or more after any line
+# end or space, then up to two shorter lines. No part is read twice, so a search is linear.
+_LABEL = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_LINE_END = r"[ \t\"',]*+(?:\r?\n|\\r\\n|\\n)"
+_HEADERS = rf"(?:{_LINE_END}[ \t]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+)*"
+_RUNS = r"(?:(?:[\s\"',>|]|\\[rnt])++[A-Za-z0-9+/=]{16,}+)*"
+_SHORT = rf"(?:{_LINE_END}[ \t\"'>|]*+[A-Za-z0-9+/=]{{1,15}}+(?=[ \t\"',]*+(?:[\r\n\\]|\Z))){{0,2}}"
+PRIVATE_KEY = rf"-----BEGIN {_LABEL}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {_LABEL}|{_HEADERS}{_RUNS}{_SHORT})"
 # Further kinds; each pattern is anchored by a literal that the text must hold.
 MORE_RULES = (
-    ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), 0, 1),
+    ("private_key", re.compile(PRIVATE_KEY), 0, 1),
     ("web_token", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 1),
-    ("url_password", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{3,64}@"), 0, 1),
+    # The user may be empty; the scheme's bound only moves the start of a match.
+    ("url_password", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*+:[^\s/@]{3,}+@"), 0, 1),
 )
 # What a text must hold for a pattern to match, to skip texts quickly.
 LITERALS = {
