@@ -4,21 +4,26 @@ Only suffixes at content-selected places are kept: the least hash of ``GRAM_WORD
 grams in every ``WINDOW`` consecutive ones (a minimiser). Wherever a passage of
 ``MIN_WORDS`` words stands, its first ``WINDOW`` grams select the same place, so two
 occurrences share an anchor with at least ``CONTEXT`` = MIN_WORDS - WINDOW + 1 words of
-the passage after it. Suffixes are sorted by a hash of those words, so that equal ones
-are neighbours; each is compared with a neighbour from another document, and the match
-is extended word by word to the left and right on the two texts. What a hash brings
-together by chance fails that comparison. The matches of a document are united, and
-runs of at least ``MIN_WORDS`` words are its repeated passages.
-
-A suffix is compared with one other document whose next MIN_WORDS words are the same
-(by a second hash, in the same order), so that near copies meet few partners. Only where
-there is none, near the end of a passage, it is compared with its two neighbours and the
-ends of its group. A hash that occurs very often is cut into groups of about
-``GROUP_ROWS`` by document, in each of which every suffix still has neighbours. So the
-work is linear in the suffixes, whatever repeats. All comparisons of two documents are one row, and texts move
-compressed. Every reported word lies in a match of MIN_WORDS words or more that was
-verified on the texts. A passage can be reported short only at its left end, by less than
-WINDOW words, and only where its partners there share fewer words than another document does.
+the passage after it. Suffixes with the same hash of those words form a group, and
+their documents are compared on the texts: a match is extended word by word to the left
+and right. What a hash brings together by chance fails that comparison. The matches of
+a document are united, and runs of at least ``MIN_WORDS`` words are its repeated passages.
+
+A passage holds its anchor among its first ``WINDOW`` words, so it is one of WINDOW
+stretches of MIN_WORDS words around the anchor. Partners of a suffix are found exactly:
+
+* Where another document has the same WINDOW - 1 words before and MIN_WORDS words after
+  the anchor (one hash, ``wide``), it shares all of those stretches and is the partner.
+* In a group of two suffixes, the other one is.
+* Everywhere else the stretches themselves are hashed, and each is met with one other
+  document that has it. Suffixes with a partner of the first kind are there for the
+  others' sake and are represented by two of them, from two documents.
+
+Groups are only aggregated to their smallest and largest member and joined to it, never
+gathered or paired, so the work is linear in the suffixes, whatever repeats. All
+comparisons of two documents are one row, and texts move compressed. Every reported word
+lies in a match of MIN_WORDS words or more that was verified on the texts, and every word
+of such a match is reported (but for equal 64-bit hashes of different words).
 
 Defined results. Words are split at white space and compared exactly. Null, empty and
 short texts have no passages. Rows that repeat a doc_id and text are one document. A
@@ -34,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,7 +49,6 @@ MIN_WORDS = 50
 GRAM_WORDS = 12
 WINDOW = 16
 CONTEXT = MIN_WORDS - WINDOW + 1
-GROUP_ROWS = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,70 +66,106 @@ def _grams(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.nd
     return out
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the kept suffixes, the hashes of their first CONTEXT and of their first MIN_WORDS words.
+    """Places of the kept suffixes, the hashes of their first CONTEXT words and of the words around.
 
-    The last is 0 where the text ends before. Its 31 bits only pick a partner.
+    The last takes the WINDOW - 1 words before and the first MIN_WORDS words; it is 0
+    where the text has fewer.
     """
     if len(words) < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = _hashes(words)
     grams = _grams(hashes, GRAM_WORDS)
     windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
     places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
     places = places[places + CONTEXT <= len(words)]
-    follows = np.zeros(len(places), np.int32)
-    long = places + MIN_WORDS <= len(words)
-    follows[long] = (_grams(hashes, MIN_WORDS, places[long]) >> np.uint64(33)).astype(np.int32)
-    return places, _grams(hashes, CONTEXT, places).view(np.int64), follows
+    wide = np.zeros(len(places), np.int64)
+    inside = (places >= WINDOW - 1) & (places + MIN_WORDS <= len(words))
+    wide[inside] = _grams(hashes, WINDOW - 1 + MIN_WORDS, places[inside] - (WINDOW - 1)).view(np.int64)
+    return places, _grams(hashes, CONTEXT, places).view(np.int64), wide
+
+
+def stretches(words: list[bytes], places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all stretches of MIN_WORDS words that hold one of the places among their first WINDOW words."""
+    starts = np.unique(np.asarray(places, np.int64)[:, None] - np.arange(WINDOW))
+    starts = starts[(starts >= 0) & (starts + MIN_WORDS <= len(words))]
+    return starts, _grams(_hashes(words), MIN_WORDS, starts).view(np.int64)
 
 
 def suffixes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, place, context, follows) of all kept suffixes, in the shared folder; ``doc`` is a hash of id and text."""
+    """(doc, place, context, wide) of all kept suffixes, in the shared folder; ``doc`` is a hash of id and text."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, one in zip(batch["doc"].to_pylist(), batch["text"]):
-                places, contexts, follows = anchors(_split(one.as_py()))
+                places, contexts, wide = anchors(_split(one.as_py()))
                 if len(places):
-                    columns = (np.full(len(places), number), places.astype(np.int32), contexts, follows)
-                    yield pa.record_batch([pa.array(column) for column in columns], ["doc", "place", "context", "follows"])
+                    columns = (np.full(len(places), number), places.astype(np.int32), contexts, wide)
+                    yield pa.record_batch([pa.array(column) for column in columns], ["doc", "place", "context", "wide"])
 
     keyed = docs.select(F.xxhash64(doc, text).alias("doc"), F.col(text).alias("text"))
-    return stored(keyed.mapInArrow(select, "doc long, place int, context long, follows int"), "suffixes")
+    return stored(keyed.mapInArrow(select, "doc long, place int, context long, wide long"), "suffixes")
 
 
-def neighbours(kept: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc, other, at): the places (shift, place) of a document to compare with ``other``, ``shift`` words further on."""
-    counts = kept.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
-    often = stored(counts.where(F.col("n") > group_rows), "frequent-contexts")
-    parts = F.floor(F.coalesce("n", F.lit(0)) / group_rows) + 1
-    grouped = kept.join(often, "context", "left").withColumn("group", F.pmod(F.xxhash64("doc"), parts))
+def _elsewhere() -> Column:
+    """The first or last member of a group that is in another document."""
+    return F.when(F.col("low")["doc"] != F.col("doc"), F.col("low")).when(F.col("high")["doc"] != F.col("doc"), F.col("high"))
 
-    here = F.struct("doc", "place")
-    in_group = Window.partitionBy("context", "group").orderBy("doc", "place")
-    alike = Window.partitionBy("context", "group", "follows").orderBy("doc", "place")
-    everywhere = (Window.unboundedPreceding, Window.unboundedFollowing)
-    sides = {
-        "before": F.lag(here).over(in_group),
-        "after": F.lead(here).over(in_group),
-        "first": F.first(here).over(in_group.rowsBetween(*everywhere)),
-        "last": F.last(here).over(in_group.rowsBetween(*everywhere)),
-        "alike_first": F.first(here).over(alike.rowsBetween(*everywhere)),
-        "alike_last": F.last(here).over(alike.rowsBetween(*everywhere)),
-    }
-    lined = grouped.select("doc", "place", "follows", *(side.alias(name) for name, side in sides.items())).where(
-        F.col("first")["doc"] != F.col("last")["doc"]
+
+def _ends(place: str) -> list:
+    here = F.struct("doc", F.col(place).alias("place"))
+    return [F.min(here).alias("low"), F.max(here).alias("high")]
+
+
+def _met(found: DataFrame, place: str) -> DataFrame:
+    """(doc, place, other, other_place) of rows with the ends of their group, where another document is in it."""
+    met = found.withColumn("met", _elsewhere()).where(F.col("met").isNotNull())
+    return met.select("doc", F.col(place).alias("place"), F.col("met")["doc"].alias("other"), F.col("met")["place"].alias("other_place"))
+
+
+def _refined(docs: DataFrame, hot: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, start, stretch): the hashed stretches around the places of ``hot`` (doc, place)."""
+    asked = stored(hot.groupBy("doc").agg(F.collect_set("place").alias("places")), "places-to-refine")
+    keyed = docs.select(F.xxhash64(doc, text).alias("doc"), F.col(text).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, one, places in zip(batch["doc"].to_pylist(), batch["text"], batch["places"]):
+                starts, hashes = stretches(_split(one.as_py()), places.as_py())
+                if len(starts):
+                    columns = (np.full(len(starts), number), starts.astype(np.int32), hashes)
+                    yield pa.record_batch([pa.array(column) for column in columns], ["doc", "start", "stretch"])
+
+    rows = keyed.join(asked, "doc").select("doc", "text", "places")
+    return stored(rows.mapInArrow(cut, "doc long, start int, stretch long"), "stretches")
+
+
+def neighbours(kept: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, other, at): the places (shift, place) of a document to compare with ``other``, ``shift`` words further on."""
+    classes = kept.groupBy("context", "wide").agg(*_ends("place"), F.count(F.lit(1)).alias("n"))
+    classes = stored(classes.withColumn("settled", (F.col("wide") != 0) & (F.col("low")["doc"] != F.col("high")["doc"])), "suffix-classes")
+    groups = classes.groupBy("context").agg(
+        F.min("low").alias("group_low"), F.max("high").alias("group_high"), F.sum("n").alias("members"), F.bool_and("settled").alias("all_settled")
     )
+    shared = groups.where(F.col("group_low")["doc"] != F.col("group_high")["doc"])
+    lined = stored(kept.join(classes.join(shared, "context").drop("n"), ["context", "wide"]), "shared-suffixes")
 
-    def elsewhere(name: str):
-        return F.when(F.col(name)["doc"] != F.col("doc"), F.col(name))
+    here = F.struct("doc", "place")
+    two = F.col("members") == 2
+    alone = _met(lined.where(~F.col("settled") & two).withColumns({"low": F.col("group_low"), "high": F.col("group_high")}), "place")
+    represents = (here == F.col("low")) | (here == F.col("high"))
+    hot = lined.where(~two & ~F.col("all_settled") & (~F.col("settled") | represents)).select("doc", "place")
+    cut = _refined(docs, hot, doc, text)
+    ends = cut.groupBy("stretch").agg(*_ends("start")).where(F.col("low")["doc"] != F.col("high")["doc"])
+    exact = _met(cut.join(ends, "stretch"), "start")
 
-    same = F.when(F.col("follows") != 0, F.coalesce(elsewhere("alike_first"), elsewhere("alike_last")))
-    near = F.array_distinct(F.array_compact(F.array(*(elsewhere(name) for name in ("before", "after", "first", "last")))))
-    pairs = lined.withColumn("other", F.explode(F.when(same.isNotNull(), F.array(same)).otherwise(near)))
-    at = F.struct((F.col("other")["place"] - F.col("place")).alias("shift"), "place")
-    return pairs.groupBy("doc", F.col("other")["doc"].alias("other")).agg(F.sort_array(F.collect_list(at)).alias("at"))
+    pairs = _met(lined.where("settled"), "place").unionByName(alone).unionByName(exact)
+    at = F.struct((F.col("other_place") - F.col("place")).alias("shift"), "place")
+    return pairs.groupBy("doc", "other").agg(F.array_sort(F.collect_set(at)).alias("at"))
 
 
 def extended(mine: list[bytes], theirs: list[bytes], at: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -187,7 +227,7 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     Overlapping matches are one passage; ``other_id`` and ``other_start`` belong to its
     longest match, ``other_start`` to where that begins.
     """
-    pairs = stored(neighbours(suffixes(docs, doc, text)), "suffix-neighbours")
+    pairs = stored(neighbours(suffixes(docs, doc, text), docs, doc, text), "suffix-neighbours")
     found = stored(matches(docs, pairs, doc, text, min_words), "matches")
     by_start = Window.partitionBy("doc").orderBy("start", "end", "other_id", "other_start")
     before = by_start.rowsBetween(Window.unboundedPreceding, -1)

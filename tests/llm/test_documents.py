@@ -491,3 +491,35 @@ def test_repeated_passages(docs, empty):
                 expected[d] |= set(range(k, k + 50))
     assert got == expected and {0, 1, 2, 9, 10} <= set(got)
     assert suffixes.repeated_passages(empty).count() == 0
+
+
+def test_passages_around_a_common_line(spark):
+    """Lines of 40 words in many documents; pairs share 10 words more, before, after or around."""
+    rows = []
+    for line in range(12):
+        licence = " ".join(f"l{line}x{k}" for k in range(40))
+        shared = [f"s{line}x{k}" for k in range(10)]
+        for d in range(40):
+            before, after = (" ".join(f"{side}{line}x{d}x{k}" for k in range(30)) for side in "ba")
+            if d in (7, 23):
+                cut = (10, 0, 4)[line % 3]
+                before, after = " ".join([before, *shared[:cut]]), " ".join([*shared[cut:], after])
+            rows.append((100 * line + d, f"{before} {licence} {after}"))
+    # A long text with the line in each of its copies, and one of them changed near the line.
+    rows += [(5000 + k, " ".join(f"c{i}" if i != 100 + k else "changed" for i in range(200)) + (" " + licence) * 2) for k in range(6)]
+    got = collections.defaultdict(set)
+    for r in suffixes.repeated_passages(documents(spark, rows)).collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+    where = collections.defaultdict(set)
+    for d, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(d)
+    expected = collections.defaultdict(set)
+    for d, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            if len(where[tuple(w[k : k + 50])]) > 1:
+                expected[d] |= set(range(k, k + 50))
+    assert {100 * line + d for line in range(12) for d in (7, 23)} <= set(expected)
+    assert got == expected
