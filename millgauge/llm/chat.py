@@ -12,16 +12,21 @@ assistant) reads a conversation's turns in order. For each turn it may
 ``COSTS`` prices these. The repair of least total cost is chosen by dynamic programming.
 
 A turn is a 4 x 4 table of costs between states, and tables combine by the least sum, in
-any grouping. Conversations are cut into stretches of ``STRETCH`` turn numbers: each
-stretch is one table, a short prefix over a conversation's stretches gives the states
-between them, and every stretch then repairs itself alone. A conversation with a third
-of all rows is so as many stretches as it needs, never one task.
-
-Defined results. Turns are ordered by turn number (null first), then role and text, so
-ties and repeated rows have one order. A null or unknown role fits no state and is
+any grouping. The rows of a conversation are numbered in their order: all rows are dealt
+by ranges of that order, numbered in each range, and the numbers of a conversation that
+began in an earlier range are raised by its rows there. Conversations are cut into
+stretches of ``STRETCH`` rows by that number, whatever their turn numbers are: each
+stretch is one table, tables are combined ``FAN`` at a time, level by level, and the
+states at the ends of each are handed down in the same way; every stretch then repairs
+itself alone. A conversation with a third of all rows is so as many stretches as it
+needs, never one task.
+
+Defined results. Turns are ordered by turn number (null first), then role (null first),
+the first ``PREFIX`` characters of the text and a hash of the whole, so ties have one
+order; repeated rows are alike and dealt by their number. A null or unknown role fits no state and is
 always relabelled, at ``COSTS['unknown']``. A null text is empty. Rows without a
 conv_id are a conversation of their own. Extra columns are not read. An empty table
-gives an empty result. Rows that share one turn number stay in one stretch.
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millgauge.llm.common import stored
 
 STRETCH = 256
+# Tables combined in one step.
+FAN = 256
+# Characters of a text that order it; bounds of ranges are held by the driver.
+PREFIX = 128
 ROLES = ("system", "user", "assistant")
 # States: 0 is the start, 1 + k is after a turn of role k.
 STATES = 1 + len(ROLES)
@@ -121,73 +132,144 @@ def repair(roles: list[str | None], begin: int = 0, end: int | None = None) -> t
     return total, actions[::-1]
 
 
+KEY = ["lacks", "conv", "stretch"]
+NUMBERED = "lacks boolean, conv long, role string, text string, part int, nth long"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order with their number in their conversation, as far as it lies in this partition."""
+    last, done = None, 0
+    for batch in batches:
+        lacks, conv = (np.asarray(batch[name].to_numpy(zero_copy_only=False)) for name in ("lacks", "conv"))
+        n = batch.num_rows
+        if not n:
+            continue
+        opens = np.flatnonzero(np.r_[True, (conv[1:] != conv[:-1]) | (lacks[1:] != lacks[:-1])])
+        nth = np.arange(n) - np.repeat(opens, np.diff(np.r_[opens, n]))
+        if last == (bool(lacks[0]), int(conv[0])):
+            nth[: opens[1] if len(opens) > 1 else n] += done
+        last, done = (bool(lacks[-1]), int(conv[-1])), int(nth[-1]) + 1
+        yield pa.record_batch([*batch.columns, pa.array(nth.astype(np.int64))], [*batch.schema.names, "nth"])
+
+
 def _stretched(turns: DataFrame) -> DataFrame:
-    return turns.select(
-        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-1)).alias("stretch")
+    """(lacks, conv, stretch, nth, role, text) of all rows; ``lacks`` marks rows without a conv_id."""
+    text = F.coalesce("text", F.lit(""))
+    rows = turns.select(
+        F.col("conv_id").isNull().alias("lacks"),
+        F.coalesce("conv_id", F.lit(0)).cast("long").alias("conv"),
+        F.col("turn").cast("long").alias("turn"),
+        "role",
+        text.alias("text"),
+        F.substring(text, 1, PREFIX).alias("prefix"),
+        F.xxhash64(text).alias("hash"),
+        # Only parts rows that are alike, so that many of them fill several ranges.
+        F.monotonically_increasing_id().alias("salt"),
+    )
+    order = ["lacks", "conv", "turn", "role", "prefix", "hash", "salt"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = stored(
+        dealt.select("lacks", "conv", "role", "text", F.spark_partition_id().alias("part")).mapInArrow(_numbered, NUMBERED), "numbered-turns"
     )
+    counts = numbered.groupBy("lacks", "conv", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("lacks", "conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one conversation goes on into each partition.
+    raised = stored(counts.withColumn("earlier", F.sum("n").over(earlier)).where("earlier > 0").drop("n"), "turns-in-earlier-parts")
+    nth = F.col("nth") + F.coalesce("earlier", F.lit(0).cast("long"))
+    joined = numbered.join(raised, ["lacks", "conv", "part"], "left")
+    return joined.select("lacks", "conv", F.floor(nth / STRETCH).alias("stretch"), nth.alias("nth"), "role", "text")
 
 
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
+    return rows.sort_values("nth")
 
 
 def _tables(rows: pd.DataFrame) -> pd.DataFrame:
     total = _combined(map(_known, _in_order(rows)["role"]))
     first = rows.iloc[0]
-    return pd.DataFrame({"conv_id": [first["conv_id"]], "stretch": [first["stretch"]], "costs": [total.ravel().tolist()]})
+    return pd.DataFrame({**{name: [first[name]] for name in KEY}, "costs": [total.ravel().tolist()]})
 
 
-def _entries(tables: DataFrame) -> DataFrame:
-    """The states before and after each stretch on a cheapest way through its conversation.
+def _far(value: int = FAR):
+    return F.lit(value).cast("long")
 
-    One row of 16 numbers per stretch. The way is found forward, by the costs to reach
-    each state, and then backward.
-    """
+
+def _states():
+    return F.sequence(F.lit(0), F.lit(STATES - 1))
+
+
+def _families(tables: DataFrame) -> DataFrame:
+    """At most FAN consecutive tables of a conversation in a row, in order."""
     in_order = F.sort_array(F.collect_list(F.struct("stretch", "costs")))
-    zero = F.array(*(F.lit(0 if s == 0 else FAR).cast("long") for s in range(STATES)))
-    states = F.sequence(F.lit(0), F.lit(STATES - 1))
+    return tables.groupBy("lacks", "conv", F.floor(F.col("stretch") / FAN).alias("family")).agg(in_order.alias("parts"))
 
-    def step(costs, table):
-        return F.transform(
-            states,
-            lambda to: F.array_min(F.transform(states, lambda at: F.least(F.lit(FAR).cast("long"), F.get(costs, at) + F.get(table, at * STATES + to)))),
-        )
 
-    grouped = tables.groupBy("conv_id").agg(in_order.alias("parts"))
-    # Costs to reach each state before each stretch, and after the last.
-    reached = F.aggregate(
-        "parts", F.array(zero), lambda done, part: F.concat(done, F.array(step(F.element_at(done, -1), part["costs"])))
-    )
-    walked = grouped.withColumn("reached", reached)
+def _step(costs, table):
+    """Costs to reach each state after the table."""
+    return F.transform(_states(), lambda to: F.array_min(F.transform(_states(), lambda at: F.least(_far(), F.get(costs, at) + F.get(table, at * STATES + to)))))
 
-    def cheapest(costs):
-        return F.array_position(costs, F.array_min(costs)).cast("int") - 1
+
+def _up(tables: DataFrame) -> DataFrame:
+    """One table for each family."""
+
+    def from_state(begin: int):
+        unit = F.array(*(_far(0 if s == begin else FAR) for s in range(STATES)))
+        return F.aggregate("parts", unit, lambda costs, part: _step(costs, part["costs"]))
+
+    return _families(tables).select("lacks", "conv", F.col("family").alias("stretch"), F.concat(*(from_state(s) for s in range(STATES))).alias("costs"))
+
+
+def _cheapest(costs):
+    return F.array_position(costs, F.array_min(costs)).cast("int") - 1
+
+
+def _down(tables: DataFrame, ends: DataFrame) -> DataFrame:
+    """The states before and after each table on a cheapest way between those of its family.
+
+    The way is found forward, by the costs to reach each state, and then backward.
+    """
+    ends = ends.withColumnRenamed("stretch", "family")
+    grouped = _families(tables).join(ends, ["lacks", "conv", "family"])
+    start = F.transform(_states(), lambda s: F.when(s == F.col("begin"), _far(0)).otherwise(_far()))
+    # Costs to reach each state before each table, and after the last.
+    reached = F.aggregate("parts", F.array(start), lambda done, part: F.concat(done, F.array(_step(F.element_at(done, -1), part["costs"]))))
+    walked = grouped.withColumn("reached", reached)
 
     def before(path, k):
-        """The state before stretch k that leads to the first of the path so far at least cost."""
+        """The state before table k that leads to the first of the path so far at least cost."""
         to = F.get(path, F.lit(0))
-        ways = F.transform(states, lambda at: F.get(F.get("reached", k), at) + F.get(F.get("parts", k)["costs"], at * STATES + to))
-        return cheapest(ways)
+        return _cheapest(F.transform(_states(), lambda at: F.get(F.get("reached", k), at) + F.get(F.get("parts", k)["costs"], at * STATES + to)))
 
-    backward = F.aggregate(
-        F.reverse(F.sequence(F.lit(0), F.size("parts") - 1)),
-        F.array(cheapest(F.element_at("reached", -1))),
-        lambda path, k: F.concat(F.array(before(path, k)), path),
+    path = F.aggregate(
+        F.reverse(F.sequence(F.lit(0), F.size("parts") - 1)), F.array("end"), lambda path, k: F.concat(F.array(before(path, k)), path)
     )
     return (
-        walked.withColumn("path", backward)
-        .select("conv_id", "path", F.posexplode("parts").alias("k", "part"))
+        walked.withColumn("path", path)
+        .select("lacks", "conv", "path", F.posexplode("parts").alias("k", "part"))
         .select(
-            "conv_id",
+            "lacks",
+            "conv",
             F.col("part")["stretch"].alias("stretch"),
             F.get("path", F.col("k")).alias("begin"),
             F.get("path", F.col("k") + 1).alias("end"),
-            (F.col("k") == 0).alias("leads"),
         )
     )
 
 
-REPAIRED = "conv_id long, stretch long, place int, role string, text string, merged boolean, leads boolean, cost int, n_merged int, n_relabelled int, n_inserted int"
+def _entries(tables: DataFrame) -> DataFrame:
+    """The states before and after each stretch on a cheapest way through its conversation."""
+    levels, last = [tables], tables.agg(F.max("stretch")).first()[0] or 0
+    while last:
+        levels.append(stored(_up(levels[-1]), "combined-tables"))
+        last //= FAN
+    top = levels.pop()
+    ends = top.select("lacks", "conv", "stretch", F.lit(0).alias("begin"), _cheapest(F.slice("costs", 1, STATES)).alias("end"))
+    for tables in reversed(levels):
+        ends = stored(_down(tables, ends), "states")
+    return ends.withColumn("leads", F.col("stretch") == 0)
+
+
+REPAIRED = "lacks boolean, conv long, stretch long, place int, role string, text string, merged boolean, leads boolean, cost int, n_merged int, n_relabelled int, n_inserted int"
 
 
 def _repaired(rows: pd.DataFrame) -> pd.DataFrame:
@@ -206,9 +288,9 @@ def _repaired(rows: pd.DataFrame) -> pd.DataFrame:
             out.append([ROLES[target], text, what == "merge"])
     counts = {"cost": cost, "n_merged": sum(a[0] == "merge" for a in actions), "n_relabelled": relabelled, "n_inserted": sum(a[0] == "insert" for a in actions)}
     frame = pd.DataFrame(out, columns=["role", "text", "merged"])
-    frame.insert(0, "conv_id", [first["conv_id"]] * len(out))
-    frame.insert(1, "stretch", first["stretch"])
-    frame.insert(2, "place", range(len(out)))
+    for at, name in enumerate(KEY):
+        frame.insert(at, name, first[name])
+    frame.insert(len(KEY), "place", range(len(out)))
     frame["leads"] = [bool(first["leads"])] + [False] * (len(out) - 1)
     for name, value in counts.items():
         frame[name] = [value] + [0] * (len(out) - 1)
@@ -222,10 +304,11 @@ def repaired_turns(turns: DataFrame) -> DataFrame:
     with ``leads`` set begins its conversation.
     """
     rows = _stretched(turns)
-    tables = stored(rows.groupBy("conv_id", "stretch").applyInPandas(_tables, "conv_id long, stretch long, costs array<long>"), "role-tables")
+    roles = rows.select(*KEY, "nth", "role")
+    tables = stored(roles.groupBy(*KEY).applyInPandas(_tables, "lacks boolean, conv long, stretch long, costs array<long>"), "role-tables")
     ways = stored(_entries(tables), "role-states")
-    joined = rows.join(ways.withColumnsRenamed({"conv_id": "of", "stretch": "part"}), F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("part")))
-    return joined.select("conv_id", "turn", "role", "text", "stretch", "begin", "end", "leads").groupBy("conv_id", "stretch").applyInPandas(_repaired, REPAIRED)
+    pieces = rows.join(ways, KEY).groupBy(*KEY).applyInPandas(_repaired, REPAIRED)
+    return pieces.select(F.when(~F.col("lacks"), F.col("conv")).alias("conv_id"), *pieces.columns[2:])
 
 
 def rendered_pieces(turns: DataFrame) -> DataFrame:

@@ -164,3 +164,30 @@ def test_conversations(spark, monkeypatch):
         hashes = [hashlib.sha256(r.rendered.encode()).hexdigest() for r in sorted(mine, key=lambda r: r.stretch)]
         assert digests[conv].rendered_sha256 == hashlib.sha256(",".join(hashes).encode()).hexdigest()
     assert chat.conversations(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stretch, fan", [(256, 256), (4, 3)])
+def test_stretches_are_bounded_whatever_the_turn_numbers(spark, monkeypatch, stretch, fan):
+    """Null, equal, restarting and sparse turn numbers, a null conversation, repeated rows."""
+    monkeypatch.setattr(chat, "STRETCH", stretch)
+    monkeypatch.setattr(chat, "FAN", fan)
+    rng = random.Random(11)
+    roles = ["user", "assistant", "system", "tool", None]
+    numbers = {1: lambda k: None, 2: lambda k: 5, 3: lambda k: k % 50, 4: lambda k: 1000 * k, None: lambda k: k % 100}
+    rows = [(c, number(k), rng.choice(roles), f"text {k}", None, None, None) for c, number in numbers.items() for k in range(600)]
+    rows += [(5, 1, "user", "the same", None, None, None)] * 600 + [(0, 1, "user", "zero", None, None, None)]
+    pieces = collections.defaultdict(list)
+    for r in chat.rendered_pieces(spark.createDataFrame(rows, TURNS)).collect():
+        pieces[r.conv_id].append(r)
+    assert set(pieces) == {0, 1, 2, 3, 4, 5, None}
+    for conv, mine in pieces.items():
+        own = [r for r in rows if r[0] == conv]
+        assert sorted(r.stretch for r in mine) == list(range(-(-len(own) // stretch)))
+        cost, _, text = whole(own)
+        shown = "".join(r.rendered for r in sorted(mine, key=lambda r: r.stretch))
+        assert sum(r.cost for r in mine) == cost
+        heads = [part.split("|>")[0] for part in shown.split("<|") if part.split("|>")[0] in chat.ROLES]
+        assert legal(heads)
+        # The texts stand in the order of the turns.
+        said = lambda shown: [line for line in shown.split("\n") if line.startswith(("text", "the same", "zero"))]
+        assert said(shown) == said(text)
