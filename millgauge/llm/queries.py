@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millgauge import session
-from millgauge.llm import chat, decontaminate, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files, warc
+from millgauge.llm import chat, decontaminate, filter_audit, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files, warc
 from millgauge.llm.common import table, tokenizer_path
-from millgauge.llm.sql import DECONTAMINATION_SQL, QUALITY_SQL
+from millgauge.llm.sql import DECONTAMINATION_SQL, FILTER_AUDIT_SQL, QUALITY_SQL
 
 
 SHARDS, OLD_SHARDS = 40, 32
@@ -101,6 +101,11 @@ def op10_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat.conversations(table(spark, folder, "conversations"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from the documents in each of their orders."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_warc_revisits": op2_warc_revisits,
@@ -112,9 +117,11 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_chat_repair": op10_chat_repair,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 STATEMENTS = {
     "op5_quality_rules": QUALITY_SQL,
     "op9_decontamination": DECONTAMINATION_SQL,
+    "op11_filter_audit": FILTER_AUDIT_SQL,
 }

@@ -77,3 +77,50 @@ SELECT doc_id,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM docs LEFT JOIN hits USING (rid) LEFT JOIN found USING (rid)
 """
+
+FILTER_AUDIT_SQL = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), failed AS (
+    SELECT part,
+           concat(CASE WHEN len(words) < 50 THEN 'A' ELSE '' END,
+                  CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END,
+                  CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END,
+                  CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                  CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails,
+           coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+           coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS bad
+    FROM split
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, step, filter_order[step] AS x, filter_order[1 : step - 1] AS before
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), classes AS (
+    SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(bad) AS bad FROM failed GROUP BY part, fails
+), counted AS (
+    SELECT part, filter_order, step, x,
+           sum(n) FILTER (WHERE translate(fails, before || x, '') = fails) AS kept,
+           sum(n) FILTER (WHERE contains(fails, x) AND translate(fails, before, '') = fails) AS removed,
+           sum(n) FILTER (WHERE contains(fails, x) AND translate(fails, before, '') <> fails) AS redundant,
+           sum(n) FILTER (WHERE fails = x) AS unique_fails,
+           sum(good) FILTER (WHERE contains(fails, x) AND translate(fails, before, '') = fails) AS good_lost,
+           sum(bad) FILTER (WHERE contains(fails, x) AND translate(fails, before, '') = fails) AS toxic_lost
+    FROM classes, steps GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+       CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counted
+"""
