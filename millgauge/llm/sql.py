@@ -124,3 +124,51 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step,
        CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
 FROM counted
 """
+
+# Squared distance of two lists of equal length, and division that goes down.
+_DISTANCE = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_DOWN = "(s - (((s % n) + n) % n)) // n"
+
+
+def _assigned(book: str) -> str:
+    return f"""
+    SELECT vec_id, label, x, part, unnest(arg_min_list) AS found FROM (
+        SELECT p.vec_id, p.label, p.x, p.part,
+               list(struct_pack(d := {_DISTANCE}, entry := b.entry) ORDER BY {_DISTANCE}, b.entry)[1:1] AS arg_min_list
+        FROM parts p JOIN {book} b USING (part) GROUP BY p.vec_id, p.label, p.x, p.part)"""
+
+
+def _refined(book: str, assigned: str) -> str:
+    return f"""
+    SELECT b.part, b.entry, coalesce(new.x, b.x) AS x FROM {book} b LEFT JOIN (
+        SELECT part, entry, list({_DOWN} ORDER BY i) AS x FROM (
+            SELECT part, found.entry AS entry, i, sum(x[i]) AS s, count(*) AS n
+            FROM {assigned}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM parts))) AS i) GROUP BY part, found.entry, i)
+        GROUP BY part, entry) new ON new.part = b.part AND new.entry = b.entry"""
+
+
+VECTOR_CODES_SQL = f"""
+WITH whole AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+    FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, part, v[part * w + 1 : part * w + w] AS x
+    FROM (SELECT *, len(v) // 16 AS w, unnest(range(0, 16)) AS part FROM whole)
+), book0 AS MATERIALIZED (
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x
+    FROM parts WHERE vec_id IN (SELECT vec_id FROM whole ORDER BY vec_id LIMIT 64)
+), round1 AS MATERIALIZED ({_assigned("book0")}
+), book1 AS MATERIALIZED ({_refined("book0", "round1")}
+), round2 AS MATERIALIZED ({_assigned("book1")}
+), book2 AS MATERIALIZED ({_refined("book1", "round2")}
+), final AS MATERIALIZED ({_assigned("book2")}
+), books AS (
+    SELECT sha256(string_agg(CAST(n AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+    FROM (SELECT part, entry, unnest(x) AS n, unnest(range(1, len(x) + 1)) AS i FROM book2)
+), coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', found.entry), '' ORDER BY part) AS code, CAST(sum(found.d) AS BIGINT) AS error
+    FROM final GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, books
+"""
