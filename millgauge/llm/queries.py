@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millgauge import session
-from millgauge.llm import chat, decontaminate, filter_audit, orchard, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files, warc
+from millgauge.llm import chat, decontaminate, filter_audit, minhash, orchard, quality_rules, resharding, secrets, sentencepiece, simhash, suffixes, token_files, warc
 from millgauge.llm.common import table, tokenizer_path
-from millgauge.llm.sql import DECONTAMINATION_SQL, FILTER_AUDIT_SQL, QUALITY_SQL, VECTOR_CODES_SQL
+from millgauge.llm.sql import DECONTAMINATION_SQL, FILTER_AUDIT_SQL, MINHASH_SQL, QUALITY_SQL, VECTOR_CODES_SQL
 
 
 SHARDS, OLD_SHARDS = 40, 32
@@ -106,6 +106,11 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
+    return minhash.components(table(spark, folder, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Code and error of every embedding, and a digest of the codebooks."""
     coded, books = orchard.compress(table(spark, folder, "embeddings"))
@@ -125,6 +130,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_repair": op10_chat_repair,
     "op11_filter_audit": op11_filter_audit,
+    "op12_minhash": op12_minhash,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -132,5 +138,6 @@ STATEMENTS = {
     "op5_quality_rules": QUALITY_SQL,
     "op9_decontamination": DECONTAMINATION_SQL,
     "op11_filter_audit": FILTER_AUDIT_SQL,
+    "op12_minhash": MINHASH_SQL,
     "op13_vector_codes": VECTOR_CODES_SQL,
 }

@@ -125,6 +125,32 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step,
 FROM counted
 """
 
+MINHASH_SQL = rf"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT rid, array_to_string(words[i : i + 2], ' ') AS s
+    FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM docs WHERE len(words) > 0)
+), sizes AS (
+    SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), common AS (
+    SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.rid <> b.rid GROUP BY a.rid, b.rid
+), links AS MATERIALIZED (
+    SELECT c.a, c.b FROM common c JOIN sizes x ON x.rid = c.a JOIN sizes y ON y.rid = c.b
+    WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)
+), reached AS (
+    SELECT rid, rid AS other FROM docs
+    UNION SELECT r.rid, l.b FROM reached r JOIN links l ON l.a = r.other
+), smallest AS (
+    SELECT r.rid, min(d.doc_id) AS component_id FROM reached r JOIN docs d ON d.rid = r.other GROUP BY r.rid
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
+       coalesce(doc_id = component_id, component_id IS NULL) AS kept
+FROM docs JOIN smallest USING (rid) LEFT JOIN sizes USING (rid)
+"""
+
 # Squared distance of two lists of equal length, and division that goes down.
 _DISTANCE = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _DOWN = "(s - (((s % n) + n) % n)) // n"

@@ -14,7 +14,7 @@ from tests.llm.test_documents import fingerprint, ids_of, quality, reachable, te
 
 def test_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.STATEMENTS) <= set(entry.oracle_sql())
 
