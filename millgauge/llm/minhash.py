@@ -1,11 +1,13 @@
 """MinHash near-duplicates: keys by tensored banding, every candidate verified.
 
-A text's set is its distinct shingles. Plain banding with tables of four minhashes needs
-four new ones per table. Here two collections of ``COLLECTION`` pairs of minhashes make
-all keys: table (i, j) joins pair i of the first collection with pair j of the second,
-so 64 tables take 32 minhashes instead of 256. Two sets of similarity 0.85 miss every
-table with a probability of about 7 in 100,000, and of 5 in a million at 0.9. Equal sets
-are one row from the start and cannot be missed.
+A text's set is its distinct shingles. Plain banding with tables of six minhashes needs
+six new ones per table. Here two collections of ``COLLECTION`` triples of minhashes make
+all keys: table (i, j) joins triple i of the first collection with triple j of the
+second, so 144 tables take 72 minhashes instead of 864. Two sets of similarity 0.85 miss
+every table with a probability of about 2 in 100,000, and of 3 in 10 million at 0.9.
+Equal sets are one row from the start and cannot be missed. A set that shares no triple
+of one of the collections with any other has no key in common with one, so only shared
+triples are combined.
 
 A key with few members gives its pairs, each verified on the full sets. The members of a
 key with more than ``GROUP`` form no pairs. Keys that share members make one hot group,
@@ -48,10 +50,12 @@ SHINGLE_WORDS = 3
 # differing shingles, 37 * differing <= 3 * (n + n').
 SLACK_SIZE, SLACK_DIFFERENCE = 3, 37
 SIMILAR, OF_UNION = 100, 85
-# Pairs of minhashes in each of the two collections.
-COLLECTION = 8
+# Minhashes that are taken together, and how many such in each of the two collections.
+TOGETHER, COLLECTION = 3, 12
 # Members of a key up to which its pairs are formed.
 GROUP = 8
+# Members of a group that meet one copy of what is joined to the group.
+SPREAD = 512
 BLOCK = 1 << 14
 MEMO = 1 << 17
 # Texts, and shingles of texts, in a batch that leaves Python.
@@ -60,8 +64,8 @@ ROWS, VALUES = 256, 1 << 18
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _RANDOM = np.random.default_rng(20240229)
 _WORD_FACTORS = _RANDOM.integers(1 << 62, 1 << 63, (SHINGLE_WORDS, SHINGLE_WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIPS = _RANDOM.integers(0, 1 << 63, 4 * COLLECTION, np.uint64)
-_FACTORS = _RANDOM.integers(1 << 62, 1 << 63, 4 * COLLECTION, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIPS = _RANDOM.integers(0, 1 << 63, 2 * TOGETHER * COLLECTION, np.uint64)
+_FACTORS = _RANDOM.integers(1 << 62, 1 << 63, 2 * TOGETHER * COLLECTION, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -91,13 +95,16 @@ def shingle_set(text: str | None, memo: _WordHashes) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """One number per pair of minhashes: those of the first collection, then of the second."""
+    """One number per ``TOGETHER`` minhashes: those of the first collection, then of the second."""
     least = np.full(len(_FLIPS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), BLOCK):
         values = (shingles[at : at + BLOCK, None] ^ _FLIPS) * _FACTORS
         values ^= values >> np.uint64(32)
         np.minimum(least, (values * _MIX[1]).min(axis=0), out=least)
-    return _mixed(least[0::2] * _MIX[0] + least[1::2])
+    made = np.zeros(len(least) // TOGETHER, np.uint64)
+    for k in range(TOGETHER):
+        made = _mixed(made * _MIX[0] + least[k::TOGETHER])
+    return made
 
 
 def _signed(values: np.ndarray) -> list[int]:
@@ -182,12 +189,16 @@ def distinct_sets(each: DataFrame) -> DataFrame:
 
 
 def table_keys(sets: DataFrame) -> DataFrame:
-    """(key, sid, n): one key per table, made of one pair of each collection. Stored without keys that one set has alone."""
-    pairs = sets.select("sid", "n", F.posexplode(F.slice("signature", 1, COLLECTION)).alias("i", "u"), "signature")
-    both = pairs.select("sid", "n", "i", "u", F.posexplode(F.slice("signature", COLLECTION + 1, COLLECTION)).alias("j", "v"))
-    keyed = both.select(F.xxhash64("i", "u", "j", "v").alias("key"), "sid", "n")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return stored(keyed.join(shared, "key"), "shared-keys")
+    """(key, sid, n, members): one key per table and set, of those keys that sets share; stored."""
+    halves = sets.select("sid", "n", F.posexplode("signature").alias("k", "value")).withColumn("half", F.xxhash64("k", "value"))
+    met = halves.groupBy("half").agg(F.count(F.lit(1)).alias("sharing")).where("sharing > 1")
+    shared = halves.join(met, "half", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("k", "half")).alias("halves"))
+    first = F.filter("halves", lambda h: h["k"] < COLLECTION)["half"]
+    second = F.filter("halves", lambda h: h["k"] >= COLLECTION)["half"]
+    one = shared.select("sid", "n", second.alias("second"), F.explode(first).alias("u"))
+    keyed = one.select("sid", "n", "u", F.explode("second").alias("v")).select(F.xxhash64("u", "v").alias("key"), "sid", "n")
+    members = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return stored(keyed.join(members, "key"), "shared-keys")
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -204,11 +215,25 @@ def cold_pairs(keyed: DataFrame, group: int) -> DataFrame:
 
 
 def hot_groups(keyed: DataFrame, group: int) -> DataFrame:
-    """(g, sid): members of larger keys, in one group with all that they share such a key with; stored."""
+    """(g, sid, members): members of larger keys, in one group with all that they share such a key with; stored."""
     large = keyed.where(F.col("members") > group)
     centre = large.groupBy("key").agg(F.min("sid").alias("a"))
     roots = connected(large.join(centre, "key").select("a", F.col("sid").alias("b")))
-    return stored(roots.select(F.col("root").alias("g"), F.col("node").alias("sid")), "hot-groups")
+    return stored(sized(roots.select(F.col("root").alias("g"), F.col("node").alias("sid"))), "hot-groups")
+
+
+def sized(groups: DataFrame, salts: int = 64) -> DataFrame:
+    """(g, sid) with the number of ``members`` of the group, joined in ``salts`` parts of it."""
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return groups.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int")).join(spread, ["g", "salt"]).drop("salt")
+
+
+def per_group(members: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Members (g, sid, members) with the row of their group (g, of how many ``members``), which large groups meet in copies."""
+    parts = F.ceil(F.col("members") / SPREAD).cast("int")
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members")
+    return members.withColumn("salt", F.pmod(F.xxhash64("sid"), parts).cast("int")).join(spread, ["g", "salt"], how).drop("salt")
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,21 +256,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _centred(members: DataFrame) -> DataFrame:
-    """(g, sid, n, delta, slack, best, top): each member's difference from its group's majority set.
+    """(g, sid, n, members, delta, slack, best, top): each member's difference from its group's majority set.
 
     ``top`` is the member with the most slack, ``best`` its slack.
     """
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    elements = members.select("g", F.explode("delta").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("n_e"))
-    common = elements.join(sizes, "g").where("2 * n_e > members").groupBy("g").agg(F.collect_list("e").alias("majority"))
-    centred = members.join(common, "g", "left").withColumn("majority", F.coalesce("majority", F.array().cast("array<long>")))
+    elements = members.select("g", "members", F.explode("delta").alias("e"))
+    counted = elements.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n_e"), F.first("members").alias("members"))
+    common = counted.where("2 * n_e > members").groupBy("g").agg(F.first("members").alias("members"), F.collect_list("e").alias("majority"))
+    centred = per_group(members, common, "left").withColumn("majority", F.coalesce("majority", F.array().cast("array<long>")))
     apart = F.concat(F.array_except("delta", "majority"), F.array_except("majority", "delta"))
     made = stored(
-        centred.select("g", "sid", "n", apart.alias("delta")).withColumn("slack", SLACK_SIZE * F.col("n") - SLACK_DIFFERENCE * F.size("delta").cast("long")),
+        centred.select("g", "sid", "n", "members", apart.alias("delta")).withColumn("slack", SLACK_SIZE * F.col("n") - SLACK_DIFFERENCE * F.size("delta").cast("long")),
         "centred",
     )
-    tops = made.groupBy("g").agg(F.max(F.struct("slack", "sid")).alias("top"))
-    return made.join(tops.select("g", F.col("top.slack").alias("best"), F.col("top.sid").alias("top")), "g")
+    tops = made.groupBy("g").agg(F.first("members").alias("members"), F.max(F.struct("slack", "sid")).alias("top"))
+    return per_group(made, tops.select("g", "members", F.col("top.slack").alias("best"), F.col("top.sid").alias("top")))
 
 
 def _prefixes(rest: DataFrame) -> DataFrame:
@@ -266,7 +291,7 @@ def _prefixes(rest: DataFrame) -> DataFrame:
 
 
 def _split(members: DataFrame, group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, pairs to verify, members of the next groups) of groups (g, sid, n, delta).
+    """(links, pairs to verify, members of the next groups) of groups (g, sid, n, members, delta).
 
     Links are those of each group's top member by slack. Pairs come from small new
     groups, which are the members with a rare element of their differences in common,
@@ -277,25 +302,29 @@ def _split(members: DataFrame, group: int) -> tuple[DataFrame, DataFrame, DataFr
     links = rest.where(~F.col("open") & (F.col("sid") != F.col("top"))).select(F.col("top").alias("a"), F.col("sid").alias("b"))
 
     # A member that is linked to the top needs to meet open ones only; their slack bounds what is needed.
-    still = rest.where("open").groupBy("g").agg(F.max("slack").alias("open_best"))
+    still = rest.where("open").groupBy("g").agg(F.first("members").alias("members"), F.max("slack").alias("open_best"))
     partner = F.when(F.col("open"), F.col("best")).otherwise(F.col("open_best"))
     needed = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + partner) / (2.0 * SLACK_DIFFERENCE)))
-    met = stored(_prefixes(rest.join(still, "g").withColumn("needed", needed).where(F.col("needed") <= F.size("delta"))), "prefixes")
+    meeting = per_group(rest, still).withColumn("needed", needed).where(F.col("needed") <= F.size("delta"))
+    met = stored(_prefixes(meeting), "prefixes")
 
-    counts = met.groupBy("g", "e").agg(F.count(F.lit(1)).alias("members"), F.count_if("open").alias("n_open")).where("members > 1 AND n_open > 0")
+    # Elements with the same members, such as all shingles around one changed word, make one new group.
+    same = (F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"same_{k}") for k in range(2))
+    counts = met.groupBy("g", "e").agg(F.count(F.lit(1)).alias("members"), F.count_if("open").alias("n_open"), *same)
+    counts = counts.where("members > 1 AND n_open > 0").groupBy("g", "members", "same_0", "same_1").agg(F.min("e").alias("e")).select("g", "e", "members")
     shared = stored(met.join(counts, ["g", "e"]).select(F.xxhash64("g", "e").alias("key"), "g", "sid", "n", "open", "members"), "shared-elements")
     small = shared.where(F.col("members") <= group)
     a = small.select("key", "g", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("open").alias("open_a"))
     b = small.select("key", "g", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("open").alias("open_b"))
     pairs = a.join(b, ["key", "g"]).where((F.col("a") < F.col("b")) & (F.col("open_a") | F.col("open_b")) & _close(F.col("n_a"), F.col("n_b")))
-    large = shared.where(F.col("members") > group).select("g", "sid", F.col("key").alias("next_g"))
-    following = large.join(centred.select("g", "sid", "n", "delta"), ["g", "sid"]).select(F.col("next_g").alias("g"), "sid", "n", "delta")
-    return links, pairs.select("a", "b").distinct(), following
+    large = shared.where(F.col("members") > group).select("g", "sid", F.col("key").alias("next_g"), F.col("members").alias("next_members"))
+    following = large.join(centred.select("g", "sid", "n", "delta"), ["g", "sid"])
+    return links, pairs.select("a", "b").distinct(), following.select(F.col("next_g").alias("g"), "sid", "n", F.col("next_members").alias("members"), "delta")
 
 
 def hot_links(groups: DataFrame, sets: DataFrame, group: int) -> DataFrame:
-    """Links (a, b) that connect all similar members of the groups (g, sid)."""
-    members = groups.join(sets, "sid").select("g", "sid", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("delta"))
+    """Links (a, b) that connect all similar members of the groups (g, sid, members)."""
+    members = groups.join(sets, "sid").select("g", "sid", F.size("shingles").cast("long").alias("n"), "members", F.col("shingles").alias("delta"))
     found = None
     while not members.isEmpty():
         links, pairs, following = _split(stored(members, "members"), group)

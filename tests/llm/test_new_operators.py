@@ -203,7 +203,7 @@ def test_links_of_one_hot_group_are_exact(spark):
             d = root[d]
         return d
 
-    for a, b in minhash.hot_links(groups, full, 4).collect():
+    for a, b in minhash.hot_links(minhash.sized(groups), full, 4).collect():
         assert 100 * len(shingles(rows[a][1]) & shingles(rows[b][1])) >= 85 * len(shingles(rows[a][1]) | shingles(rows[b][1]))
         low, high = sorted((find(a), find(b)))
         root[high] = low
