@@ -20,13 +20,13 @@ from millgauge.functions.numeric import tally
 from millgauge.operators import dispatch, quality
 from millgauge.operators.quality import DROP, RULES, WARN
 from millgauge.operators.silver import TYPERS
-from millgauge.plans import analytics, dashboard, floor, metrics
+from millgauge.plans import analytics, dashboard, floor, medallion, metrics
 from millgauge.plans.metrics import metric, where
-from millgauge.plans.shop import StagedShop
+from millgauge.plans.shop import StagedShop, StoredShop
 from millgauge.sources import documentation, staging
 from millgauge.sources.landing import read_landing, write_landing
 from millgauge.sources.schemas import FEEDS
-from millgauge.streaming import ingest
+from millgauge.streaming import ingest, state
 
 # Present unless the subpackage of training-data operators has been taken out.
 try:
@@ -84,6 +84,49 @@ def _quality_log(shop: StagedShop) -> DataFrame:
     return _union(logs).groupBy("table_name", "rule", "action").agg(F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
 
 
+def _reassigned(shop: StagedShop) -> DataFrame:
+    """Orders in two deliveries with a stored reassignment between: only those of the first move."""
+    base = session.fresh_folder(shop.spark, "reassigned")
+    folders = ingest.Folders(landing=f"{base}/landing", root=f"{base}/tables")
+    moves, orders, first = _moves(shop), shop.feed("work_orders"), F.col("order_qty") % 2 == 0
+    write_landing(shop.feed("machines"), "machines", folders.feed("machines"))
+    write_landing(orders.where(first), "work_orders", folders.feed("work_orders"))
+    ingest.refresh(shop.spark, folders, ("machines", "work_orders"))
+    medallion.reassign(shop.spark, folders.root, moves)
+    write_landing(orders.where(~first), "work_orders", folders.feed("work_orders"), mode="append")
+    ingest.refresh(shop.spark, folders, ("work_orders",))
+    return StoredShop(shop.spark, folders.root).work_orders.drop("_ingested_at", "_source_file")
+
+
+def _stream_of_readings(shop: StagedShop, deliveries: int, refresh) -> ingest.Folders:
+    """The sensor feed delivered so often, each time through both gates and into a stream with state, which restarts in between."""
+    base = session.fresh_folder(shop.spark, "readings")
+    folders = ingest.Folders(landing=f"{base}/landing", root=f"{base}/tables")
+    for _ in range(deliveries):
+        write_landing(shop.feed("sensor_data"), "sensor_data", folders.feed("sensor_data"), mode="append")
+        ingest.refresh(shop.spark, folders, ("sensor_data",))
+        refresh(state.silver_readings(shop.spark, folders), folders)
+    return folders
+
+
+def _daily_health(shop: StagedShop) -> DataFrame:
+    return state.daily_health(shop.spark, _stream_of_readings(shop, 1, state.refresh_daily_health), shop.machines)
+
+
+def _newest_readings(shop: StagedShop) -> DataFrame:
+    return state.newest(shop.spark, _stream_of_readings(shop, 1, state.refresh_newest))
+
+
+def _unique_readings(shop: StagedShop) -> DataFrame:
+    folders = _stream_of_readings(shop, 2, state.refresh_readings)
+    rows = shop.spark.read.parquet(folders.table("unique_readings"))
+    return rows.drop("_ingested_at", "_source_file", "batch_id")
+
+
+def _dropped_readings(shop: StagedShop) -> DataFrame:
+    return state.dropped(shop.spark, _stream_of_readings(shop, 2, state.refresh_readings))
+
+
 def _landed(shop: StagedShop, feed: str) -> DataFrame:
     """Feed written as CSV and read back as one batch."""
     folder = session.fresh_folder(shop.spark, f"landing-{feed}")
@@ -155,6 +198,11 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     **{f"ingest_{feed}": (lambda s, feed=feed: _ingested(s, feed)) for feed in FEEDS},
     **{f"ingest_silver_{feed}": (lambda s, feed=feed: _silver_of(s, feed)) for feed in FEEDS},
     "quality_log": _quality_log,
+    # streams with state
+    "stream_daily_health": _daily_health,
+    "stream_newest_reading": _newest_readings,
+    "stream_unique_readings": _unique_readings,
+    "stream_dropped_readings": _dropped_readings,
     "write_landing": lambda s: _landed(s, "routings"),
     "describe_columns": _dictionary,
     # quality
@@ -232,6 +280,7 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     "active_order_counts": lambda s: dispatch.active_order_counts(s.bare_orders),
     "replacement_moves": lambda s: dispatch.move_counts(s.bare_orders, _moves(s), s.machines),
     "reassign_work_orders": lambda s: dispatch.reassign_work_orders(s.work_orders, _moves(s), s.machines),
+    "reassigned_orders_stored": _reassigned,
     # named metrics
     "measure_utilization_pct_rounded": lambda s: s.utilization.select("machine_id", "period_day", metric("utilization_pct_rounded")),
     "measure_farm_out_rate_pct": lambda s: s.capacity.select("work_center", "period_month", metric("farm_out_rate_pct")),

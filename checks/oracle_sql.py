@@ -318,6 +318,22 @@ def _selects(as_of: str) -> dict[str, str]:
         "reassign_work_orders": f"""SELECT * EXCLUDE (from_machine_id, to_machine_id) REPLACE (
                 CASE WHEN {OPEN} AND to_machine_id IS NOT NULL THEN to_machine_id ELSE machine_id END AS machine_id)
             FROM work_orders LEFT JOIN moves ON from_machine_id = machine_id""",
+        "reassigned_orders_stored": f"""SELECT * EXCLUDE (from_machine_id, to_machine_id) REPLACE (
+                CASE WHEN {OPEN} AND order_qty % 2 = 0 AND to_machine_id IS NOT NULL THEN to_machine_id ELSE machine_id END AS machine_id)
+            FROM work_orders LEFT JOIN moves ON from_machine_id = machine_id""",
+        # streams with state
+        "stream_daily_health": """SELECT * FROM maintenance
+            WHERE reading_date + INTERVAL 1 DAY <= (SELECT max(reading_timestamp) - INTERVAL 2 DAY FROM sensor_data)""",
+        "stream_newest_reading": """SELECT machine_id, reading_timestamp, sensor_id, health_score, machine_status,
+                reading_timestamp + INTERVAL 30 DAY <= newest - INTERVAL 2 DAY AS silent
+            FROM (SELECT *, max(reading_timestamp) OVER () AS newest,
+                      row_number() OVER (PARTITION BY machine_id ORDER BY reading_timestamp DESC, sensor_id DESC) AS place
+                  FROM sensor_data WHERE reading_timestamp IS NOT NULL) WHERE place = 1""",
+        "stream_unique_readings": "SELECT * FROM sensor_data",
+        "stream_dropped_readings": """SELECT 'unique_readings' AS stream, CAST(2 * count(*) AS BIGINT) AS rows_in,
+                CAST(count_if(reading_timestamp <= newest - INTERVAL 2 DAY) AS BIGINT) AS late,
+                CAST(count_if(reading_timestamp > newest - INTERVAL 2 DAY) AS BIGINT) AS duplicates
+            FROM (SELECT *, max(reading_timestamp) OVER () AS newest FROM sensor_data)""",
         # named metrics
         "measure_utilization_pct_rounded": """SELECT machine_id, period_day,
             utilization_pct AS utilization_pct_rounded FROM utilization""",

@@ -217,18 +217,15 @@ def valid_moves(moves: DataFrame, machines: DataFrame | None = None) -> DataFram
 def reassign_work_orders(work_orders: DataFrame, moves: DataFrame, machines: DataFrame | None = None) -> DataFrame:
     """The work-order snapshot with active orders moved; all else unchanged.
 
-    Moves are validated first. Only orders that can move meet them; the others, most
-    of the table, are passed through and never shuffled, whatever join is chosen.
+    Moves are validated first. The orders are read once: those that cannot move join
+    under a key of their own, which no machine has, so that they are no hot key.
     """
     valid = valid_moves(moves, machines)
-    movable = is_active_order() & F.col("machine_id").isNotNull()
+    movable = F.coalesce(is_active_order() & F.col("machine_id").isNotNull(), F.lit(False))
+    key = F.when(movable, F.col("machine_id")).otherwise(F.concat(F.lit("\0"), F.xxhash64("work_order_id").cast("string")))
     target = F.coalesce("to_machine_id", "machine_id").alias("machine_id")
-    moved = (
-        work_orders.filter(movable)
-        .join(valid, F.col("machine_id") == F.col("from_machine_id"), "left")
-        .select(*(target if name == "machine_id" else F.col(name) for name in work_orders.columns))
-    )
-    return work_orders.filter(~F.coalesce(movable, F.lit(False))).unionByName(moved)
+    joined = work_orders.withColumn("_key", key).join(valid, F.col("_key") == F.col("from_machine_id"), "left")
+    return joined.select(*(target if name == "machine_id" else F.col(name) for name in work_orders.columns))
 
 
 def move_counts(work_orders: DataFrame, moves: DataFrame, machines: DataFrame | None = None) -> DataFrame:

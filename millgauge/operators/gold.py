@@ -85,27 +85,42 @@ def scheduling_performance(work_orders: DataFrame) -> DataFrame:
     )
 
 
+# The measures of a machine's day, rounded as they are shown; peak wear is rounded later.
+SENSOR_MEASURES = (
+    "sensor_readings", "avg_temp_c", "max_temp_c", "avg_vibration", "max_vibration", "avg_spindle_rpm", "avg_power_kw",
+    "avg_coolant_lpm", "peak_wear", "avg_health_score", "min_health_score", "anomaly_count",
+)
+
+
+def sensor_measures() -> list[Column]:
+    """Aggregates over a machine's readings of a day, named as ``SENSOR_MEASURES``."""
+    made = (
+        F.count(F.lit(1)),
+        rnd(F.avg("temperature_celsius"), 2),
+        rnd(F.max("temperature_celsius"), 2),
+        rnd(F.avg("vibration_mm_s"), 3),
+        rnd(F.max("vibration_mm_s"), 3),
+        rnd(F.avg("spindle_speed_rpm"), 0),
+        rnd(F.avg("power_consumption_kw"), 2),
+        rnd(F.avg("coolant_flow_lpm"), 2),
+        F.max("tool_wear_pct"),
+        rnd(F.avg("health_score"), 1),
+        F.min("health_score"),
+        tally(F.col("anomaly_flag")),
+    )
+    return [column.alias(name) for name, column in zip(SENSOR_MEASURES, made)]
+
+
 def predictive_maintenance(
     sensor_data: DataFrame, machines: DataFrame, limits: HealthLimits = DEFAULT_LIMITS
 ) -> DataFrame:
     """Sensor condition per machine and day with maintenance urgency."""
-    per_day = (
-        sensor_data.groupBy("machine_id", day_of(F.col("reading_timestamp")).alias("reading_date"))
-        .agg(
-            F.count(F.lit(1)).alias("sensor_readings"),
-            rnd(F.avg("temperature_celsius"), 2).alias("avg_temp_c"),
-            rnd(F.max("temperature_celsius"), 2).alias("max_temp_c"),
-            rnd(F.avg("vibration_mm_s"), 3).alias("avg_vibration"),
-            rnd(F.max("vibration_mm_s"), 3).alias("max_vibration"),
-            rnd(F.avg("spindle_speed_rpm"), 0).alias("avg_spindle_rpm"),
-            rnd(F.avg("power_consumption_kw"), 2).alias("avg_power_kw"),
-            rnd(F.avg("coolant_flow_lpm"), 2).alias("avg_coolant_lpm"),
-            F.max("tool_wear_pct").alias("peak_wear"),
-            rnd(F.avg("health_score"), 1).alias("avg_health_score"),
-            F.min("health_score").alias("min_health_score"),
-            tally(F.col("anomaly_flag")).alias("anomaly_count"),
-        )
-    )
+    per_day = sensor_data.groupBy("machine_id", day_of(F.col("reading_timestamp")).alias("reading_date")).agg(*sensor_measures())
+    return with_maintenance(per_day, machines, limits)
+
+
+def with_maintenance(per_day: DataFrame, machines: DataFrame, limits: HealthLimits = DEFAULT_LIMITS) -> DataFrame:
+    """The measures of machines and days with the machines' attributes and the urgency that follows."""
     attributes = machines.select("machine_id", "machine_name", "machine_type", "work_center", "last_pm_date")
     day = F.col("reading_date")
     return per_day.join(attributes, "machine_id").select(

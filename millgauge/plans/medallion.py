@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millgauge.operators import dispatch, gold
+from millgauge.operators import gold
+from millgauge.operators import moves as move_log
 from millgauge.operators.layout import CLUSTER_KEYS, current_version, write_clustered, write_version
-from millgauge.plans.shop import REASSIGNED, StagedShop, StoredShop
+from millgauge.plans.shop import MOVE_LOG, StagedShop, StoredShop
 from millgauge.sources.documentation import comment_on, create_schema
 
 # Table name to the shop's attribute of it.
@@ -42,10 +43,9 @@ def refresh_gold(spark: SparkSession, root: str) -> StoredShop:
 
 
 def reassign(spark: SparkSession, root: str, moves: DataFrame) -> StoredShop:
-    """Store the work orders with the valid moves applied; returns the shop that reads them."""
+    """Log the valid moves for the orders that have arrived so far; returns the shop that reads them so."""
     shop = StoredShop(spark, root)
-    moved = dispatch.reassign_work_orders(shop.work_orders, moves, shop.machines)
-    write_version(moved, root, REASSIGNED, CLUSTER_KEYS["silver_work_orders"])
+    move_log.log_moves(spark, f"{root}/{MOVE_LOG}", moves, shop.machines, shop.last_batch())
     return StoredShop(spark, root)
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millgauge import session
-from millgauge.operators import gold, silver
+from millgauge.operators import gold, moves, silver
 from millgauge.operators.latest import current_machines
 from millgauge.operators.layout import current_version
 from millgauge.sources import staging
 
-# The stored snapshot of work orders after a reassignment.
-REASSIGNED = "reassigned_work_orders"
+# The log of reassignments, below the root.
+MOVE_LOG = "move_log"
 
 
 class StagedShop:
@@ -118,14 +118,18 @@ class StoredShop:
 
     @cached_property
     def work_orders(self) -> DataFrame:
-        """The orders as last reassigned, and those that have arrived since."""
-        arrived = self.table("silver_work_orders")
-        path = current_version(self.spark, self.root, REASSIGNED)
-        if path is None:
-            return arrived
-        moved = self.spark.read.parquet(path)
-        newest = moved.agg(F.max("_ingested_at")).scalar()
-        return moved.unionByName(arrived.filter(F.col("_ingested_at") > newest))
+        """All orders that have arrived, on the machines that reassignments have left them on."""
+        return self.work_orders_after(None)
+
+    def work_orders_after(self, number: int | None) -> DataFrame:
+        """The orders that have arrived, as if the reassignment of this number had been the last; 0 is before all."""
+        arrived = self.spark.read.parquet(f"{self.root}/silver_work_orders")
+        log = moves.read_log(self.spark, f"{self.root}/{MOVE_LOG}")
+        return (arrived if log is None else moves.apply_log(arrived, log, number)).drop("batch_id")
+
+    def last_batch(self) -> int | None:
+        """The number of the newest batch of work orders."""
+        return self.spark.read.parquet(f"{self.root}/silver_work_orders").agg(F.max("batch_id")).first()[0]
 
     # Stored columns are pruned by the reader, so one table serves all variants.
     @property

@@ -47,8 +47,8 @@ def stream_landing(
     return with_ingest_columns(reader.csv(path), feed)
 
 
-def write_landing(df: DataFrame, feed: str, path: str, files: int | None = None) -> None:
-    """Write a feed as headed CSV, replacing what is there.
+def write_landing(df: DataFrame, feed: str, path: str, files: int | None = None, mode: str = "overwrite") -> None:
+    """Write a feed as headed CSV, replacing what is there or, in mode ``append``, as one more delivery.
 
     ``files`` fixes the number of files; by default each task writes its own, so
     a large feed is never squeezed through one writer.
@@ -57,7 +57,7 @@ def write_landing(df: DataFrame, feed: str, path: str, files: int | None = None)
     if files:
         out = out.repartition(files)
     (
-        out.write.mode("overwrite")
+        out.write.mode(mode)
         .option("header", True)
         .option("dateFormat", _DATE)
         .option("timestampFormat", _MOMENT)

@@ -219,7 +219,7 @@ def test_reassignment_is_stored_and_later_orders_follow(spark, folders, monkeypa
     def fails(*_):
         raise OSError("no space left")
 
-    monkeypatch.setattr("millgauge.operators.layout.write_clustered", fails)
+    monkeypatch.setattr("millgauge.operators.moves.valid_moves", fails)
     with pytest.raises(OSError):
         medallion.reassign(spark, folders.root, moves)
     monkeypatch.undo()
