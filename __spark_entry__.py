@@ -98,6 +98,24 @@ def _reassigned(shop: StagedShop) -> DataFrame:
     return StoredShop(shop.spark, folders.root).work_orders.drop("_ingested_at", "_source_file")
 
 
+def _in_thirds(shop: StagedShop, feed: str, number: str, *tables: str) -> tuple[SparkSession, str]:
+    """A feed delivered in three parts, the rollups brought up to date after each."""
+    base = session.fresh_folder(shop.spark, "thirds")
+    folders = ingest.Folders(landing=f"{base}/landing", root=f"{base}/tables")
+    write_landing(shop.feed("machines"), "machines", folders.feed("machines"))
+    ingest.refresh(shop.spark, folders, ("machines",))
+    for part in range(3):
+        rows = shop.feed(feed).where(F.pmod(F.xxhash64(number), F.lit(3)) == part)
+        write_landing(rows, feed, folders.feed(feed), mode="append")
+        ingest.refresh(shop.spark, folders, (feed,))
+        medallion.refresh_incremental(shop.spark, folders.root, tables)
+    return shop.spark, folders.root
+
+
+def _incremental(feed: str, number: str, table: str):
+    return lambda shop: medallion.incremental(*_in_thirds(shop, feed, number, table), table)
+
+
 def _stream_of_readings(shop: StagedShop, deliveries: int, refresh) -> ingest.Folders:
     """The sensor feed delivered so often, each time through both gates and into a stream with state, which restarts in between."""
     base = session.fresh_folder(shop.spark, "readings")
@@ -222,6 +240,9 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     "gold_predictive_maintenance": lambda s: s.maintenance,
     "gold_capacity_planning": lambda s: s.capacity,
     "gold_farmout_analysis": lambda s: s.farmout,
+    "gold_incremental_maintenance": _incremental("sensor_data", "sensor_id", "gold_predictive_maintenance"),
+    "gold_incremental_scheduling": _incremental("work_orders", "work_order_id", "gold_scheduling_performance"),
+    "gold_incremental_farmout": _incremental("work_orders", "work_order_id", "gold_farmout_analysis"),
     # analytics
     "q1_1_top_machines": lambda s: analytics.top_machines(s.utilization),
     "q1_2_utilization_trend": lambda s: analytics.utilization_trend(s.utilization),

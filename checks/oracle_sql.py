@@ -321,6 +321,9 @@ def _selects(as_of: str) -> dict[str, str]:
         "reassigned_orders_stored": f"""SELECT * EXCLUDE (from_machine_id, to_machine_id) REPLACE (
                 CASE WHEN {OPEN} AND order_qty % 2 = 0 AND to_machine_id IS NOT NULL THEN to_machine_id ELSE machine_id END AS machine_id)
             FROM work_orders LEFT JOIN moves ON from_machine_id = machine_id""",
+        "gold_incremental_maintenance": "SELECT * FROM maintenance",
+        "gold_incremental_scheduling": "SELECT * FROM scheduling",
+        "gold_incremental_farmout": "SELECT * FROM farmout",
         # streams with state
         "stream_daily_health": """SELECT * FROM maintenance
             WHERE reading_date + INTERVAL 1 DAY <= (SELECT max(reading_timestamp) - INTERVAL 2 DAY FROM sensor_data)""",

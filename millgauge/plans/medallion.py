@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millgauge.operators import gold
+from millgauge.operators import gold, partials
 from millgauge.operators import moves as move_log
 from millgauge.operators.layout import CLUSTER_KEYS, current_version, write_clustered, write_version
 from millgauge.plans.shop import MOVE_LOG, StagedShop, StoredShop
@@ -42,6 +42,18 @@ def refresh_gold(spark: SparkSession, root: str) -> StoredShop:
     return StoredShop(spark, root)
 
 
+def refresh_incremental(spark: SparkSession, root: str, tables: tuple[str, ...] = tuple(partials.ROLLUPS)) -> None:
+    """Bring the rollups that are kept by period up to date with the batches that have arrived."""
+    for name in tables:
+        partials.refresh(spark, root, name)
+
+
+def incremental(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A rollup that is kept by period, as its gold table."""
+    rows = partials.read(spark, root, table)
+    return gold.with_maintenance(rows, StoredShop(spark, root).machines) if table == "gold_predictive_maintenance" else rows
+
+
 def reassign(spark: SparkSession, root: str, moves: DataFrame) -> StoredShop:
     """Log the valid moves for the orders that have arrived so far; returns the shop that reads them so."""
     shop = StoredShop(spark, root)
