@@ -20,7 +20,7 @@ from millgauge.functions.numeric import tally
 from millgauge.operators import dispatch, quality
 from millgauge.operators.quality import DROP, RULES, WARN
 from millgauge.operators.silver import TYPERS
-from millgauge.plans import analytics, dashboard, floor, medallion, metrics
+from millgauge.plans import analytics, dashboard, floor, medallion, metrics, rollups
 from millgauge.plans.metrics import metric, where
 from millgauge.plans.shop import StagedShop, StoredShop
 from millgauge.sources import documentation, staging
@@ -98,6 +98,16 @@ def _reassigned(shop: StagedShop) -> DataFrame:
     return StoredShop(shop.spark, folders.root).work_orders.drop("_ingested_at", "_source_file")
 
 
+def _stored_gold(shop: StagedShop) -> DataFrame:
+    """The utilization table, written by a refresh of all gold tables and read back in its current version."""
+    base = session.fresh_folder(shop.spark, "gold")
+    folders = ingest.Folders(landing=f"{base}/landing", root=f"{base}/tables")
+    for feed in FEEDS:
+        write_landing(shop.feed(feed), feed, folders.feed(feed))
+    ingest.refresh(shop.spark, folders)
+    return medallion.refresh_gold(shop.spark, folders.root).utilization
+
+
 def _in_thirds(shop: StagedShop, feed: str, number: str, *tables: str) -> tuple[SparkSession, str]:
     """A feed delivered in three parts, the rollups brought up to date after each."""
     base = session.fresh_folder(shop.spark, "thirds")
@@ -240,6 +250,7 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     "gold_predictive_maintenance": lambda s: s.maintenance,
     "gold_capacity_planning": lambda s: s.capacity,
     "gold_farmout_analysis": lambda s: s.farmout,
+    "gold_stored_utilization": _stored_gold,
     "gold_incremental_maintenance": _incremental("sensor_data", "sensor_id", "gold_predictive_maintenance"),
     "gold_incremental_scheduling": _incremental("work_orders", "work_order_id", "gold_scheduling_performance"),
     "gold_incremental_farmout": _incremental("work_orders", "work_order_id", "gold_farmout_analysis"),
@@ -278,6 +289,10 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     "demand_vs_capacity_latest": lambda s: dashboard.demand_vs_capacity_latest(s.capacity),
     "load_status_distribution": lambda s: dashboard.load_status_distribution(s.capacity),
     "farmout_kpis": lambda s: dashboard.farmout_kpis(s.farmout),
+    # true periods and routings
+    "kpi_rollup": lambda s: rollups.kpi_rollup(s.bare_orders),
+    "utilization_rollup": lambda s: rollups.utilization_rollup(s.utilization),
+    "routing_hours_variance": lambda s: rollups.routing_hours_variance(s.bare_orders, s.routings),
     # shop-floor application
     "machine_status_counts": lambda s: floor.machine_status_counts(s.machines),
     "performance_kpis": lambda s: floor.performance_kpis(s.bare_orders, s.utilization, s.farmout, s.maintenance),

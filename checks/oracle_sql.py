@@ -321,9 +321,42 @@ def _selects(as_of: str) -> dict[str, str]:
         "reassigned_orders_stored": f"""SELECT * EXCLUDE (from_machine_id, to_machine_id) REPLACE (
                 CASE WHEN {OPEN} AND order_qty % 2 = 0 AND to_machine_id IS NOT NULL THEN to_machine_id ELSE machine_id END AS machine_id)
             FROM work_orders LEFT JOIN moves ON from_machine_id = machine_id""",
+        "gold_stored_utilization": "SELECT * FROM utilization",
         "gold_incremental_maintenance": "SELECT * FROM maintenance",
         "gold_incremental_scheduling": "SELECT * FROM scheduling",
         "gold_incremental_farmout": "SELECT * FROM farmout",
+        # true periods and routings
+        "kpi_rollup": f"""SELECT CAST(grouping(y, m, work_center) AS INTEGER) AS grouping_id, CAST(y AS INTEGER) AS period_year,
+                m AS period_month, work_center, CAST(count(*) AS BIGINT) AS total_orders,
+                CAST(count_if(status = 'Complete') AS BIGINT) AS completed,
+                {rnd('sum(coalesce(standard_total_hrs, 0))', 2)} AS standard_hrs,
+                {rnd("sum(CASE WHEN status = 'Complete' THEN actual_total_hrs ELSE 0 END)", 2)} AS completed_hrs,
+                {rnd("count_if(status = 'Complete' AND NOT is_late) * 100.0 / nullif(count_if(status = 'Complete'), 0)", 1)} AS on_time_delivery_pct,
+                {rnd('count_if(is_farm_out) * 100.0 / count(*)', 1)} AS farm_out_pct
+            FROM (SELECT *, year(due_date) AS y, CAST(date_trunc('month', due_date) AS TIMESTAMP) AS m FROM work_orders WHERE due_date IS NOT NULL)
+            GROUP BY ROLLUP (y, m, work_center)""",
+        "utilization_rollup": f"""SELECT CAST(grouping(machine_id, period_year, period_month) AS INTEGER) AS grouping_id,
+                machine_id, period_year, period_month, CAST(sum(work_order_count) AS BIGINT) AS work_order_count,
+                {rnd('sum(scheduled_hrs)', 2)} AS scheduled_hrs, {rnd('sum(revenue_usd)', 2)} AS revenue_usd,
+                {rnd('sum(scheduled_hrs) / nullif(sum(capacity_hrs_per_day), 0) * 100', 1)} AS utilization_pct
+            FROM utilization GROUP BY ROLLUP (machine_id, period_year, period_month)""",
+        "routing_hours_variance": f"""SELECT * FROM (WITH steps AS (
+                SELECT *, row_number() OVER (PARTITION BY part_number ORDER BY operation_sequence, routing_id) AS place,
+                       row_number() OVER (PARTITION BY part_number, operation_code ORDER BY operation_sequence, routing_id) AS place_of_code
+                FROM routings WHERE part_number IS NOT NULL
+            ), routed AS (
+                SELECT w.work_center, w.standard_total_hrs, w.order_qty,
+                       CASE WHEN e.routing_id IS NOT NULL THEN 'operation' WHEN p.routing_id IS NOT NULL THEN 'part' ELSE 'none' END AS routing_match,
+                       coalesce(e.setup_time_hrs, p.setup_time_hrs)
+                           + coalesce(e.run_time_hrs_per_unit, p.run_time_hrs_per_unit) * w.order_qty AS hrs
+                FROM work_orders w
+                LEFT JOIN steps e ON e.part_number = w.part_number AND e.operation_code = w.operation_code AND e.place_of_code = 1
+                LEFT JOIN steps p ON p.part_number = w.part_number AND p.place = 1
+            )
+            SELECT work_center, routing_match, count(*) AS orders, {rnd('sum(standard_total_hrs)', 2)} AS standard_hrs,
+                {rnd('sum(hrs)', 2)} AS routing_hrs,
+                {rnd('(sum(standard_total_hrs) - sum(hrs)) / nullif(sum(hrs), 0) * 100', 1)} AS variance_pct
+            FROM routed GROUP BY work_center, routing_match)""",
         # streams with state
         "stream_daily_health": """SELECT * FROM maintenance
             WHERE reading_date + INTERVAL 1 DAY <= (SELECT max(reading_timestamp) - INTERVAL 2 DAY FROM sensor_data)""",
