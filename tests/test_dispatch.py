@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from millgauge.operators import dispatch
 from millgauge.plans import floor
@@ -84,17 +85,26 @@ def test_doubled_and_invalid_moves_change_nothing_twice(spark, fleet, orders):
         dispatch.reassign_work_orders(orders, two, fleet).collect()
 
 
-def test_orders_that_cannot_move_are_not_shuffled(spark, orders):
+def test_orders_are_read_once_and_no_key_is_hot(spark, orders, tmp_path):
+    path = str(tmp_path / "orders")
+    orders.write.parquet(path)
+    stored = spark.read.parquet(path)
     moves = spark.createDataFrame([("MCH-001", "MCH-003")], "from_machine_id string, to_machine_id string")
+
+    def plan():
+        return dispatch.reassign_work_orders(stored, moves)._jdf.queryExecution().executedPlan().toString()
+
+    assert plan().count("FileScan parquet") == 1
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        text = dispatch.reassign_work_orders(orders, moves)._jdf.queryExecution().executedPlan().toString()
+        assert plan().count("FileScan parquet") == 1
+        # Rows that cannot move, here most of the table, are dealt evenly whatever join is chosen.
+        many = spark.range(4000).selectExpr("concat('WO-', id) AS work_order_id", "'Open' AS status", "cast(null AS string) AS machine_id")
+        spread = dispatch.reassign_work_orders(many, moves).groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    union = text[text.index("Union") :]
-    first = union[: union.index("SortMergeJoin")]
-    assert "Exchange" not in first
+    assert sum(r["count"] for r in spread) == 4000 and max(r["count"] for r in spread) < 2000
 
 
 def test_valid_moves(spark, fleet):
