@@ -43,9 +43,9 @@ from pyspark.sql import types as T
 from millgauge.llm.common import let
 
 MARK = "▁"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 # Bytes of text per bucket of distinct units: a bucket's edges fit in a task's memory.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 MAX_PIECES = 500_000
 UNKNOWN_PENALTY = 10.0
 FOLD_BLOCK = 256
