@@ -25,7 +25,7 @@ from millgauge.plans.metrics import metric, where
 from millgauge.plans.shop import StagedShop, StoredShop
 from millgauge.sources import documentation, staging
 from millgauge.sources.landing import read_landing, write_landing
-from millgauge.sources.schemas import FEEDS
+from millgauge.sources.schemas import FEED_COLUMNS, FEEDS
 from millgauge.streaming import ingest, state
 
 # Present unless the subpackage of training-data operators has been taken out.
@@ -162,6 +162,21 @@ def _landed(shop: StagedShop, feed: str) -> DataFrame:
     return _typed_feed(feed, read_landing(shop.spark, feed, folder))
 
 
+def _mapped_by_header(shop: StagedShop) -> DataFrame:
+    """Routings in two layouts: the feed's own, and turned round with one column less and one more, which is rescued."""
+    base = session.fresh_folder(shop.spark, "headers")
+    folders = ingest.Folders(landing=f"{base}/landing", root=f"{base}/tables")
+    routings, own = shop.feed("routings"), F.col("operation_sequence") % 20 == 0
+    turned = [name for name in reversed(FEED_COLUMNS["routings"]) if name != "scrap_rate_pct"]
+    other = routings.where(~own).withColumn("plant", F.col("work_center"))
+    write_landing(routings.where(own), "routings", folders.feed("routings"))
+    write_landing(other, "routings", folders.feed("routings"), mode="append", columns=["plant", *turned])
+    ingest.refresh_bronze(shop.spark, "routings", folders)
+    bronze = shop.spark.read.parquet(folders.table("bronze_routings"))
+    plant = bronze.select("routing_id", F.col("_rescued_data")["plant"].alias("rescued_plant"))
+    return _typed_feed("routings", bronze).join(plant, "routing_id")
+
+
 def _gate_feed(shop: StagedShop, feed: str, priority: bool = False) -> DataFrame:
     """A feed with the columns its rules read. No rule reads the part description."""
     if feed == "work_orders":
@@ -232,6 +247,7 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     "stream_unique_readings": _unique_readings,
     "stream_dropped_readings": _dropped_readings,
     "write_landing": lambda s: _landed(s, "routings"),
+    "ingest_by_header": _mapped_by_header,
     "describe_columns": _dictionary,
     # quality
     "dq_warn_report": lambda s: _event_log(s, WARN),

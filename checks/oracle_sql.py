@@ -104,6 +104,10 @@ def _selects(as_of: str) -> dict[str, str]:
         "ingest_work_orders": f"SELECT {_SILVER_COLUMNS['work_orders']} FROM typed_work_orders",
         "ingest_sensor_data": f"SELECT {_SILVER_COLUMNS['sensor_data']} FROM typed_sensor_data",
         "write_landing": f"SELECT {_SILVER_COLUMNS['routings']} FROM feed_routings",
+        "ingest_by_header": f"""
+            SELECT * REPLACE (CASE WHEN operation_sequence % 20 = 0 THEN scrap_rate_pct END AS scrap_rate_pct),
+                   CASE WHEN operation_sequence % 20 <> 0 THEN work_center END AS rescued_plant
+            FROM (SELECT {_SILVER_COLUMNS['routings']} FROM feed_routings)""",
         "describe_columns": " UNION ALL ".join(_dictionary(t) for t in _SILVER_COLUMNS),
         # quality
         **{f"ingest_silver_{feed}": f"SELECT {columns} FROM {feed}" for feed, columns in _SILVER_COLUMNS.items()},

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Clustering columns per table.
 CLUSTER_KEYS: dict[str, tuple[str, ...]] = {
@@ -35,7 +36,8 @@ def clustered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     key then spread over as many partitions as they fill, in key order. A hash
     rather than a random number, so that a re-run task places rows as before.
     """
-    rest = [name for name in df.columns if name not in keys]
+    # Maps cannot be hashed.
+    rest = [field.name for field in df.schema if field.name not in keys and not isinstance(field.dataType, T.MapType)]
     spread = [F.xxhash64(*rest)] if rest else []
     return df.repartitionByRange(*keys, *spread).sortWithinPartitions(*keys)
 

@@ -38,11 +38,15 @@ FEED_COLUMNS: dict[str, tuple[str, ...]] = {
 
 FEEDS = tuple(FEED_COLUMNS)
 
+# What a file brought beyond the feed's columns, by name.
+RESCUED = "_rescued_data"
+
 # Only the machine master keeps the time its file was written: it is re-delivered
 # whole, and the newest delivery of a machine wins.
 _INGEST_FIELDS = [
     T.StructField("_ingested_at", T.TimestampType()),
     T.StructField("_source_file", T.StringType()),
+    T.StructField(RESCUED, T.MapType(T.StringType(), T.StringType())),
 ]
 _FILE_TIME_FIELD = T.StructField("_file_ts", T.TimestampType())
 

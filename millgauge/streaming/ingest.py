@@ -13,6 +13,7 @@ is still to be replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 
 from millgauge.operators.quality import RULES, event_rows, gate
 from millgauge.operators.silver import TYPERS
-from millgauge.sources.landing import MAX_FILE_AGE, stream_landing
+from millgauge.sources.landing import MAX_FILE_AGE, read_files, stream_landing
 from millgauge.sources.schemas import FEEDS, bronze_schema
 
 LOG_SCHEMA = "table_name string, rule string, action string, passed bigint, failed bigint"
@@ -51,8 +52,8 @@ class Folders:
 
 
 def bronze_stream(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> DataFrame:
-    """New rows of the landing folder."""
-    return stream_landing(spark, feed, folders.feed(feed), files_per_batch)
+    """New files of the landing folder, by path."""
+    return stream_landing(spark, folders.feed(feed), files_per_batch)
 
 
 def silver_stream(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> DataFrame:
@@ -88,11 +89,13 @@ def write_batch(rows: DataFrame, batch: int, table: str, folders: Folders) -> No
     log_batch(spark, folders, table, batch, counts.get)
 
 
-def append(rows: DataFrame, table: str, folders: Folders) -> None:
-    """Append everything that is available now to the table."""
+def append(
+    arriving: DataFrame, table: str, folders: Folders, rows_of: Callable[[DataFrame], DataFrame] = lambda batch: batch
+) -> None:
+    """Append everything that is available now to the table; ``rows_of`` gives the rows of a batch of what arrives."""
     query = (
-        rows.writeStream.queryName(table)
-        .foreachBatch(lambda batch, number: write_batch(batch, number, table, folders))
+        arriving.writeStream.queryName(table)
+        .foreachBatch(lambda batch, number: write_batch(rows_of(batch), number, table, folders))
         .option("checkpointLocation", folders.checkpoint(table))
         .trigger(availableNow=True)
         .start()
@@ -101,7 +104,10 @@ def append(rows: DataFrame, table: str, folders: Folders) -> None:
 
 
 def refresh_bronze(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> None:
-    append(bronze_stream(spark, feed, folders, files_per_batch), f"bronze_{feed}", folders)
+    def rows_of(files: DataFrame) -> DataFrame:
+        return read_files(files.sparkSession, feed, [row.path for row in files.sort("path").toLocalIterator()])
+
+    append(bronze_stream(spark, feed, folders, files_per_batch), f"bronze_{feed}", folders, rows_of)
 
 
 def refresh_silver(spark: SparkSession, feed: str, folders: Folders, files_per_batch: int | None = None) -> None:
