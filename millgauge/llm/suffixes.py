@@ -4,24 +4,29 @@ Only suffixes at content-selected places are kept: the least hash of ``GRAM_WORD
 grams in every ``WINDOW`` consecutive ones (a minimiser). Wherever a passage of
 ``MIN_WORDS`` words stands, its first ``WINDOW`` grams select the same place, so two
 occurrences share an anchor with at least ``CONTEXT`` = MIN_WORDS - WINDOW + 1 words of
-the passage after it. Suffixes with the same hash of those words form a group, and
-their documents are compared on the texts: a match is extended word by word to the left
-and right. What a hash brings together by chance fails that comparison. The matches of
-a document are united, and runs of at least ``MIN_WORDS`` words are its repeated passages.
+the passage after it. The suffixes are sorted over the cluster by (``context``, a hash of
+those words; ``wide``, one of the WINDOW - 1 words before and MIN_WORDS words after the
+anchor; document), so suffixes that may belong to one passage lie side by side. Each run of equal
+context is read off the sorted rows, neighbours are compared, and the documents of
+neighbours are compared on the texts: a match is extended word by word to the left and
+right. What a hash brings together by chance fails that comparison. The matches of a
+document are united, and runs of at least ``MIN_WORDS`` words are its repeated passages.
 
 A passage holds its anchor among its first ``WINDOW`` words, so it is one of WINDOW
 stretches of MIN_WORDS words around the anchor. Partners of a suffix are found exactly:
 
-* Where another document has the same WINDOW - 1 words before and MIN_WORDS words after
-  the anchor (one hash, ``wide``), it shares all of those stretches and is the partner.
-* In a group of two suffixes, the other one is.
+* A neighbour from another document with the same ``wide`` shares all of those stretches
+  and is the partner.
+* In a run of two suffixes, the other one is.
 * Everywhere else the stretches themselves are hashed, and each is met with one other
   document that has it. Suffixes with a partner of the first kind are there for the
   others' sake and are represented by two of them, from two documents.
 
-Groups are only aggregated to their smallest and largest member and joined to it, never
-gathered or paired, so the work is linear in the suffixes, whatever repeats. All
-comparisons of two documents are one row, and texts move compressed. Every reported word
+Sorted rows are read in batches that know nothing of each other, so no run is ever held
+whole, however long. A run that touches an end of its batch may go on in another one:
+it never counts as a run of two, and all that it holds are represented in the last kind.
+
+Every comparison of two documents is one row, and texts move compressed. Every reported word
 lies in a match of MIN_WORDS words or more that was verified on the texts, and every word
 of such a match is reported (but for equal 64-bit hashes of different words).
 
@@ -39,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,20 +116,62 @@ def suffixes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return stored(keyed.mapInArrow(select, "doc long, place int, context long, wide long"), "suffixes")
 
 
-def _elsewhere() -> Column:
-    """The first or last member of a group that is in another document."""
-    return F.when(F.col("low")["doc"] != F.col("doc"), F.col("low")).when(F.col("high")["doc"] != F.col("doc"), F.col("high"))
-
+NEIGHBOURS = "doc long, place int, other long, other_place int, open boolean"
 
-def _ends(place: str) -> list:
-    here = F.struct("doc", F.col(place).alias("place"))
-    return [F.min(here).alias("low"), F.max(here).alias("high")]
 
+def compared(doc: np.ndarray, context: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: the row that each one's partner is in (-1: none), and whether its stretches have to be met.
 
-def _met(found: DataFrame, place: str) -> DataFrame:
-    """(doc, place, other, other_place) of rows with the ends of their group, where another document is in it."""
-    met = found.withColumn("met", _elsewhere()).where(F.col("met").isNotNull())
-    return met.select("doc", F.col(place).alias("place"), F.col("met")["doc"].alias("other"), F.col("met")["place"].alias("other_place"))
+    Runs that touch either end may go on elsewhere.
+    """
+    rows = np.arange(len(doc))
+    new_run = np.r_[True, context[1:] != context[:-1]]
+    new_class = new_run | np.r_[True, wide[1:] != wide[:-1]]
+    starts, first = np.flatnonzero(new_run), np.flatnonzero(new_class)
+    run, same = np.cumsum(new_run) - 1, np.cumsum(new_class) - 1
+    # The first and last row of each one's class; they are its least and greatest documents.
+    low, high = first[same], np.r_[first[1:], len(doc)][same] - 1
+    settled = (wide != 0) & (doc[low] != doc[high])
+    ends = np.r_[starts[1:], len(doc)] - 1
+    cut = (starts == 0) | (ends == len(doc) - 1)
+    two = (ends - starts == 1) & ~cut
+    shared = cut | (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
+    done = two | (np.logical_and.reduceat(settled, starts) & ~cut)
+
+    partner = np.where(settled, np.where(doc[low] != doc, low, high), -1)
+    pair = two[run] & shared[run] & ~settled
+    partner[pair] = (starts[run] + ends[run] - rows)[pair]
+    return partner, (shared & ~done)[run] & (~settled | (rows == low) | (rows == high))
+
+
+def sorted_neighbours(kept: DataFrame) -> DataFrame:
+    """(doc, place, other, other_place, open): suffixes with a partner, and those whose stretches have to be met."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, place, context, wide = (batch[name].to_numpy() for name in ("doc", "place", "context", "wide"))
+            partner, unmet = compared(doc, context, wide)
+            chosen = np.flatnonzero((partner >= 0) | unmet)
+            other, without = partner[chosen], partner[chosen] < 0
+            yield pa.record_batch(
+                [doc[chosen], place[chosen], pa.array(doc[other], mask=without), pa.array(place[other], mask=without), unmet[chosen]],
+                ["doc", "place", "other", "other_place", "open"],
+            )
+
+    order = ["context", "wide", "doc"]
+    rows = kept.repartitionByRange(*order).sortWithinPartitions(*order, "place")
+    return stored(rows.mapInArrow(compare, NEIGHBOURS), "sorted-neighbours")
+
+
+def _met(stretched: DataFrame) -> DataFrame:
+    """(doc, place, other, other_place) of stretches that another document has too."""
+    here = F.struct("doc", F.col("start").alias("place"))
+    ends = stretched.groupBy("stretch").agg(F.min(here).alias("low"), F.max(here).alias("high"))
+    found = stretched.join(ends.where(F.col("low")["doc"] != F.col("high")["doc"]), "stretch")
+    other = F.when(F.col("low")["doc"] != F.col("doc"), F.col("low")).otherwise(F.col("high"))
+    return found.select("doc", F.col("start").alias("place"), other["doc"].alias("other"), other["place"].alias("other_place"))
 
 
 def _refined(docs: DataFrame, hot: DataFrame, doc: str, text: str) -> DataFrame:
@@ -146,24 +193,9 @@ def _refined(docs: DataFrame, hot: DataFrame, doc: str, text: str) -> DataFrame:
 
 def neighbours(kept: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, other, at): the places (shift, place) of a document to compare with ``other``, ``shift`` words further on."""
-    classes = kept.groupBy("context", "wide").agg(*_ends("place"), F.count(F.lit(1)).alias("n"))
-    classes = stored(classes.withColumn("settled", (F.col("wide") != 0) & (F.col("low")["doc"] != F.col("high")["doc"])), "suffix-classes")
-    groups = classes.groupBy("context").agg(
-        F.min("low").alias("group_low"), F.max("high").alias("group_high"), F.sum("n").alias("members"), F.bool_and("settled").alias("all_settled")
-    )
-    shared = groups.where(F.col("group_low")["doc"] != F.col("group_high")["doc"])
-    lined = stored(kept.join(classes.join(shared, "context").drop("n"), ["context", "wide"]), "shared-suffixes")
-
-    here = F.struct("doc", "place")
-    two = F.col("members") == 2
-    alone = _met(lined.where(~F.col("settled") & two).withColumns({"low": F.col("group_low"), "high": F.col("group_high")}), "place")
-    represents = (here == F.col("low")) | (here == F.col("high"))
-    hot = lined.where(~two & ~F.col("all_settled") & (~F.col("settled") | represents)).select("doc", "place")
-    cut = _refined(docs, hot, doc, text)
-    ends = cut.groupBy("stretch").agg(*_ends("start")).where(F.col("low")["doc"] != F.col("high")["doc"])
-    exact = _met(cut.join(ends, "stretch"), "start")
-
-    pairs = _met(lined.where("settled"), "place").unionByName(alone).unionByName(exact)
+    lined = sorted_neighbours(kept)
+    exact = _met(_refined(docs, lined.where("open"), doc, text))
+    pairs = lined.where(F.col("other").isNotNull()).select("doc", "place", "other", "other_place").unionByName(exact)
     at = F.struct((F.col("other_place") - F.col("place")).alias("shift"), "place")
     return pairs.groupBy("doc", "other").agg(F.array_sort(F.collect_set(at)).alias("at"))
 

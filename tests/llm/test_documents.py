@@ -493,7 +493,17 @@ def test_repeated_passages(docs, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
-def test_passages_around_a_common_line(spark):
+def test_neighbours_of_sorted_suffixes():
+    # Runs of equal context: cut at the start; a class of three and a lone one; two of them; one document twice; cut at the end.
+    rows = [(1, 5, 5), (1, 6, 6), (7, 1, 2), (7, 1, 2), (7, 2, 2), (7, 3, 9), (8, 1, 0), (8, 2, 0), (9, 4, 1), (9, 4, 3), (10, 1, 4)]
+    context, doc, wide = (np.array(column, np.int64) for column in zip(*rows))
+    partner, unmet = suffixes.compared(doc, context, wide)
+    assert partner.tolist() == [-1, -1, 4, 4, 2, -1, 7, 6, -1, -1, -1]
+    assert np.flatnonzero(unmet).tolist() == [0, 1, 2, 4, 5, 10]
+
+
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_passages_around_a_common_line(spark, batch):
     """Lines of 40 words in many documents; pairs share 10 words more, before, after or around."""
     rows = []
     for line in range(12):
@@ -508,7 +518,13 @@ def test_passages_around_a_common_line(spark):
     # A long text with the line in each of its copies, and one of them changed near the line.
     rows += [(5000 + k, " ".join(f"c{i}" if i != 100 + k else "changed" for i in range(200)) + (" " + licence) * 2) for k in range(6)]
     got = collections.defaultdict(set)
-    for r in suffixes.repeated_passages(documents(spark, rows)).collect():
+    # Batches of three rows cut every longer run of the sorted suffixes.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = suffixes.repeated_passages(documents(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r in found:
         got[r.doc_id] |= set(range(r.start, r.end))
     where = collections.defaultdict(set)
     for d, t in rows:
