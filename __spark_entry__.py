@@ -28,14 +28,20 @@ from millgauge.sources.landing import read_landing, write_landing
 from millgauge.sources.schemas import FEED_COLUMNS, FEEDS
 from millgauge.streaming import ingest, state
 
-# Present unless the subpackage of training-data operators has been taken out.
+# Present unless the subpackage of training-data operators has been taken out. Only its own
+# absence passes; a package that it needs and that is missing is an error.
+_TAKEN_OUT = ("millgauge.llm", "millgauge.llm.queries", "corpus_pipeline")
 try:
     from millgauge.llm import queries as llm
-except ImportError:
+except ImportError as error:
+    if error.name not in _TAKEN_OUT:
+        raise
     llm = None
 try:
     import corpus_pipeline
-except ImportError:
+except ImportError as error:
+    if error.name not in _TAKEN_OUT:
+        raise
     corpus_pipeline = None
 
 # The day that date-relative questions are asked on.

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from checks.rules_sql import RULES
 from checks.tables_sql import DONE, ON_TIME, OPEN, rnd, with_tables
-from millgauge.operators.quality import RULES
 from millgauge.sources.schemas import FEED_COLUMNS
 
 PRIORITY = "CASE priority WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END"
@@ -20,7 +20,7 @@ _SILVER_COLUMNS = {
     "sensor_data": _columns("sensor_data", "health_score", "reading_year", "reading_month", "reading_week"),
 }
 
-# The predicates of the gate in plain DuckDB form, per table in front of the gate.
+# What each table is in front of the gate.
 _GATED = {
     "bronze_machines": "feed_machines",
     "bronze_routings": "feed_routings",
@@ -33,21 +33,14 @@ _GATED = {
 }
 
 
-def _predicate(text: str) -> str:
-    if " RLIKE " in text:
-        column, pattern = text.split(" RLIKE ")
-        return f"regexp_matches({column}, {pattern})"
-    return text
-
-
 def _events(table: str, *actions: str) -> list[str]:
-    chosen = [rule for rule in RULES[table] if not actions or rule.action in actions]
     return [
-        f"""SELECT '{table}' AS table_name, '{rule.name}' AS rule, '{rule.action}' AS action,
-            count(*) FILTER (WHERE coalesce({_predicate(rule.predicate)}, false)) AS passed,
-            count(*) FILTER (WHERE NOT coalesce({_predicate(rule.predicate)}, false)) AS failed
+        f"""SELECT '{table}' AS table_name, '{name}' AS rule, '{action}' AS action,
+            count(*) FILTER (WHERE coalesce({holds}, false)) AS passed,
+            count(*) FILTER (WHERE NOT coalesce({holds}, false)) AS failed
             FROM {_GATED[table]}"""
-        for rule in chosen
+        for name, action, holds in RULES[table]
+        if not actions or action in actions
     ]
 
 
@@ -56,7 +49,7 @@ def _event_log(*actions: str) -> str:
 
 
 def _kept(table: str) -> str:
-    drops = [_predicate(rule.predicate) for rule in RULES[f"silver_{table}"] if rule.action == "DROP"]
+    drops = [holds for _, action, holds in RULES[f"silver_{table}"] if action == "DROP"]
     keep = " AND ".join(f"coalesce({p}, false)" for p in drops)
     return f"""SELECT 'silver_{table}' AS table_name, count(*) AS rows_in,
                count(*) FILTER (WHERE {keep}) AS rows_kept,

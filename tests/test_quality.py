@@ -136,3 +136,10 @@ def test_daily_capacity(spark):
     feed = text_feed(spark, "machines", dict(machine_id="MCH-001", num_shifts="2", capacity_hrs_per_shift="8.0", last_pm_date="2024-01-05"))
     row = type_machines(feed).first()
     assert row.capacity_hrs_per_day == 16.0 and str(row.last_pm_date) == "2024-01-05"
+
+
+def test_statements_have_the_same_rules_in_their_own_words():
+    from checks.rules_sql import RULES as stated
+
+    engine = {table: [(rule.name, rule.action) for rule in rules] for table, rules in RULES.items()}
+    assert engine == {table: [rule[:2] for rule in rules] for table, rules in stated.items()}
