@@ -233,6 +233,11 @@ def _dictionary(shop: StagedShop) -> DataFrame:
     return _union([documentation.dictionary(getattr(shop, feed), f"silver_{feed}") for feed in FEEDS])
 
 
+def _gold_dictionary(shop: StagedShop) -> DataFrame:
+    gold = [(name, attribute) for name, attribute in medallion.TABLES.items() if name.startswith("gold_")]
+    return _union([documentation.dictionary(getattr(shop, attribute), name) for name, attribute in gold])
+
+
 def _failed(shop: StagedShop) -> DataFrame:
     return dispatch.reported_machines(shop.incidents)
 
@@ -255,6 +260,7 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     "write_landing": lambda s: _landed(s, "routings"),
     "ingest_by_header": _mapped_by_header,
     "describe_columns": _dictionary,
+    "describe_gold_columns": _gold_dictionary,
     # quality
     "dq_warn_report": lambda s: _event_log(s, WARN),
     "dq_drop_rows": _drop_counts,

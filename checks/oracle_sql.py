@@ -60,10 +60,25 @@ def _fail_check(table: str) -> str:
     return f"SELECT 'silver_{table}' AS table_name, count(*) AS rows_passed FROM {_GATED[f'silver_{table}']}"
 
 
-def _dictionary(table: str) -> str:
-    columns = [c.strip() for c in _SILVER_COLUMNS[table].split(",")]
+# Per relation of tables_sql: the gold table's name and columns.
+_GOLD_COLUMNS = {
+    "utilization": ("gold_machine_utilization", """machine_id capacity_hrs_per_day hourly_rate_usd period_day period_week period_month
+        period_year scheduled_hrs actual_hrs work_order_count utilization_pct efficiency_pct revenue_usd"""),
+    "scheduling": ("gold_scheduling_performance", """period_week period_month period_year work_center priority total_orders farm_out_count
+        late_count completed_count total_farm_out_cost avg_actual_hrs total_standard_hrs on_time_delivery_pct"""),
+    "maintenance": ("gold_predictive_maintenance", """machine_id machine_name machine_type work_center reading_year reading_month
+        reading_week reading_date sensor_readings avg_temp_c max_temp_c avg_vibration max_vibration avg_spindle_rpm avg_power_kw
+        avg_coolant_lpm max_tool_wear_pct avg_health_score min_health_score anomaly_count maintenance_urgency days_since_last_pm"""),
+    "capacity": ("gold_capacity_planning", """work_center period_month period_year demand_hrs available_hrs farm_out_hrs
+        farm_out_cost_usd machine_count machines_used capacity_utilization_pct farm_out_rate_pct load_status"""),
+    "farmout": ("gold_farmout_analysis", """farm_out_vendor part_number part_description period_month period_year farm_out_orders
+        total_qty_farmed total_farm_out_cost avg_cost_per_order equivalent_internal_hrs implied_internal_cost cost_premium_pct"""),
+}
+
+
+def _dictionary(table: str, name: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
-        f"""SELECT 'silver_{table}' AS table_name, '{c}' AS column_name, true AS documented,
+        f"""SELECT '{name}' AS table_name, '{c}' AS column_name, true AS documented,
             count({c}) AS filled_rows FROM {table}"""
         for c in columns
     )
@@ -101,7 +116,8 @@ def _selects(as_of: str) -> dict[str, str]:
             SELECT * REPLACE (CASE WHEN operation_sequence % 20 = 0 THEN scrap_rate_pct END AS scrap_rate_pct),
                    CASE WHEN operation_sequence % 20 <> 0 THEN work_center END AS rescued_plant
             FROM (SELECT {_SILVER_COLUMNS['routings']} FROM feed_routings)""",
-        "describe_columns": " UNION ALL ".join(_dictionary(t) for t in _SILVER_COLUMNS),
+        "describe_columns": " UNION ALL ".join(_dictionary(t, f"silver_{t}", c.split(", ")) for t, c in _SILVER_COLUMNS.items()),
+        "describe_gold_columns": " UNION ALL ".join(_dictionary(t, name, c.split()) for t, (name, c) in _GOLD_COLUMNS.items()),
         # quality
         **{f"ingest_silver_{feed}": f"SELECT {columns} FROM {feed}" for feed, columns in _SILVER_COLUMNS.items()},
         "quality_log": _event_log(),

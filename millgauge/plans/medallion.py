@@ -8,7 +8,7 @@ from millgauge.operators import gold, partials
 from millgauge.operators import moves as move_log
 from millgauge.operators.layout import CLUSTER_KEYS, current_version, write_clustered, write_version
 from millgauge.plans.shop import MOVE_LOG, StagedShop, StoredShop
-from millgauge.sources.documentation import comment_on, create_schema
+from millgauge.sources.documentation import COLUMN_COMMENTS, TABLE_COMMENTS, comment_on, create_schema, quoted
 
 # Table name to the shop's attribute of it.
 TABLES = {
@@ -94,3 +94,22 @@ def publish_gold(spark: SparkSession, root: str, schema: str) -> None:
         else:
             spark.catalog.createTable(table, path=path, source="parquet")
             comment_on(spark, table)
+
+
+def publish_silver(spark: SparkSession, root: str, schema: str) -> None:
+    """Catalog views, with comments, over the silver folders; batches that arrive later are in them.
+
+    Orders are shown on the machines they arrived with; reassignments are kept in the log of moves.
+    """
+    create_schema(spark, schema)
+    for name in TABLES:
+        if not name.startswith("silver_"):
+            continue
+        folder = f"parquet.`{root}/{name}`"
+        columns = [c for c in spark.table(folder).columns if c != "batch_id"]
+        described = ", ".join(f"`{c}` COMMENT {quoted(COLUMN_COMMENTS[c])}" if c in COLUMN_COMMENTS else f"`{c}`" for c in columns)
+        chosen = ", ".join(f"`{c}`" for c in columns)
+        spark.sql(
+            f"CREATE OR REPLACE VIEW {schema}.{name} ({described}) "
+            f"COMMENT {quoted(TABLE_COMMENTS[name])} AS SELECT {chosen} FROM {folder}"
+        )

@@ -163,12 +163,13 @@ def dictionary(df: DataFrame, table: str) -> DataFrame:
     return counts.select(F.inline(F.array(*entries)))
 
 
-def comment_on(spark: SparkSession, table: str, comments: Mapping[str, str] = COLUMN_COMMENTS) -> int:
-    """Put the descriptions on a catalog table; returns how many columns matched."""
+def quoted(text: str) -> str:
+    """The text as a literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def quoted(text: str) -> str:
-        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+def comment_on(spark: SparkSession, table: str, comments: Mapping[str, str] = COLUMN_COMMENTS) -> int:
+    """Put the descriptions on a catalog table; returns how many columns matched."""
     name = table.split(".")[-1].strip("`")
     if name in TABLE_COMMENTS:
         spark.sql(f"COMMENT ON TABLE {table} IS {quoted(TABLE_COMMENTS[name])}")

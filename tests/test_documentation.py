@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from millgauge import session
-from millgauge.plans import metrics
+from millgauge.plans import medallion, metrics
 from millgauge.plans.shop import StagedShop
 from millgauge.sources import documentation
 from millgauge.sources.documentation import COLUMN_COMMENTS, TABLE_COMMENTS, dictionary, documented, undocumented
@@ -45,6 +45,26 @@ def test_catalog_comments(spark):
         spark.sql("DROP SCHEMA shop_docs")
 
 
+def test_silver_views_carry_comments_and_later_batches(spark, tmp_path):
+    feeds = {"machines": "machine_id", "routings": "routing_id", "work_orders": "work_order_id", "sensor_data": "sensor_id"}
+    for feed, key in feeds.items():
+        spark.range(2).select(F.col("id").cast("string").alias(key), F.lit(1).alias("other")).write.parquet(f"{tmp_path}/silver_{feed}/batch_id=0")
+    try:
+        for _ in range(2):
+            medallion.publish_silver(spark, str(tmp_path), "shop_silver")
+        spark.range(5).select(F.col("id").cast("string").alias("sensor_id"), F.lit(2).alias("other")).write.parquet(
+            f"{tmp_path}/silver_sensor_data/batch_id=1"
+        )
+        for feed, key in feeds.items():
+            comments = {c.name: c.description for c in spark.catalog.listColumns(f"shop_silver.silver_{feed}")}
+            assert comments == {key: COLUMN_COMMENTS[key], "other": None}
+        spark.catalog.refreshByPath(str(tmp_path))
+        assert spark.table("shop_silver.silver_sensor_data").count() == 7
+        assert spark.table("shop_silver.silver_machines").count() == 2
+    finally:
+        spark.sql("DROP SCHEMA IF EXISTS shop_silver CASCADE")
+
+
 def test_shared_folder_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert session.shared_folder(spark) == configured
