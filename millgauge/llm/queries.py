@@ -17,7 +17,7 @@ SHARDS, OLD_SHARDS = 40, 32
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document, and whether decoding them gives the text back."""
     pieces = sentencepiece.read_pieces(tokenizer_path("piece_bpe_32k.model"))
-    encoded = sentencepiece.encode(table(spark, folder, "documents"), pieces)
+    encoded = sentencepiece.encode(table(spark, folder, "documents"), pieces, decode_too=True)
     return sentencepiece.digests(encoded, pieces)
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millgauge.llm.common import let
+from millgauge.llm.common import let, release
 
 MARK = "▁"
 CHUNK_BYTES = 8 << 20
@@ -227,8 +227,14 @@ def _unpack(data: bytes) -> list[bytes]:
     return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, ids, text_crc32) of every row; ``ids`` are packed little-endian 32-bit numbers."""
+def encode(
+    docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, decode_too: bool = False
+) -> DataFrame:
+    """(doc_id, ids, text_crc32) of every row; ``ids`` are packed little-endian 32-bit numbers.
+
+    With ``decode_too`` also decoded_crc32, of the text that the ids decode to. The worker
+    that writes the ids decodes them, so that a task needs no second one beside it.
+    """
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     chunks = 1 + total // chunk_bytes
     buckets = 1 + total // BUCKET_BYTES
@@ -253,6 +259,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
     def name_units(group: pa.Table) -> pa.Table:
         chunk = group["chunk"][0].as_py()
         found = _by_bucket(plain(group), buckets)
+        release()
         return pa.table(
             {"bucket": pa.array(list(found), pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int32()), "units": pa.array(map(" ".join, found.values()), pa.string())}
         )
@@ -271,6 +278,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
             for unit, starts, last in zip(answers["unit"].to_pylist(), answers["starts"].to_pylist(), answers["ids"].to_pylist())
         }
         packed = [_pack([ids[unit] for unit in row]) for row in (one.as_py().split(" ") for one in questions["units"])]
+        release()
         return pa.table({"chunk": questions["chunk"], "bucket": questions["bucket"], "packed": pa.array(packed, pa.binary())})
 
     answers = asked.groupBy("bucket").cogroup(solved.groupBy("of_bucket")).applyInArrow(answer, "chunk int, bucket int, packed binary")
@@ -280,15 +288,18 @@ def encode(docs: DataFrame, pieces: Pieces, doc: str = "doc_id", text: str = "te
         ids: dict[str, bytes] = {}
         for bucket, packed in zip(coded["bucket"].to_pylist(), coded["packed"]):
             ids.update(zip(named.pop(bucket), _unpack(packed.as_py())))
-        return pa.table(
-            {
-                "doc_id": group["doc_id"],
-                "ids": pa.array((b"".join(map(ids.__getitem__, units(one))) for one in plain(group)), pa.binary()),
-                "text_crc32": pa.array((zlib.crc32(one.encode()) for one in plain(group)), pa.int64()),
-            }
-        )
+        columns = {
+            "doc_id": group["doc_id"],
+            "ids": pa.array((b"".join(map(ids.__getitem__, units(one))) for one in plain(group)), pa.binary()),
+            "text_crc32": pa.array((zlib.crc32(one.encode()) for one in plain(group)), pa.int64()),
+        }
+        if decode_too:
+            columns["decoded_crc32"] = pa.array((zlib.crc32(decoded(one.as_py(), pieces).encode()) for one in columns["ids"]), pa.int64())
+        release()
+        return pa.table(columns)
 
-    return keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(write_ids, f"doc_id {kind}, ids binary, text_crc32 long")
+    schema = f"doc_id {kind}, ids binary, text_crc32 long" + (", decoded_crc32 long" if decode_too else "")
+    return keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(write_ids, schema)
 
 
 def decoded(ids: bytes, pieces: Pieces) -> str:
@@ -315,19 +326,18 @@ def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
 
 
 def digests(encoded: DataFrame, pieces: Pieces, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, decoded_crc32, text_crc32, round_trip) of encoded rows, and their packed ids."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    ids_too = ", ids binary" if keep_ids else ""
+    """(doc_id, n_pieces, ids_crc32, decoded_crc32, text_crc32, round_trip) of encoded rows, and their packed ids.
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [one.as_py() for one in batch["ids"]]
-            texts = pa.array([zlib.crc32(decoded(one, pieces).encode()) for one in ids], pa.int64())
-            more = {"ids": batch["ids"]} if keep_ids else {}
-            yield pa.record_batch(
-                [batch["doc_id"], pa.array([len(one) // 4 for one in ids], pa.int64()), pa.array([zlib.crc32(one) for one in ids], pa.int64()), texts, batch["text_crc32"], *more.values()],
-                ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "text_crc32", *more],
-            )
-
-    rows = encoded.mapInArrow(measure, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_crc32 long, text_crc32 long" + ids_too)
-    return rows.withColumn("round_trip", F.col("decoded_crc32") == F.col("text_crc32"))
+    Rows that were encoded without ``decode_too`` are decoded here.
+    """
+    if "decoded_crc32" not in encoded.columns:
+        encoded = decode(encoded, pieces).withColumn("decoded_crc32", F.crc32(F.encode("decoded", "UTF-8")))
+    return encoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        "decoded_crc32",
+        "text_crc32",
+        *(["ids"] if keep_ids else []),
+        (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"),
+    )

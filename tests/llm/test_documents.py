@@ -409,6 +409,9 @@ def test_encoding_and_decoding(docs, empty, request, which):
     expected = collections.Counter((d, tuple(viterbi(t, pieces)), t or "") for d, t in ROWS)
     assert collections.Counter((r.doc_id, tuple(ids_of(r.ids)), r.decoded) for r in rows) == expected
     assert all(r.round_trip for r in sentencepiece.digests(encoded, pieces).collect())
+    together = sentencepiece.digests(sentencepiece.encode(docs, pieces, decode_too=True), pieces, keep_ids=True)
+    apart = sentencepiece.digests(encoded, pieces, keep_ids=True)
+    assert together.exceptAll(apart).isEmpty() and apart.exceptAll(together).isEmpty()
     assert sentencepiece.encode(empty, pieces).count() == 0
 
 
