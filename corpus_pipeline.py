@@ -40,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with the check that decoding gives the text back."""
     pieces = sentencepiece.read_pieces(tokenizer_path("piece_bpe_32k.model"))
-    return sentencepiece.digests(sentencepiece.encode(docs, pieces), pieces, keep_ids=True)
+    return sentencepiece.digests(sentencepiece.encode(docs, pieces, decode_too=True), pieces, keep_ids=True)
 
 
 STAGES = [
