@@ -114,6 +114,33 @@ def _stored_gold(shop: StagedShop) -> DataFrame:
     return medallion.refresh_gold(shop.spark, folders.root).utilization
 
 
+def _current_machines(shop: StagedShop) -> DataFrame:
+    """Machines delivered three times, some with other notes; the last delivery is not merged into the stored master."""
+    base = session.fresh_folder(shop.spark, "master")
+    folders = ingest.Folders(landing=f"{base}/landing", root=f"{base}/tables")
+    feed, last = shop.feed("machines"), F.substring("machine_id", -1, 1)
+    later = [feed.where(last.isin("2", "5", "8")).withColumn("notes", F.lit("Serviced")), feed.where(last.isin("5", "7")).withColumn("notes", F.lit("Moved"))]
+    for number, rows in enumerate([feed, *later]):
+        write_landing(rows, "machines", folders.feed("machines"), mode="append")
+        ingest.refresh(shop.spark, folders, ("machines",))
+        if number < len(later):
+            medallion.refresh_master(shop.spark, folders.root)
+    return StoredShop(shop.spark, folders.root).machines.drop("_ingested_at", "_source_file", "_file_ts")
+
+
+def _looked_up(shop: StagedShop) -> DataFrame:
+    """Orders in two deliveries, laid out by order and machine, looked up by machine."""
+    base = session.fresh_folder(shop.spark, "zones")
+    folders = ingest.Folders(landing=f"{base}/landing", root=f"{base}/tables")
+    for part in range(2):
+        rows = shop.feed("work_orders").where(F.col("order_qty") % 2 == part)
+        write_landing(rows, "work_orders", folders.feed("work_orders"), mode="append")
+        ingest.refresh(shop.spark, folders, ("work_orders",))
+        medallion.lay_out(shop.spark, folders.root, "silver_work_orders")
+    found = medallion.lookup(shop.spark, folders.root, "silver_work_orders", machine_id=("MCH-003", "MCH-005"))
+    return found.drop("_ingested_at", "_source_file")
+
+
 def _in_thirds(shop: StagedShop, feed: str, number: str, *tables: str) -> tuple[SparkSession, str]:
     """A feed delivered in three parts, the rollups brought up to date after each."""
     base = session.fresh_folder(shop.spark, "thirds")
@@ -345,6 +372,9 @@ _SHOP_QUERIES: dict[str, Callable[[StagedShop], DataFrame]] = {
     "replacement_moves": lambda s: dispatch.move_counts(s.bare_orders, _moves(s), s.machines),
     "reassign_work_orders": lambda s: dispatch.reassign_work_orders(s.work_orders, _moves(s), s.machines),
     "reassigned_orders_stored": _reassigned,
+    # stored layouts
+    "machines_stored_current": _current_machines,
+    "orders_looked_up_by_machine": _looked_up,
     # named metrics
     "measure_utilization_pct_rounded": lambda s: s.utilization.select("machine_id", "period_day", metric("utilization_pct_rounded")),
     "measure_farm_out_rate_pct": lambda s: s.capacity.select("work_center", "period_month", metric("farm_out_rate_pct")),

@@ -335,6 +335,11 @@ def _selects(as_of: str) -> dict[str, str]:
                 CASE WHEN {OPEN} AND order_qty % 2 = 0 AND to_machine_id IS NOT NULL THEN to_machine_id ELSE machine_id END AS machine_id)
             FROM work_orders LEFT JOIN moves ON from_machine_id = machine_id""",
         "gold_stored_utilization": "SELECT * FROM utilization",
+        "machines_stored_current": f"""SELECT {_SILVER_COLUMNS['machines']} FROM (SELECT * REPLACE (
+            CASE WHEN machine_id[-1] IN ('5', '7') THEN 'Moved' WHEN machine_id[-1] IN ('2', '8') THEN 'Serviced' ELSE notes END AS notes)
+            FROM machines)""",
+        "orders_looked_up_by_machine": f"""SELECT {_SILVER_COLUMNS['work_orders']} FROM work_orders
+            WHERE machine_id BETWEEN 'MCH-003' AND 'MCH-005'""",
         "gold_incremental_maintenance": "SELECT * FROM maintenance",
         "gold_incremental_scheduling": "SELECT * FROM scheduling",
         "gold_incremental_farmout": "SELECT * FROM farmout",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millgauge.operators import gold, partials
+from millgauge.operators import gold, master, partials, zones
 from millgauge.operators import moves as move_log
 from millgauge.operators.layout import CLUSTER_KEYS, current_version, write_clustered, write_version
-from millgauge.plans.shop import MOVE_LOG, StagedShop, StoredShop
+from millgauge.plans.shop import MASTER, MOVE_LOG, StagedShop, StoredShop
 from millgauge.sources.documentation import COLUMN_COMMENTS, TABLE_COMMENTS, comment_on, create_schema, quoted
 
 # Table name to the shop's attribute of it.
@@ -61,6 +61,21 @@ def reassign(spark: SparkSession, root: str, moves: DataFrame) -> StoredShop:
     return StoredShop(spark, root)
 
 
+def refresh_master(spark: SparkSession, root: str) -> None:
+    """Merge the machine masters that have arrived into the current one."""
+    master.refresh(spark, f"{root}/silver_machines", f"{root}/{MASTER}")
+
+
+def lay_out(spark: SparkSession, root: str, table: str) -> None:
+    """Lay out the batches of an appended table that have arrived by all of its clustering keys at once."""
+    zones.refresh(spark, f"{root}/{table}", f"{root}/zoned/{table}", CLUSTER_KEYS[table])
+
+
+def lookup(spark: SparkSession, root: str, table: str, **between: tuple) -> DataFrame:
+    """Rows of a table that is laid out, by ranges of one or more of its keys, as of the last ``lay_out``."""
+    return zones.lookup(spark, f"{root}/zoned/{table}", between).drop("batch_id")
+
+
 def recluster(spark: SparkSession, root: str, table: str) -> str:
     """Write a clustered copy of an appended table and return its path.
 

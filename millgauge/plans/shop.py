@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millgauge import session
-from millgauge.operators import gold, moves, silver
-from millgauge.operators.latest import current_machines
+from millgauge.operators import gold, master, moves, silver
 from millgauge.operators.layout import current_version
 from millgauge.sources import staging
 
 # The log of reassignments, below the root.
 MOVE_LOG = "move_log"
+# The current machine master, below the root.
+MASTER = "machine_master"
 
 
 class StagedShop:
@@ -106,7 +107,7 @@ class StoredShop:
     @cached_property
     def machines(self) -> DataFrame:
         """Newest delivery of each machine; re-deliveries must not multiply orders."""
-        return current_machines(self.table("silver_machines"))
+        return master.read(self.spark, f"{self.root}/silver_machines", f"{self.root}/{MASTER}")
 
     @cached_property
     def routings(self) -> DataFrame:
