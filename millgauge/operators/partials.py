@@ -201,6 +201,11 @@ def _taken_in(spark: SparkSession, root: str, table: str) -> int:
         return -1
 
 
+def by_period(merged: DataFrame) -> DataFrame:
+    """The rows of a period together, in several tasks where the rollup has many keys in a month."""
+    return merged.hint("rebalance", "period")
+
+
 def refresh(spark: SparkSession, root: str, table: str) -> None:
     """Merge the batches that have arrived since the last refresh into the periods they have rows of."""
     rollup = ROLLUPS[table]
@@ -225,8 +230,7 @@ def refresh(spark: SparkSession, root: str, table: str) -> None:
         same = known.join(touched, F.col("period").eqNullSafe(F.col("touched")), "left_semi")
         partial = partial.unionByName(same.select(*partial.columns))
     merged = session.fresh_folder(spark, "merged")
-    # One file per period: a period holds as many rows as the rollup has keys in a month.
-    rollup.merge(partial).repartition("period").write.parquet(merged)
+    by_period(rollup.merge(partial)).write.parquet(merged)
     spark.read.parquet(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path_of(root, table))
     spark.createDataFrame([(last,)], "last_batch bigint").coalesce(1).write.mode("append").parquet(f"{path_of(root, table)}_through")
 

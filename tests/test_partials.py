@@ -77,3 +77,25 @@ def test_a_refresh_that_stopped_counts_nothing_twice(spark, folders, monkeypatch
 def test_read_before_any_refresh(spark, folders):
     with pytest.raises(ValueError):
         partials.read(spark, folders.root, TABLE)
+
+
+def test_a_period_of_many_keys_is_no_single_task(spark, folders, tmp_path):
+    rows = [reading(n, machine_id=f"MCH-{n:03d}", reading_timestamp=f"2024-01-{1 + n % 28:02d} 00:00:00") for n in range(2000)]
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, setting in settings.items():
+        spark.conf.set(key, setting)
+    try:
+        arrive(spark, folders, 1, *rows[:1000])
+        partials.refresh(spark, folders.root, TABLE)
+        arrive(spark, folders, 2, *rows[500:])
+        partials.refresh(spark, folders.root, TABLE)
+        stored = partials.stored_partials(spark, folders.root, TABLE)
+        assert stored.count() == 2000
+        partials.by_period(partials.ROLLUPS[TABLE].merge(stored)).write.parquet(str(tmp_path / "merged"))
+    finally:
+        for key, setting in before.items():
+            spark.conf.unset(key) if setting is None else spark.conf.set(key, setting)
+    # Each task has written a file.
+    assert len(spark.read.parquet(str(tmp_path / "merged")).inputFiles()) > 1
+    check(spark, folders)
