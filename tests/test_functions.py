@@ -104,6 +104,18 @@ def test_lenient_casts_give_null_for_bad_text(spark):
     assert tuple(rows[1]) == (1.5, dt.date(2024, 2, 1), dt.datetime(2024, 1, 1, 10))
 
 
+def test_days_are_read_as_by_the_pattern(spark):
+    texts = [
+        "2024-02-29", "2023-02-29", "0000-01-01", "0001-01-01", "9999-12-31", "2024-1-001", "2024-01-1 ", " 024-01-01",
+        "2024-01-1T", "+202-01-01", "2024-13-01", "2024-01-00", " 2024-01-01", "2024-01-01 ", "2024-01-1\n", "2024/01/01", "", None,
+    ]
+    df = spark.createDataFrame([(text,) for text in texts], "v string")
+    slow = F.try_to_timestamp("v", F.lit("yyyy-MM-dd"))
+    read = df.select(slow.alias("moment"), lenient_timestamp(df, "v", "yyyy-MM-dd").alias("found"), lenient_date(df, "v").alias("day"))
+    assert read.where(~F.col("moment").eqNullSafe(F.col("found")) | ~F.col("day").eqNullSafe(F.col("moment").cast("date"))).isEmpty()
+    assert read.where("found IS NOT NULL").count() == 4
+
+
 def test_whole_numbers_with_decimals(spark):
     df = spark.createDataFrame([("12.0",), ("12",), ("-3.7",), ("x",), ("1e3",), (None,)], "n string")
     assert [r[0] for r in df.select(lenient(df, "n", "int")).collect()] == [12, 12, -3, None, 1000, None]

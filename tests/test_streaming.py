@@ -286,6 +286,26 @@ def test_a_header_of_another_feed_stops_the_batch(spark, folders):
     assert not glob.glob(f"{folders.table('bronze_sensor_data')}/batch_id=*")
 
 
+def test_rows_without_anything_to_rescue_cost_no_map(spark, folders):
+    land(folders, "a.csv", "sensor_id,machine_id", "S1,MCH-001", "S2,MCH-002,extra")
+    rows = read_landing(spark, "sensor_data", folders.feed("sensor_data"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "_metadata" not in plan
+    found = {r.sensor_id: (r._rescued_data, r._source_file) for r in rows.collect()}
+    assert found["S1"][0] is None and found["S2"][0] == {"_line": "S2,MCH-002,extra"}
+    assert all(name.endswith("/a.csv") for _, name in found.values())
+
+
+def test_a_stage_has_several_splits_for_each_slot(spark, folders, monkeypatch):
+    seen, write = [], ingest.write_batch
+    monkeypatch.setattr(ingest, "write_batch", lambda rows, *rest: (seen.append(rows.sparkSession.conf.get(ingest._MIN_SPLITS)), write(rows, *rest)))
+    before = spark.conf.get(ingest._MIN_SPLITS, None)
+    deliver(spark, folders, "sensor_data", 1, reading(1))
+    ingest.refresh(spark, folders, ("sensor_data",))
+    assert {int(n) for n in seen} == {ingest.SPLITS_PER_SLOT * spark.sparkContext.defaultParallelism}
+    assert spark.conf.get(ingest._MIN_SPLITS, None) == before
+
+
 def test_header_names():
     assert header_names('\ufeffA, b ,"c,d",,a,_line') == ["a", "b", "c,d", "_c3", "a#2", "_line#2"]
 
