@@ -16,8 +16,9 @@ member differs from the group's majority set, the shingles of more than half of
 (``_split``): a difference of d shingles from it and the size n give the slack
 3 n - 37 d, and members whose slacks sum to at least 0 are similar enough by the triangle
 inequality. The member with the most slack is linked to all those at once. Any other
-link needs members that share an element of their differences; each needs so many in
-common that one of them is among its first, rarest ones, so those are the new keys. The
+link needs members that share elements of their differences; each needs so many in
+common (``_needed``: of d elements at least d - 3 n / 17, however the other differs) that
+one of them is among its first, rarest ones, so those are the new keys. The
 step is repeated where a new key has many members; each time the shared element moves to
 the majority and the differences get smaller. No step pairs up a group.
 
@@ -273,12 +274,25 @@ def _centred(members: DataFrame) -> DataFrame:
     return per_group(made, tops.select("g", "members", F.col("top.slack").alias("best"), F.col("top.sid").alias("top")))
 
 
+def _needed(partner: Column) -> Column:
+    """Elements of its difference that a member has in common with any similar one of at most the slack ``partner``.
+
+    Two differences of d and d' elements, c of them in common, are d + d' - 2 c apart. That
+    is at most 3 (n + n') / 37, so c is at least -(slack + other's slack) / 74. And c is at
+    most d', so d - c is within the same bound, where n' is at most 100 n / 85.
+    """
+    d = F.size("delta").cast("long")
+    apart, sizes = OF_UNION * SLACK_DIFFERENCE, SLACK_SIZE * (SIMILAR + OF_UNION)
+    return F.greatest(
+        F.lit(1).cast("long"), F.ceil(-(F.col("slack") + partner) / (2.0 * SLACK_DIFFERENCE)), F.ceil((apart * d - sizes * F.col("n")) / F.lit(float(apart)))
+    )
+
+
 def _prefixes(rest: DataFrame) -> DataFrame:
     """(g, e, sid, n, open): the elements by which a member has to be met, of members that may have further links.
 
-    Needed in common are at least ceil(-(slack + other's slack) / 74) elements; whoever
-    has that many with another has one of them among its first ones, of all but one
-    less. Elements are in order of how rare they are in the group; one that no other
+    Whoever has ``needed`` elements in common with another has one of them among its
+    first ones, of all but one less than needed. Elements are in order of how rare they are in the group; one that no other
     member has counts for its place only.
     """
     elements = rest.select("g", "sid", "n", "open", "needed", F.explode("delta").alias("e"))
@@ -304,8 +318,7 @@ def _split(members: DataFrame, group: int) -> tuple[DataFrame, DataFrame, DataFr
     # A member that is linked to the top needs to meet open ones only; their slack bounds what is needed.
     still = rest.where("open").groupBy("g").agg(F.first("members").alias("members"), F.max("slack").alias("open_best"))
     partner = F.when(F.col("open"), F.col("best")).otherwise(F.col("open_best"))
-    needed = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + partner) / (2.0 * SLACK_DIFFERENCE)))
-    meeting = per_group(rest, still).withColumn("needed", needed).where(F.col("needed") <= F.size("delta"))
+    meeting = per_group(rest, still).withColumn("needed", _needed(partner)).where(F.col("needed") <= F.size("delta"))
     met = stored(_prefixes(meeting), "prefixes")
 
     # Elements with the same members, such as all shingles around one changed word, make one new group.

@@ -210,6 +210,15 @@ def test_links_of_one_hot_group_are_exact(spark):
     assert [find(d) for d, _ in rows] == [component for _, component in expected_components(rows)]
 
 
+def test_members_too_far_from_any_other_make_no_new_groups(spark):
+    """Members that lack shared elements, but have more of their own than a link allows, are settled in one step."""
+    rng, base = random.Random(2), range(398)
+    sets = [list(base)] + [[e for e in base if e not in lost] + [1000 * k + e for e in range(90)] for k in range(1, 21) for lost in [set(rng.sample(base, 90))]]
+    rows = [(0, sid, len(one), len(sets), one) for sid, one in enumerate(sets)]
+    members = spark.createDataFrame(rows, "g long, sid long, n long, members long, delta array<long>")
+    assert [found.count() for found in minhash._split(members, 4)] == [0, 0, 0]
+
+
 def test_tables_rarely_miss(spark):
     """Pairs at the threshold share a key; counted over many pairs."""
     rng, missed, pairs = random.Random(1), 0, 0
