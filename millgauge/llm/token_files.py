@@ -14,7 +14,8 @@ start is the sum over the files before it, a few numbers per file.
 Encoding gives the tokenizer library's own ids. For byte-level models with the usual
 pre-tokenizer a text is cut before single spaces, where the pre-tokenizer always cuts
 too, and each distinct unit is encoded by the library once per worker (the memory for
-this is bounded by ``CACHE_UNITS``). Texts that hold a special token's string, and other
+this is bounded by ``CACHE_UNITS``). A unit of Latin letters, digits, punctuation and
+line ends is made of its parts, which many units share. Texts that hold a special token's string, and other
 models, are encoded whole.
 
 Defined results. A null text is empty and holds the end id only. Rows that repeat are
@@ -55,6 +56,11 @@ CALL_UNITS = 4096
 # Fixed value: how a byte-level vocabulary writes a space.
 SPACE = "Ġ"
 LEVEL = 3
+# Parts of a unit as the usual pre-tokenizer cuts it, for units that hold nothing else: no
+# apostrophe, which may begin a contraction, and line ends between two other characters only.
+_KINDS = ("A-Za-zÀ-ÖØ-öø-ÿ", "0-9", r"!-&(-/:-@\[-`{-~")
+_PARTS = re.compile("|".join(["\n", *(f"[{kind}]+" for kind in _KINDS)]))
+_PLAIN = re.compile("[{0}]+(?:\n[{0}]+)*".format("".join(_KINDS)))
 
 
 class Encoder:
@@ -88,6 +94,15 @@ class Encoder:
             self.first.update(zip(missing, self._pack(missing)))
 
     def _learn_spaced(self, units: set[str]) -> None:
+        """Units after a space; those of several parts from the ids of their parts."""
+        parts = {unit: _PARTS.findall(unit) for unit in units if not unit.isalpha() and _PLAIN.fullmatch(unit)}
+        parts = {unit: found for unit, found in parts.items() if len(found) > 1}
+        self._learn_whole({unit for unit in units if unit not in parts}.union(found[0] for found in parts.values()))
+        self._learn_first({part for found in parts.values() for part in found[1:]})
+        for unit, (head, *rest) in parts.items():
+            self.spaced[unit] = self.spaced[head] + b"".join(map(self.first.__getitem__, rest))
+
+    def _learn_whole(self, units: set[str]) -> None:
         """Units after a space, many in one call: a token that begins with a space begins the next unit."""
         missing = [unit for unit in units if unit not in self.spaced]
         for at in range(0, len(missing), CALL_UNITS):
@@ -114,8 +129,12 @@ class Encoder:
             return b"".join(map(self.first.__getitem__, units))
         head, *rest = text.split(" ")
         self._learn_first({head})
-        self._learn_spaced(set(rest))
-        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+        found = [*map(self.spaced.get, rest)]
+        missing = {unit for unit, ids in zip(rest, found) if ids is None}
+        if missing:
+            self._learn_spaced(missing)
+            found = map(self.spaced.__getitem__, rest)
+        return self.first[head] + b"".join(found)
 
 
 @lru_cache(maxsize=2)

@@ -475,6 +475,26 @@ def test_units_of_odd_white_space():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_parts_of_units_are_encoded_once():
+    """Units that differ in their punctuation or line ends only ask the library for no word twice."""
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.library = Counting()
+    for text in ("a reading", "a reading. (reading) reading,\nreading; 12reading it's", "é reading!\nTool reading' [reading]\n reading:\\ `été` ÷2×3"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        asked.append("|")
+    assert "".join(asked[: 2 + asked[asked.index("|") + 1 :].index("|")]).count(" reading") == 1
+
+
 # repeated passages
 
 
