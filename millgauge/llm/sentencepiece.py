@@ -211,6 +211,13 @@ def path_ids(unit: str, starts: list[int], ids: list[int], pieces: Pieces) -> li
     return out[::-1]
 
 
+def _lists(column: pa.ChunkedArray) -> Iterator[list[int]]:
+    """The lists of whole numbers of a column."""
+    for chunk in column.chunks:
+        at, values = chunk.offsets.to_pylist(), chunk.values.to_numpy(zero_copy_only=False).tolist()
+        yield from (values[a:b] for a, b in zip(at, at[1:]))
+
+
 def _pack(lists: list[list[int]]) -> bytes:
     flat = [i for x in lists for i in x]
     width = "<u2" if max(flat, default=0) < 1 << 16 else "<u4"
@@ -273,10 +280,8 @@ def encode(
     solved = solved.select(F.col("bucket").alias("of_bucket"), "asker", "unit", "best.*")
 
     def answer(questions: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = {
-            unit: path_ids(unit, starts, last, pieces)
-            for unit, starts, last in zip(answers["unit"].to_pylist(), answers["starts"].to_pylist(), answers["ids"].to_pylist())
-        }
+        starts, last = _lists(answers["starts"]), _lists(answers["ids"])
+        ids = {unit: path_ids(unit, one, its, pieces) for unit, one, its in zip(answers["unit"].to_pylist(), starts, last)}
         packed = [_pack([ids[unit] for unit in row]) for row in (one.as_py().split(" ") for one in questions["units"])]
         release()
         return pa.table({"chunk": questions["chunk"], "bucket": questions["bucket"], "packed": pa.array(packed, pa.binary())})
@@ -294,7 +299,8 @@ def encode(
             "text_crc32": pa.array((zlib.crc32(one.encode()) for one in plain(group)), pa.int64()),
         }
         if decode_too:
-            columns["decoded_crc32"] = pa.array((zlib.crc32(decoded(one.as_py(), pieces).encode()) for one in columns["ids"]), pa.int64())
+            known = piece_bytes(pieces)
+            columns["decoded_crc32"] = pa.array((zlib.crc32(decoded(one.as_py(), pieces, known).encode()) for one in columns["ids"]), pa.int64())
         release()
         return pa.table(columns)
 
@@ -302,15 +308,18 @@ def encode(
     return keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(write_ids, schema)
 
 
-def decoded(ids: bytes, pieces: Pieces) -> str:
-    """The text of packed ids: pieces joined, byte pieces as the bytes they are, marks as spaces, the first one dropped."""
-    values = np.frombuffer(ids, "<u4").tolist()
-    of_byte = {number: bytes([b]) for b, number in enumerate(pieces.bytes_at)}
-    if of_byte and not of_byte.keys().isdisjoint(values):
-        parts = (of_byte.get(i) or (b"" if i in pieces.skipped else pieces.texts[i].encode()) for i in values)
-        joined = b"".join(parts).decode("utf-8", "replace")
-    else:
-        joined = "".join([pieces.texts[i] for i in values if i not in pieces.skipped])
+def piece_bytes(pieces: Pieces) -> list[bytes]:
+    """What each id decodes to: byte pieces the bytes they are, control pieces nothing."""
+    found = [b"" if i in pieces.skipped else piece.encode() for i, piece in enumerate(pieces.texts)]
+    for b, number in enumerate(pieces.bytes_at):
+        found[number] = bytes([b])
+    return found
+
+
+def decoded(ids: bytes, pieces: Pieces, known: list[bytes] | None = None) -> str:
+    """The text of packed ids: what each decodes to (``known``, if made before), marks as spaces, the first one dropped."""
+    known = known or piece_bytes(pieces)
+    joined = b"".join(map(known.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
     return joined.replace(MARK, " ").removeprefix(" ")
 
 
@@ -318,8 +327,9 @@ def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the text of their packed ids."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = piece_bytes(pieces)
         for batch in batches:
-            column = pa.array([decoded(one.as_py() or b"", pieces) for one in batch[ids]], pa.string())
+            column = pa.array([decoded(one.as_py() or b"", pieces, known) for one in batch[ids]], pa.string())
             yield pa.record_batch([*batch.columns, column], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -439,6 +440,21 @@ def test_pieces_are_checked():
         sentencepiece.pieces_of(["a▁b"], [("a▁b", 0, -1.0)], (), 0)
 
 
+def test_ids_decode_from_a_table_of_bytes():
+    """Control pieces give nothing, byte pieces join to characters, broken ones are replaced; lists of several chunks are read."""
+    number = range(256)
+    pieces = sentencepiece.pieces_of(("<s>", "▁a", "é", *(f"<0x{b:02X}>" for b in number)), (("▁a", 1, -1.0), ("é", 2, -2.0)), tuple(3 + b for b in number), 2, frozenset([0]))
+    known = sentencepiece.piece_bytes(pieces)
+    assert known[:3] == [b"", "▁a".encode(), "é".encode()] and known[3:] == [bytes([b]) for b in number]
+    for ids in ([], [0, 1, 2, 1], [1, *(3 + b for b in "▁中\n".encode()), 2], [1, 3 + 0xE4, 2]):
+        expected = b"".join(known[i] for i in ids).decode("utf-8", "replace").replace("▁", " ").removeprefix(" ")
+        packed = np.array(ids, "<u4").tobytes()
+        assert sentencepiece.decoded(packed, pieces) == sentencepiece.decoded(packed, pieces, known) == expected
+    lists = [[1, 2], [], [3], [4, 5, 6]]
+    column = pa.chunked_array([pa.array(lists, pa.list_(pa.int32())).slice(1), pa.array(lists[:2], pa.list_(pa.int32()))])
+    assert [*sentencepiece._lists(column)] == column.to_pylist()
+
+
 # token files
 
 
