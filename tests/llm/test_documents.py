@@ -508,7 +508,7 @@ def test_parts_of_units_are_encoded_once():
     for text in ("a reading", "a reading. (reading) reading,\nreading; 12reading it's", "é reading!\nTool reading' [reading]\n reading:\\ `été` ÷2×3"):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
         asked.append("|")
-    assert "".join(asked[: 2 + asked[asked.index("|") + 1 :].index("|")]).count(" reading") == 1
+    assert "".join(asked).split("|")[0].count(" reading") == 1 and "".join(asked).split("|")[1].count(" reading") == 0
 
 
 # repeated passages
