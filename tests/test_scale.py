@@ -160,3 +160,11 @@ def test_partitioned_layout_prunes(spark, skewed, tmp_path):
     write_clustered(orders, path, ["work_order_id"], partition_by=["month"])
     pruned = spark.read.parquet(path).filter("month = '2024-03'")
     assert "PartitionFilters: [isnotnull(month" in plan(pruned) and pruned.count() == 1500
+
+
+def test_lines_are_joined_without_their_prices(shop):
+    text = plan(shop.feed("work_orders"), "optimizedPlan")
+    below = text[text.index("Join"):]
+    joined = [line for line in below.splitlines() if "Project" in line]
+    assert joined and all("l_extendedprice" not in line.split("[")[1].split(" AS ")[0] for line in joined[:2])
+    assert "o_orderpriority" not in joined[0]
