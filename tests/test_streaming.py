@@ -6,11 +6,14 @@ import time
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrameWriter
 
+from millgauge import session
 from millgauge.operators import gold
 from millgauge.operators.silver import refine
 from millgauge.plans import analytics, medallion
 from millgauge.plans.shop import StagedShop, StoredShop
+from millgauge.sources import landing
 from millgauge.sources.landing import header_names, read_landing, write_landing
 from millgauge.sources.schemas import FEEDS
 from millgauge.streaming import ingest
@@ -336,3 +339,34 @@ def test_bronze_machines_carry_file_time(spark, folders):
     ingest.refresh_bronze(spark, "machines", folders)
     row = spark.read.parquet(folders.table("bronze_machines")).first()
     assert isinstance(row._file_ts, dt.datetime)
+
+
+def test_compressed_deliveries_are_taken_whole_and_in_bounded_files(spark, folders, monkeypatch):
+    monkeypatch.setattr(landing, "ROWS_PER_FILE", 20)
+    rows = [reading(n) for n in range(50)]
+    write_landing(text_feed(spark, "sensor_data", *rows).coalesce(1), "sensor_data", folders.feed("sensor_data"), codec="gzip")
+    assert len(glob.glob(f"{folders.feed('sensor_data')}/part-*.csv.gz")) == 3
+    ingest.refresh(spark, folders, ("sensor_data",))
+    silver = spark.read.parquet(folders.table("silver_sensor_data"))
+    assert sorted(r.sensor_id for r in silver.collect()) == sorted(row["sensor_id"] for row in rows)
+    assert all(".zstd." in path for table in ("bronze", "silver") for path in spark.read.parquet(folders.table(f"{table}_sensor_data")).inputFiles())
+
+
+def test_a_delivery_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    seen, write = [], DataFrameWriter.csv
+    key = session._SHUFFLE_CLEANUP
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda self, path: (seen.append(spark.conf.get(key)), write(self, path))[1])
+    rows = text_feed(spark, "sensor_data", *(reading(n) for n in range(20))).repartition(3, "sensor_id")
+    write_landing(rows, "sensor_data", str(tmp_path / "landing"))
+    assert seen == ["true"] and spark.conf.get(key, None) == before
+    assert rows.count() == 20 == rows.count()
+
+
+def test_queries_deliver_compressed(spark, data, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(session, "fresh_folder", lambda spark, purpose: str(tmp_path / purpose))
+    entry.queries()["ingest_work_orders"](spark, data)
+    names = os.listdir(tmp_path / "ingest-work_orders" / "landing" / "work_orders")
+    assert [name for name in names if name.endswith(".csv.gz")] and not [name for name in names if name.endswith(".csv")]
