@@ -7,7 +7,8 @@ lists only the folders that can hold such rows.
 
 Deliveries are laid out on their own: what has been written stays as it is. A delivery
 counts once its row is in the log, which Spark commits as a whole; a refresh that stopped
-before has left nothing that a reader sees, and runs again.
+before has left nothing that a reader sees, and runs again. A large delivery is laid out in
+groups by its first key, one after the other, so that not all of its rows lie in a shuffle at once.
 
 The bounds of the ranges come from ``SAMPLE_ROWS`` rows of the first delivery, those with
 the lowest hashes. They decide sizes of files, never results. Rows without a key lie in its
@@ -26,9 +27,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millgauge import session
+from millgauge.operators.layout import CODEC
+
 SAMPLE_ROWS = 4096
 # Ranges per key: 2 ** RANGE_BITS.
 RANGE_BITS = 4
+# A delivery of more rows is laid out in several groups of ranges of the first key. Each
+# group reads the delivery again, so there are few.
+ROWS_AT_ONCE = 10_000_000
+MOST_GROUPS = 4
 LOG = "path string, through bigint"
 BOUNDS = "key string, type string, bounds array<string>"
 
@@ -87,7 +95,12 @@ def deliveries(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return [(r["path"], r["through"]) for r in log.sort("through").collect()] if log is not None else []
 
 
-def lay_out(rows: DataFrame, path: str, keys: Sequence[str], through: int) -> None:
+def groups_for(count: int) -> int:
+    """In how many groups a delivery of so many rows is laid out, at most."""
+    return min(MOST_GROUPS, 1 << (count // ROWS_AT_ONCE).bit_length())
+
+
+def lay_out(rows: DataFrame, path: str, keys: Sequence[str], through: int, groups: int = 1) -> None:
     """Add a delivery, up to a batch, to the layout."""
     spark = rows.sparkSession
     bounds = stored_bounds(spark, path)
@@ -98,9 +111,15 @@ def lay_out(rows: DataFrame, path: str, keys: Sequence[str], through: int) -> No
     zone = interleaved([range_number(F.col(key), kind, cuts) for key, kind, cuts in bounds])
     hashed = [field.name for field in rows.schema if not isinstance(field.dataType, T.MapType)]
     # The hash lets a zone that a hot key fills take several tasks.
-    placed = rows.withColumn("zone", zone).repartitionByRange("zone", F.xxhash64(*hashed)).sortWithinPartitions("zone", *keys)
+    first, kind, cuts = bounds[0]
+    # Some of the bounds, so that no zone is in two groups; every row reaches some number of them.
+    dividers = list(dict.fromkeys(cuts[len(cuts) * i // groups] for i in range(1, groups))) if cuts else []
     folder = f"{path}/rows/delivery=d{uuid.uuid4().hex}"
-    placed.write.partitionBy("zone").parquet(folder)
+    for group in range(len(dividers) + 1):
+        chosen = rows.where(range_number(F.col(first), kind, dividers) == group) if dividers else rows
+        placed = chosen.withColumn("zone", zone).repartitionByRange("zone", F.xxhash64(*hashed)).sortWithinPartitions("zone", *keys)
+        with session.short_shuffles(spark):
+            placed.write.mode("append").option("compression", CODEC).partitionBy("zone").parquet(folder)
     spark.createDataFrame([(folder, through)], LOG).coalesce(1).write.mode("append").parquet(f"{path}/_deliveries")
 
 
@@ -108,9 +127,9 @@ def refresh(spark: SparkSession, source: str, path: str, keys: Sequence[str]) ->
     """Lay out the batches of an appended table that have arrived since the last refresh."""
     done = max((through for _, through in deliveries(spark, path)), default=-1)
     arrived = spark.read.parquet(source).where(F.col("batch_id") > done)
-    last = arrived.agg(F.max("batch_id")).first()[0]
+    last, count = arrived.agg(F.max("batch_id"), F.count(F.lit(1))).first()
     if last is not None:
-        lay_out(arrived.where(F.col("batch_id") <= last), path, keys, last)
+        lay_out(arrived.where(F.col("batch_id") <= last), path, keys, last, groups_for(count))
 
 
 def lookup(spark: SparkSession, path: str, between: Mapping[str, tuple[Any, Any]]) -> DataFrame:

@@ -148,3 +148,27 @@ def test_master_is_current_and_untouched_buckets_stay(spark, tmp_path, monkeypat
     deliver(spark, source, 2)
     master.refresh(spark, source, path)
     assert check(spark, source, path)[0] == second
+
+
+def test_a_large_delivery_is_laid_out_in_groups_and_whole(spark, tmp_path, monkeypatch):
+    source, path = str(tmp_path / "orders"), str(tmp_path / "zoned")
+    arrive(orders(spark, 0, 3000), source, 0)
+    monkeypatch.setattr(zones, "ROWS_AT_ONCE", 500)
+    frame = type(spark.range(1))
+    shuffled, place = [], frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, *by: (shuffled.append(df.count()), place(df, *by))[1])
+    zones.refresh(spark, source, path, KEYS)
+    assert len(shuffled) == zones.MOST_GROUPS and sum(shuffled) == 3000 and max(shuffled) < 1500
+    (folder, _), = zones.deliveries(spark, path)
+    stored, arrived = spark.read.parquet(folder), spark.read.parquet(source)
+    assert sorted(map(str, stored.select(*KEYS, "qty").collect())) == sorted(map(str, arrived.select(*KEYS, "qty").collect()))
+    assert sorted(map(str, zones.lookup(spark, path, {"machine_id": ("MCH-050", "MCH-050")}).select(*KEYS, "qty").collect())) == expected(
+        spark, source, "machine_id = 'MCH-050'"
+    )
+
+
+def test_a_delivery_without_any_first_key_is_one_group(spark, tmp_path):
+    source, path = str(tmp_path / "orders"), str(tmp_path / "zoned")
+    arrive(orders(spark, 0, 50).withColumn("work_order_id", F.lit(None).cast("string")), source, 0)
+    zones.lay_out(spark.read.parquet(source), path, KEYS, 0, groups=4)
+    assert spark.read.parquet(*[folder for folder, _ in zones.deliveries(spark, path)]).count() == 50
